@@ -9,11 +9,13 @@ from tessera.llm.sentencepiece_bpe import op10_sentencepiece
 from tessera.llm.simhash import op3_simhash
 from tessera.llm.substrings import OP4_SQL, op4_substrings
 from tessera.llm.token_counts import op7_token_counts
+from tessera.llm.url_filter import op5_url_filter
 
 QUERIES = {
     "op1_media": op1_media,
     "op3_simhash": op3_simhash,
     "op4_substrings": op4_substrings,
+    "op5_url_filter": op5_url_filter,
     "op7_token_counts": op7_token_counts,
     "op8_chat": op8_chat,
     "op9_decontamination": op9_decontamination,

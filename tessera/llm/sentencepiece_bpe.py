@@ -13,7 +13,9 @@ by chunk and chunks already met are looked up (up to a fixed number).
 
 from __future__ import annotations
 
+import hashlib
 import re
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,53 +66,98 @@ class Encoder:
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         self.joins = joined | {SPACE}
         self.newline_alone = "\n" not in joined
-        self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.automaton.add_word(piece, piece)
-        self.automaton.make_automaton()
         self.whole: dict[str, bool] = {}
+        self.halves: dict[str, tuple[str, str]] = {}  # the last merge of each whole piece
+        self.edges: dict[tuple[str, bool], list[str]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.automaton = ahocorasick.Automaton()
+        for piece in filter(self._is_whole, self.ids):
+            self.automaton.add_word(piece, (len(piece) - 1, piece))
+        self.automaton.make_automaton()
 
-    def merge(self, text: str) -> list[str]:
+    def merge(self, text: str, until: int = 1) -> list[str]:
         """Merge characters as the model's scores say: best score first, then leftmost."""
         parts, score = list(text), self.score
-        while True:
+        while len(parts) > until:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
                 if s is not None and (best is None or s > best):
                     best, at = s, i
             if best is None:
-                return parts
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
 
     def _is_whole(self, piece: str) -> bool:
+        """Whether the piece's characters merge to the piece, from halves that score no less."""
         found = self.whole.get(piece)
         if found is None:
-            found = self.whole[piece] = len(piece) == 1 or self.merge(piece) == [piece]
+            found = len(piece) == 1
+            if not found:
+                halves = self.merge(piece, until=2)
+                found = len(halves) == 2 and self.score.get(piece) is not None
+                if found:
+                    self.halves[piece] = (halves[0], halves[1])
+                    if any(len(h) > 1 and self.score[h] < self.score[piece] for h in halves):
+                        raise ValueError(f"{piece!r} scores above its halves: not a merge-type model")
+                    found = all(map(self._is_whole, halves))
+            self.whole[piece] = found
+        return found
+
+    def _edge(self, piece: str, last: bool) -> list[str]:
+        """What stands at the piece's first or last end while it is merged, the character first."""
+        found = self.edges.get((piece, last))
+        if found is None:
+            before = self._edge(self.halves[piece][last], last) if len(piece) > 1 and self._is_whole(piece) else []
+            found = self.edges[piece, last] = [*before, piece]
         return found
 
     def _compatible(self, left: str, right: str) -> bool:
+        """Merging both again gives both: no merge over their border comes first.
+
+        Halves never score below their piece, so all that matters is what
+        stands at the border; of equal scores the leftmost merge comes first.
+        """
         found = self.fits.get((left, right))
         if found is None:
-            found = self.fits[left, right] = self.merge(left + right) == [left, right]
+            a, b, score = self._edge(left, True), self._edge(right, False), self.score
+            i = j = 0
+            while True:
+                over = score.get(a[i] + b[j], -inf)
+                more = score[a[i + 1]] if i + 1 < len(a) else -inf
+                next_ = score[b[j + 1]] if j + 1 < len(b) else -inf
+                if over > more and over >= next_:
+                    found = False
+                    break
+                if more == next_ == -inf:
+                    found = over == -inf
+                    break
+                if more >= next_:
+                    i += 1
+                else:
+                    j += 1
+            self.fits[left, right] = found
         return found
 
     def _search(self, text: str) -> list[str]:
         """Pieces of a text whose characters are all pieces themselves."""
         n = len(text)
         options: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(text):
-            if self._is_whole(piece):
-                options[end + 1 - len(piece)].append(piece)  # shorter ones end earlier, so come first
+        for end, (before, piece) in self.automaton.iter(text):
+            options[end - before].append(piece)  # shorter ones end earlier, so come first
         chosen: list[tuple[str, int]] = []
-        failed, at, option = 0, 0, len(options[0]) - 1
+        failed, at, option, before, fits = 0, 0, len(options[0]) - 1, "", self.fits
         while at < n:
+            here = options[at]
+            before = chosen[-1][0] if chosen else ""
             while option >= 0:
-                piece = options[at][option]
-                if not failed >> (at + len(piece)) & 1 and (not chosen or self._compatible(chosen[-1][0], piece)):
-                    break
+                piece = here[option]
+                if not (failed and failed >> (at + len(piece)) & 1):
+                    fit = fits.get((before, piece)) if before else True
+                    if self._compatible(before, piece) if fit is None else fit:
+                        break
                 option -= 1
             if option >= 0:
                 chosen.append((piece, option))
@@ -215,6 +262,17 @@ def decode_bytes(raw: bytes) -> str:
         return "".join(out)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(name: str, model: dict) -> Encoder:
+    """This worker's encoder of a model: its tables serve all tasks that the worker gets."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = Encoder(model)
+    return _encoders[name]
+
+
 def encode_texts(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, ids, decoded): ids in decimal, joined by spaces, the end id last.
 
@@ -222,9 +280,10 @@ def encode_texts(docs: DataFrame, model: dict, text: str = "text", key: str = "d
     text has the end id alone and decodes to an empty text.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # a model file: under 1 MB whatever the corpus
+    name = hashlib.sha256(repr(sorted(model.items())).encode()).hexdigest()
 
     def run(batches):
-        encoder = Encoder(shipped.value)
+        encoder = encoder_of(name, shipped.value)
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for block in blocks(rows, lambda r: len(r[1] or "")):

@@ -13,6 +13,7 @@ entries, so memory does not grow with the input.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -113,6 +114,17 @@ def splits_at_space(described: dict) -> bool:
     return bool(dropped and excluding and kinds <= {"NFC", "Replace", "Lowercase"} and plain)
 
 
+_counters: dict[str, PieceCounter] = {}
+
+
+def counter_of(name: str, specification: str) -> PieceCounter:
+    """This worker's counter of a specification: its tables serve all tasks that the worker gets."""
+    if name not in _counters:
+        _counters.clear()
+        _counters[name] = PieceCounter(specification)
+    return _counters[name]
+
+
 def count_tokens(docs: DataFrame, specification: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_tokens) of each row; one output row per input row.
 
@@ -120,9 +132,10 @@ def count_tokens(docs: DataFrame, specification: str, text: str = "text", key: s
     null keys pass through; other columns take no part.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(specification)  # a vocabulary file: a few MB whatever the corpus
+    name = hashlib.sha256(specification.encode()).hexdigest()
 
     def run(batches):
-        counter = PieceCounter(shipped.value)
+        counter = counter_of(name, shipped.value)
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for block in blocks(rows, lambda r: len(r[1] or "")):
