@@ -1,27 +1,67 @@
-"""Corpus pipeline: language filter, near-duplicates, repeated passages, decontamination, encoding."""
+"""Corpus pipeline: language filter, near-duplicates, repeated passages, decontamination, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+it kept; every stage but the last returns the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, language_id, sentencepiece_bpe, simhash, substrings
+from tessera.llm.common import only, read, written
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no known language go: no letters at all, or a score below language_id.MIN_SCORE."""
+    return language_id.reject_unknown(docs, language_id.learn(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate component the document with the smallest doc_id stays.
 
-from tessera.llm.sentencepiece_bpe import digests, encode_texts, load_model
+    Rows that repeat a doc_id are one document and stay or go together; a null
+    doc_id is never a duplicate.
+    """
+    found = simhash.near_duplicates(only(docs, "doc_id", "text"))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller doc_id has are cut; a document that loses all its words goes."""
+    kept = substrings.without_repeats(docs)
+    return kept.where(~F.coalesce(F.trim("text") == "", F.lit(False)) | F.col("doc_id").isNull())
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    return decontamination.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode what is left with the pieces model, and decode it again."""
+    """What is left, encoded with the pieces model and decoded again."""
     import public_tokenizers
 
-    return digests(encode_texts(docs, load_model(public_tokenizers.path("piece_bpe_32k.model"))))
+    model = sentencepiece_bpe.load_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_bpe.digests(sentencepiece_bpe.encode_texts(docs, model))
+
 
+STAGES = [
+    ("language id", known_language),
+    ("near duplicates", one_of_each),
+    ("repeated passages", no_repeated_passages),
+    ("decontamination", decontaminate),
+    ("encoding", encode),
+]
 
-STAGES = [("encode", encode)]
+#: Language identification and encoding have no SQL; tests/llm compares the pipeline with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to `documents`; each stage's result is written and read again as the next one's input."""
-    from tessera.llm.common import read, written
-
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
