@@ -30,6 +30,7 @@ use one 64-bit hash of the window.
 from __future__ import annotations
 
 import uuid
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -96,17 +97,32 @@ class Block:
         known = np.array([k is not None for k in keys], bool)
         self.start = np.flatnonzero((doc[:n] == doc[window - 1 :]) & known[doc[:n]]) if n else np.zeros(0, np.int64)
         self.key = np.array([0 if k is None else k for k in keys], np.int64)[doc[self.start]]
-        self.whole = self._grams(window)[self.start]
-        least = self._grams(gram)
-        width, step = window - gram + 1, 1
+        self.gram, self.doc = gram, doc
+
+    @cached_property
+    def whole(self) -> np.ndarray:
+        """The hash of each window."""
+        return self._grams(self.window)[self.start]
+
+    @cached_property
+    def group(self) -> np.ndarray:
+        """The group of each window: the least hash of its grams."""
+        least = self._grams(self.gram)
+        width, step = self.window - self.gram + 1, 1
         while step < width:  # sliding minimum over `width` grams by doubling
             jump = min(step, width - step)
             least = np.minimum(least[:-jump], least[jump:])
             step += jump
-        self.group = least[self.start]
-        # a stretch: windows next to each other in one document with one group
-        same = (np.diff(self.start) == 1) & (self.group[1:] == self.group[:-1]) & (doc[self.start][1:] == doc[self.start][:-1])
-        self.stretch = np.flatnonzero(np.concatenate(([True], ~same))) if len(self.start) else np.zeros(0, np.int64)
+        return least[self.start]
+
+    @cached_property
+    def stretch(self) -> np.ndarray:
+        """The first windows of the stretches: windows next to each other in one document with one group."""
+        if not len(self.start):
+            return np.zeros(0, np.int64)
+        doc = self.doc[self.start]
+        same = (np.diff(self.start) == 1) & (self.group[1:] == self.group[:-1]) & (doc[1:] == doc[:-1])
+        return np.flatnonzero(np.concatenate(([True], ~same)))
 
     def _grams(self, size: int) -> np.ndarray:
         n = max(0, len(self.hash) - size + 1)
@@ -143,13 +159,15 @@ class Block:
 
     def removed(self, elsewhere: np.ndarray) -> np.ndarray:
         """For each word: a window that covers it starts in a document with a smaller key."""
-        order = np.lexsort((self.key, self.whole))
-        whole, key = self.whole[order], self.key[order]
+        ordered = np.sort(self.whole)
+        again = np.flatnonzero(_in(self.whole, np.unique(ordered[1:][ordered[1:] == ordered[:-1]])))
+        again = again[np.lexsort((self.key[again], self.whole[again]))]
+        whole, key = self.whole[again], self.key[again]
         new = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1]))) if len(whole) else np.zeros(0, np.int64)
         smallest = np.repeat(key[new], np.diff(np.append(new, len(whole))))
-        repeat = np.zeros(len(whole), bool)
-        repeat[order] = key > smallest
-        start = self.start[repeat | _in(self.whole, elsewhere)]
+        repeat = _in(self.whole, elsewhere)
+        repeat[again[key > smallest]] = True
+        start = self.start[repeat]
         change = np.zeros(len(self.hash) + 1, np.int64)
         np.add.at(change, start, 1)
         np.add.at(change, start + self.window, -1)
@@ -216,13 +234,13 @@ def in_blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK) ->
     return blocked, n
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, block_bytes: int = BLOCK, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, block_bytes: int = BLOCK, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """struct `row` (all other columns), `no_text`, n_words, n_removed, spans of removed words, and kept text.
 
     The key must be an integer column.  A word goes when a window of `window`
     words that covers it has its word sequence also at a start in a document
     with a smaller key; windows are judged on the input.  Null texts have no
-    words.  Documents with a null key lose nothing and take nothing.  Rows with
+    words.  `with_text` adds the whole text as `raw`.  Documents with a null key lose nothing and take nothing.  Rows with
     the same key are one document.  Kept words are joined by one space.
     """
     blocked, n = in_blocks(docs, key, text, block_bytes)
@@ -321,18 +339,38 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
             edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
             spans.append([{"first": a, "past": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
             kept.append(b" ".join([w for w, g in zip(words, mine.tolist(), strict=True) if not g]))
-        arrays = [table["row"].combine_chunks(), table["no_text"].combine_chunks(), pa.array(block.counts), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), table["raw"].combine_chunks()]
-        return pa.Table.from_arrays(arrays, names=["row", "no_text", "n_words", "n_removed", "spans", "kept", "raw"])
+        arrays = [table["row"].combine_chunks(), table["no_text"].combine_chunks(), pa.array(block.counts), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())]
+        names = ["row", "no_text", "n_words", "n_removed", "spans", "kept"]
+        return pa.Table.from_arrays(arrays + [table["raw"].combine_chunks()] * with_text, names=names + ["raw"] * with_text)
 
     told = rows.groupBy("block").applyInArrow(tell, "part int, block int, n int, names binary, counts binary")
     lists = told.groupBy("part").applyInArrow(repeated, "block int, n int, names binary, n_hot int, hot binary")
     sent = rows.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(send, "part int, block int, n int, n_words int, lengths binary, keys binary, words binary")
     found = sent.groupBy("part").applyInArrow(resolve, "block int, n int, found binary")
     kind = blocked.schema["row"].dataType.simpleString()
-    out = blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, f"row {kind}, no_text boolean, n_words long, n_removed long, spans array<struct<first:int,past:int>>, kept binary, raw binary")
+    out = blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, f"row {kind}, no_text boolean, n_words long, n_removed long, spans array<struct<first:int,past:int>>, kept binary" + ", raw binary" * with_text)
     return out
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents, all columns, with removed words cut from the text.
+
+    A text that loses words is its kept words joined by one space and n_chars,
+    where there is one, its length; other texts stay byte for byte.
+    """
+    out = remove_repeats(docs, window=window, with_text=True)
+    text = F.when(F.col("no_text"), None).when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("raw").cast("string"))
+    columns = []
+    for c in docs.columns:
+        if c == "text":
+            columns.append(text.alias(c))
+        elif c == "n_chars":
+            columns.append(F.when(F.col("n_removed") > 0, F.length(F.col("kept").cast("string"))).otherwise(F.col("row")[c]).cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("row")[c].alias(c))
+    return out.select(*columns)
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of passages that a smaller doc_id has."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
