@@ -1,0 +1,131 @@
+"""Cleaning as column expressions and window filters; every rule keeps rows where it says so."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.sources.artifacts import Tables
+
+
+def parse_categories(text: Column) -> Column:
+    """Trimmed non-empty parts of a comma-separated text; null gives an empty list."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.coalesce(parts, F.array().cast("array<string>"))
+
+
+def parse_attributes(text: Column) -> Column:
+    """A JSON object as a map of texts; 'None' and '' values are null; no object gives an empty map."""
+    parsed = F.from_json(text, "map<string,string>")
+    cleaned = F.transform_values(parsed, lambda k, v: F.when(~v.isin("None", ""), v))
+    return F.coalesce(cleaned, F.create_map().cast("map<string,string>"))
+
+
+def as_int(value: Column) -> Column:
+    return value.try_cast("int")
+
+
+def as_bool(value: Column) -> Column:
+    return F.when(value == "True", True).when(value == "False", False)
+
+
+def nested(value: Column) -> Column:
+    """A nested attribute written as a literal dict, as a map of texts; other texts give null."""
+    as_json = F.regexp_replace(F.regexp_replace(value, "u?'([^']*)'", '"$1"'), r"\b(True|False|None)\b", '"$1"')
+    return F.when(value.startswith("{"), F.from_json(as_json, "map<string,string>"))
+
+
+def days_open(hours: Column) -> Column:
+    """Keys of a JSON object; null and malformed text count 0."""
+    keys = F.json_object_keys(hours)
+    return F.when(keys.isNull(), 0).otherwise(F.size(keys))
+
+
+def parts(text: Column) -> Column:
+    """Non-blank comma-separated parts; null, '' and 'None' have none."""
+    return F.when(text.isNull() | F.trim(text).isin("", "None"), 0).otherwise(F.size(F.filter(F.split(text, ","), lambda x: F.trim(x) != "")))
+
+
+def csv_count(text: Column) -> Column:
+    """All comma-separated parts, empty ones too; null and '' have none."""
+    return F.when(text.isNull() | (text == ""), 0).otherwise(F.size(F.split(text, ",")))
+
+
+def first_of(rows: DataFrame, key: str, order: list) -> DataFrame:
+    """The first row of each key in an order."""
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rank = 1").drop("_rank")
+
+
+def latest_pair(reviews: DataFrame) -> DataFrame:
+    """One review of each (user, business): the undated one, else the last by date, then by id."""
+    order = [F.col("date").desc_nulls_first(), F.col("review_id").desc()]
+    ranked = reviews.withColumn("_rank", F.row_number().over(Window.partitionBy("user_id", "business_id").orderBy(*order)))
+    return ranked.where("_rank = 1").drop("_rank")
+
+
+def outlier_flag(rows: DataFrame, column: str, name: str = "rc_outlier", q: float = 0.99) -> DataFrame:
+    """Flag values above the exact quantile; nothing is dropped."""
+    limit = rows.agg(F.percentile(column, q).alias("_limit"))
+    return rows.crossJoin(F.broadcast(limit)).withColumn(name, F.coalesce(F.col(column) > F.col("_limit"), F.lit(False))).drop("_limit")
+
+
+def impute_median(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Null values replaced by the median of the others."""
+    middle = rows.agg(F.median(column).alias("_median"))
+    return rows.crossJoin(F.broadcast(middle)).withColumn(name, F.coalesce(F.col(column).cast("double"), "_median")).drop("_median")
+
+
+def clean_business(business: DataFrame, order: str = "business_id") -> DataFrame:
+    rows = first_of(business, "business_id", [order])
+    rows = rows.withColumn("categories_list", parse_categories(F.col("categories"))).withColumn("n_categories", F.size("categories_list"))
+    rows = rows.withColumn("attributes_clean", parse_attributes(F.col("attributes")))
+    rows = rows.withColumn("price_range", as_int(F.try_element_at("attributes_clean", F.lit("RestaurantsPriceRange2"))))
+    rows = rows.withColumn("n_days_open", days_open(F.col("hours")))
+    return outlier_flag(rows, "review_count")
+
+
+def clean_reviews(reviews: DataFrame) -> DataFrame:
+    rows = latest_pair(first_of(reviews, "review_id", [F.col("date").asc_nulls_last()]))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return rows.withColumn("stars", F.col("stars").try_cast("double")).withColumn("text", text).withColumn("text_len", F.length(text))
+
+
+def clean_users(users: DataFrame) -> DataFrame:
+    rows = first_of(users, "user_id", ["user_id"]).withColumn("n_elite_years", parts(F.col("elite")))
+    return outlier_flag(rows.withColumn("is_elite", F.col("n_elite_years") > 0), "review_count")
+
+
+def clean_checkins(checkins: DataFrame) -> DataFrame:
+    return checkins.withColumn("n_checkins", csv_count(F.col("date")))
+
+
+def clean_tips(tips: DataFrame) -> DataFrame:
+    return tips.distinct().withColumn("text", F.coalesce("text", F.lit(""))).withColumn("date", F.try_to_timestamp(F.col("date").cast("string")))
+
+
+def clean_all(tables: Tables) -> Tables:
+    return Tables(clean_business(tables.business), clean_reviews(tables.reviews), clean_users(tables.users), clean_checkins(tables.checkins), clean_tips(tables.tips))
+
+
+def report(raw: Tables, clean: Tables) -> DataFrame:
+    """(metric, value) of what cleaning found; one aggregate a table."""
+
+    def counted(frame: DataFrame, **metrics: Column) -> DataFrame:
+        row = frame.agg(*[m.cast("long").alias(n) for n, m in metrics.items()])
+        return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in metrics])).alias("x")).select("x.*")
+
+    missing = lambda c: F.count_if(c)
+    business = counted(raw.business, business_duplicates=F.count("*") - F.count_distinct("business_id"))
+    business = business.unionByName(
+        counted(
+            clean.business,
+            business_without_category=missing(F.col("n_categories") == 0),
+            business_without_attributes=missing(F.size(F.map_keys("attributes_clean")) == 0),
+            business_without_price=missing(F.col("price_range").isNull()),
+            business_without_hours=missing(F.col("n_days_open") == 0),
+            business_outliers=missing(F.col("rc_outlier")),
+        )
+    )
+    reviews = counted(raw.reviews, reviews_raw=F.count("*"), reviews_duplicates=F.count("*") - F.count_distinct("review_id"), reviews_pairs=F.count_distinct("user_id", "business_id"))
+    users = counted(clean.users, users=F.count("*"), users_elite=missing(F.col("is_elite")), users_outliers=missing(F.col("rc_outlier")))
+    return business.unionByName(reviews).unionByName(users)

@@ -1,6 +1,8 @@
-"""Registered queries of the engine's own operators and their SQL."""
+"""All registered queries of the engine's own operators and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tessera.plans import clusters, graphs, profiles, recommendations, streams  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
