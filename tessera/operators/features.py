@@ -52,13 +52,11 @@ def standardised(rows: DataFrame, key: str, columns: list[str], weights: dict[st
 def business_features(business: DataFrame, reviews: DataFrame, checkins: DataFrame, top_categories: int = 18, cat_weight: float = 1.0) -> tuple[DataFrame, list[str], DataFrame]:
     """((business_id, features), names, wide rows): ten continuous columns and the top categories, all z-scored."""
     rows = enriched(business, reviews, checkins)
-    for name, column in continuous(rows).items():
-        rows = rows.withColumn(f"f::{name}", column)
+    wide = rows
     counts = business.select(F.explode("categories_list").alias("c")).groupBy("c").count().orderBy(F.desc("count"), "c").limit(top_categories)
     top = [r["c"] for r in counts.collect()]  # at most top_categories names
-    for c in top:
-        rows = rows.withColumn(f"cat::{c}", F.array_contains("categories_list", c).cast("double"))
-    names = [*CONTINUOUS, *[f"cat::{c}" for c in top]]
-    safe = rows.select("business_id", *[F.col(f"`f::{n}`" if n in CONTINUOUS else f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)])
+    columns = [*continuous(rows).values(), *[F.array_contains("categories_list", c).cast("double") for c in top]]
+    names = [*CONTINUOUS, *[f"cat::{c}" for c in top]]  # names may differ by case alone, so columns go by number
+    safe = rows.select("business_id", *[c.alias(f"c{k}") for k, c in enumerate(columns)])
     weights = {f"c{k}": cat_weight for k, n in enumerate(names) if n.startswith("cat::")}
-    return standardised(safe, "business_id", [f"c{k}" for k in range(len(names))], weights), names, rows
+    return standardised(safe, "business_id", [f"c{k}" for k in range(len(names))], weights), names, wide

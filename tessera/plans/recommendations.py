@@ -1 +1,208 @@
-"""."""
+"""Queries of the recommender."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.checkpoint import cut
+from tessera.functions.text import tokens, tokens_sql
+from tessera.operators import recommend, sampling
+from tessera.plans.profiles import latest, rounded
+from tessera.plans.registry import query
+from tessera.sources import roles
+from tessera.sources.roles import sql
+
+
+def split(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(train, test) reviews."""
+    rows = cut(recommend.temporal_split(latest(spark, sf)), "split")
+    return rows.where("not test"), rows.where("test")
+
+
+def evaluated(spark, sf: str, part: int = 10) -> dict[str, DataFrame]:
+    """Train, test, ratings, items, similarity and the users that are evaluated (those whose id divides by `part`)."""
+    train, test = split(spark, sf)
+    r = cut(recommend.ratings(train), "ratings")
+    c = cut(recommend.centred(r), "centred")
+    users = test.select(F.col("user_id").alias("u")).distinct().where(F.col("u") % part == 0)
+    sk = cut(recommend.topk_prune(recommend.item_similarity(c)), "pruned")
+    return {"train": train, "test": test, "r": r, "c": c, "users": cut(users, "users"), "items": r.select("i").distinct(), "sk": sk}
+
+
+def item_vectors(spark, sf: str, train: DataFrame) -> DataFrame:
+    texts = roles.review_texts(spark, sf).select("review_id", "text")
+    rows = train.drop("text").join(texts, "review_id").select(F.col("business_id").alias("item"), "date", "review_id", "text")
+    return cut(recommend.tfidf(sampling.head_per_group(rows, "item", ["date", "review_id"], 50), rows, 2000), "vectors")
+
+
+_CF = """, scored AS (SELECT u, i, greatest(1.0, least(5.0, any_value(mu) + sum(sim * c) / sum(abs(sim)))) AS score FROM (SELECT c.u, p.i, p.sim, c.c, c.mu FROM centred c JOIN pruned p ON p.j = c.i) GROUP BY 1, 2 HAVING sum(abs(sim)) > 1e-8)"""
+
+
+@query("temporal_split", sql("split", tail=" SELECT review_id, test FROM split"))
+def temporal_split(spark, sf):
+    return recommend.temporal_split(latest(spark, sf)).select("review_id", "test")
+
+
+@query("rating_matrix", sql("ratings", tail=" SELECT u, i, r FROM ratings"))
+def rating_matrix(spark, sf):
+    return recommend.ratings(split(spark, sf)[0])
+
+
+@query("corating_pairs", sql("ratings", tail=" SELECT a.i AS i, b.i AS j, count(*) AS n FROM ratings a JOIN ratings b ON a.u = b.u AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 3"))
+def corating_pairs(spark, sf):
+    r = recommend.ratings(split(spark, sf)[0])
+    return r.select("u", "i").join(r.select("u", F.col("i").alias("j")), "u").where("i < j").groupBy("i", "j").agg(F.count("*").alias("n")).where("n >= 3").select("i", "j", "n")
+
+
+@query("adjusted_cosine", sql("sim", tail=" SELECT j, i, round(sim, 6) AS sim FROM sim"))
+def adjusted_cosine(spark, sf):
+    return rounded(recommend.item_similarity(recommend.centred(recommend.ratings(split(spark, sf)[0]))))
+
+
+@query("topk_prune", sql("pruned", tail=" SELECT i, count(*) AS n, round(sum(sim), 5) AS total FROM pruned GROUP BY 1"))
+def topk_prune(spark, sf):
+    sim = recommend.item_similarity(recommend.centred(recommend.ratings(split(spark, sf)[0]))).withColumn("sim", F.round("sim", 9))
+    return rounded(recommend.topk_prune(sim).groupBy("i").agg(F.count("*").alias("n"), F.sum("sim").alias("total")), 5)
+
+
+@query("predict_cf", sql("pruned", tail=_CF + " SELECT u, i, round(score, 4) AS score FROM scored WHERE u % 10 = 0 AND u IN (SELECT user_id FROM split WHERE test)"))
+def predict_cf(spark, sf):
+    e = evaluated(spark, sf)
+    return rounded(recommend.predict(e["c"], e["sk"], e["users"]), 4)
+
+
+@query(
+    "rating_metrics",
+    sql("pruned", tail=_CF + """ SELECT count(*) AS n_test, count(*) FILTER (k.i IS NULL) AS n_cold_items, count(*) FILTER (k.i IS NOT NULL AND score IS NULL) AS n_without_neighbours, count(score) AS n_predicted,
+    round(sqrt(avg((score - stars) * (score - stars))), 5) AS rmse, round(avg(abs(score - stars)), 5) AS mae FROM split t LEFT JOIN (SELECT DISTINCT i FROM ratings) k ON k.i = t.business_id LEFT JOIN scored s ON s.u = t.user_id AND s.i = t.business_id WHERE t.test"""),
+)
+def rating_metrics(spark, sf):
+    e = evaluated(spark, sf, 1)
+    return rounded(recommend.rating_metrics(recommend.predict(e["c"], e["sk"], e["users"]), e["test"], e["items"]), 5)
+
+
+@query("tokens", f"SELECT doc_id, len({tokens_sql('text')}) AS n, list_extract(list_sort({tokens_sql('text')}), 1) AS first FROM documents")
+def token_list(spark, sf):
+    found = tokens(F.col("text"))
+    return roles.read(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.get(F.sort_array(found), F.lit(0)).alias("first"))
+
+
+def _tfidf_sql(normalised: bool, limit: int) -> str:
+    text = f"""WITH d AS (SELECT concat_ws('/', source, lang) AS item, unnest({tokens_sql('text')}) AS term FROM documents), w AS (SELECT item, term, count(*) AS c FROM d GROUP BY 1, 2), t AS (SELECT item, sum(c) AS total FROM w GROUP BY 1),
+    v AS (SELECT term, count(*) AS df FROM w GROUP BY 1 ORDER BY df DESC, term LIMIT {limit}), raw AS (SELECT item, term, c / total * ln((SELECT count(DISTINCT concat_ws('/', source, lang)) FROM documents) / (1 + df)) AS w FROM w JOIN v USING (term) JOIN t USING (item))"""
+    norm = "w / CASE WHEN sqrt(sum(w * w) OVER (PARTITION BY item)) > 0 THEN sqrt(sum(w * w) OVER (PARTITION BY item)) ELSE 1 END" if normalised else "w"
+    return text + f" SELECT item, term, round({norm}, 7) AS w FROM raw"
+
+
+@query("tfidf_l2", _tfidf_sql(True, 500))
+def tfidf_l2(spark, sf):
+    docs = roles.item_texts(spark, sf)
+    return rounded(recommend.tfidf(docs, docs, 500), 7)
+
+
+@query("tfidf_raw", _tfidf_sql(False, 500))
+def tfidf_raw(spark, sf):
+    docs = roles.item_texts(spark, sf)
+    return rounded(recommend.tfidf(docs, docs, 500, normalise=False), 7)
+
+
+@query("vocab_topn", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT concat_ws('/', source, lang) AS item, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY 1 ORDER BY df DESC, term LIMIT 200")
+def vocab_topn(spark, sf):
+    words = roles.item_texts(spark, sf).select("item", F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    return words.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(200)
+
+
+@query("content_scores")
+def content_scores(spark, sf):
+    e = evaluated(spark, sf, 50)
+    return rounded(recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"]))
+
+
+@query("popular_baseline", sql("ratings", tail=" SELECT u.u, p.i, p.score FROM (SELECT DISTINCT user_id AS u FROM split WHERE test AND user_id % 100 = 0) u, (SELECT i, CAST(count(*) AS DOUBLE) AS score FROM ratings GROUP BY 1) p"))
+def popular_baseline(spark, sf):
+    train, test = split(spark, sf)
+    users = test.select(F.col("user_id").alias("u")).distinct().where("u % 100 = 0")
+    return recommend.popular(recommend.ratings(train), users)
+
+
+@query(
+    "normalised_scores",
+    sql("pruned", tail=_CF + ", s AS (SELECT * FROM scored WHERE u % 10 = 0 AND u IN (SELECT user_id FROM split WHERE test)) SELECT u, i, round((score - min(score) OVER (PARTITION BY u)) / greatest(max(score) OVER (PARTITION BY u) - min(score) OVER (PARTITION BY u), 1e-8), 4) AS score FROM s"),
+)
+def normalised_scores(spark, sf):
+    e = evaluated(spark, sf)
+    return rounded(recommend.normalise_rows(recommend.predict(e["c"], e["sk"], e["users"])), 4)
+
+
+@query("hybrid_scores")
+def hybrid_scores(spark, sf):
+    e = evaluated(spark, sf, 50)
+    cf = recommend.predict(e["c"], e["sk"], e["users"])
+    return rounded(recommend.hybrid(cf, recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"]), 0.5))
+
+
+@query(
+    "rank_eval",
+    sql("ratings", tail=""" , pop AS (SELECT i, count(*) AS score FROM ratings GROUP BY 1), rel AS (SELECT DISTINCT user_id AS u, business_id AS i FROM split WHERE test AND stars >= 4 AND user_id % 10 = 0 AND business_id IN (SELECT i FROM ratings)),
+    top AS (SELECT u, i, k FROM (SELECT u.u, p.i, row_number() OVER (PARTITION BY u.u ORDER BY p.score DESC, p.i) AS k FROM (SELECT DISTINCT u FROM rel) u, pop p WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.u = u.u AND r.i = p.i)) WHERE k <= 10),
+    h AS (SELECT top.u, count(*) AS hits, sum(1 / log2(k + 1)) AS dcg FROM top JOIN rel ON rel.u = top.u AND rel.i = top.i GROUP BY 1),
+    n AS (SELECT u, count(*) AS n FROM rel GROUP BY 1)
+    SELECT round(avg(coalesce(hits, 0) / 10), 6) AS precision, round(avg(coalesce(hits, 0) / n), 6) AS recall, round(avg(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda p: 1 / log2(p + 1)))), 6) AS ndcg, count(*) AS users FROM n LEFT JOIN h USING (u)"""),
+)
+def rank_eval(spark, sf):
+    train, test = split(spark, sf)
+    r = cut(recommend.ratings(train), "ratings")
+    users = test.select(F.col("user_id").alias("u")).distinct().where("u % 10 = 0")
+    items = r.select("i").distinct()
+    return rounded(recommend.rank_eval(recommend.popular(r, users), r, test.where("user_id % 10 = 0"), items))
+
+
+@query("method_table")
+def method_table(spark, sf):
+    e = evaluated(spark, sf, 50)
+    cf = cut(recommend.predict(e["c"], e["sk"], e["users"]), "cf")
+    cb = cut(recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"]), "cb")
+    methods = {"random": recommend.random_scores(e["items"], e["users"]), "popular": recommend.popular(e["r"], e["users"]), "item cf": cf, "content": cb}
+    methods |= {f"hybrid {a}": recommend.hybrid(cf, cb, a) for a in (0.3, 0.5, 0.7)}
+    test = e["test"].join(e["users"], F.col("user_id") == F.col("u"), "left_semi")
+    return rounded(recommend.method_table(methods, e["r"], test, e["items"]))
+
+
+@query("alpha_sweep")
+def alpha_sweep(spark, sf):
+    e = evaluated(spark, sf, 50)
+    cf = cut(recommend.predict(e["c"], e["sk"], e["users"]), "cf")
+    cb = cut(recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"]), "cb")
+    test = e["test"].join(e["users"], F.col("user_id") == F.col("u"), "left_semi")
+    return rounded(recommend.alpha_sweep(cf, cb, e["r"], test, e["items"]))
+
+
+@query("demo_user")
+def demo_user(spark, sf):
+    e = evaluated(spark, sf, 1)
+    most = e["r"].join(e["users"], "u", "left_semi").groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).select("u")
+    scores = recommend.predict(e["c"], e["sk"], most)
+    return recommend.show_topk(scores, e["r"], roles.business(spark, sf).select("business_id", "name", "city"))
+
+
+@query(
+    "cold_start",
+    sql("split", tail=""" , tr AS (SELECT * FROM split WHERE NOT test), te AS (SELECT * FROM split WHERE test), c AS (SELECT user_id, count(*) AS n FROM tr GROUP BY 1)
+    SELECT (SELECT count(*) FROM te WHERE user_id NOT IN (SELECT user_id FROM tr)) AS cold_users, (SELECT count(*) FROM te WHERE business_id NOT IN (SELECT business_id FROM tr)) AS cold_items,
+    (SELECT count(*) FROM c WHERE n = 1) AS single_users, round((SELECT avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) FROM c), 6) AS single_share"""),
+)
+def cold_start(spark, sf):
+    return rounded(recommend.cold_start(*split(spark, sf)))
+
+
+@query("anti_cold_users", sql("latest", tail=" SELECT DISTINCT user_id FROM latest WHERE stars = 1 AND user_id NOT IN (SELECT user_id FROM latest WHERE stars = 5)"))
+def anti_cold_users(spark, sf):
+    rows = latest(spark, sf)
+    return rows.where("stars = 1").select("user_id").distinct().join(rows.where("stars = 5").select("user_id").distinct(), "user_id", "left_anti")
+
+
+@query("anti_cold_items", sql("split", tail=" SELECT review_id FROM split WHERE test AND business_id NOT IN (SELECT business_id FROM split WHERE NOT test AND stars = 5)"))
+def anti_cold_items(spark, sf):
+    train, test = split(spark, sf)
+    return test.join(train.where("stars = 5").select("business_id").distinct(), "business_id", "left_anti").select("review_id")
