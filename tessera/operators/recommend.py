@@ -123,16 +123,52 @@ def rank_eval(scores: DataFrame, train: DataFrame, test: DataFrame, items: DataF
     return per.agg(F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg("g").alias("ndcg"), F.count("*").alias("users"))
 
 
-def popular(train: DataFrame, users: DataFrame) -> DataFrame:
-    """(u, i, score): each item's raters, for every user.  Users times items: give it evaluated users."""
+def _wanted(train: DataFrame, users: DataFrame, k: int, spare: int = 0) -> DataFrame:
+    """(u, place): places 1..k plus as many as the user has rated, so that k unseen items are among them."""
+    seen = train.groupBy("u").agg(F.count("*").alias("n"))
+    many = users.select("u").distinct().join(seen, "u", "left").select("u", (F.coalesce("n", F.lit(0)) + k + spare).cast("int").alias("n"))
+    return many.select("u", F.explode(F.sequence(F.lit(1), "n")).alias("place"))
+
+
+def popular(train: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
+    """(u, i, score): for each user enough of the items with most raters that k unseen ones are among them.
+
+    Ranks are joined by place, so a user meets k items more than they rated, not all.
+    """
     counts = train.groupBy("i").agg(F.count("*").cast("double").alias("score"))
-    return users.select("u").distinct().join(counts)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "i"))
+    most = train.groupBy("u").count().agg(F.max("count")).first()[0] or 0
+    top = counts.orderBy(F.desc("score"), "i").limit(int(most) + k).withColumn("place", place)
+    return _wanted(train, users, k).join(top, "place").select("u", "i", "score")
 
 
-def random_scores(items: DataFrame, users: DataFrame, seed: int = 0) -> DataFrame:
-    """(u, i, score): a hash of user, item and seed as a uniform score."""
-    score = F.pmod(F.xxhash64("u", "i", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    return users.select("u").distinct().join(items.select("i").distinct()).withColumn("score", score)
+def random_scores(train: DataFrame, items: DataFrame, users: DataFrame, k: int = 10, seed: int = 0) -> DataFrame:
+    """(u, i, score): enough items in an order of each user's own that k unseen ones are among them.
+
+    The order is (a j + b) modulo the least prime that is not below the number
+    of items, with a and b hashed from user and seed, so no item comes twice;
+    numbers without an item are skipped; score falls with j.
+    """
+    numbered = cut_numbered(items)
+    n = numbered.count()
+    prime = next(p for p in range(max(2, n), 2 * n + 3) if all(p % d for d in range(2, int(p**0.5) + 1)))
+    a = F.pmod(F.xxhash64("u", F.lit(seed)), F.lit(prime - 1)) + 1
+    b = F.pmod(F.xxhash64("u", F.lit(seed + 1)), F.lit(prime))
+    wanted = _wanted(train, users, k, prime - n).withColumn("number", F.pmod(a * F.col("place") + b, F.lit(prime)))
+    return wanted.join(numbered, "number").select("u", "i", (1 / F.col("place")).alias("score"))
+
+
+def cut_numbered(items: DataFrame) -> DataFrame:
+    """(i, number): items numbered from 0 in their order."""
+    from tessera.operators.audit import running
+
+    return running(items.select("i").distinct(), "i", {"number": F.lit(1)}).withColumn("number", F.col("number") - 1)
+
+
+def top_per_user(scores: DataFrame, k: int = 10) -> DataFrame:
+    """The k best-scored items of each user, ties by item."""
+    place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("score"), "i"))
+    return scores.withColumn("place", place).where(F.col("place") <= k)
 
 
 def normalise_rows(scores: DataFrame) -> DataFrame:
@@ -156,8 +192,10 @@ def hybrid(cf: DataFrame, cb: DataFrame, alpha: float) -> DataFrame:
 
 
 def alpha_sweep(cf: DataFrame, cb: DataFrame, train: DataFrame, test: DataFrame, items: DataFrame, alphas=tuple(k / 10 for k in range(11)), k: int = 10) -> DataFrame:
-    """(alpha, precision, recall, ndcg, users) of each mix."""
-    both, out = mixed(cf, cb), None
+    """(alpha, precision, recall, ndcg, users) of each mix; the mixed scores are made once."""
+    from tessera.checkpoint import cut
+
+    both, out = cut(mixed(cf, cb).join(train.select("u", "i").distinct(), ["u", "i"], "left_anti"), "mixed"), None
     for a in alphas:
         row = rank_eval(both.select("u", "i", blend(a).alias("score")), train, test, items, k).select(F.lit(a).alias("alpha"), "*")
         out = row if out is None else out.unionByName(row)

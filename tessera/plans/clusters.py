@@ -127,9 +127,9 @@ def dbscan(spark, sf):
     return cluster.dbscan(points(spark, sf), 1.19, 5)
 
 
-@query("dbscan_summary")
+@query("dbscan_summary", "SELECT cluster, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (" + sql("points", tail=_DBSCAN).replace("WITH ", "WITH RECURSIVE ", 1) + ") GROUP BY 1")
 def dbscan_summary(spark, sf):
-    return cluster.cluster_sizes(cluster.dbscan(points(spark, sf), 1.19, 5))
+    return rounded(cluster.cluster_sizes(cluster.dbscan(points(spark, sf), 1.19, 5)))
 
 
 @query("compare_clusters")

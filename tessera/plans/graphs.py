@@ -52,15 +52,15 @@ def components(spark, sf):
     return graph.components(*roles.friendship(spark, sf))
 
 
-@query("induced_subgraph", sql("edges", tail=" SELECT src, dst FROM edges WHERE src % 3 <> 0 AND dst % 3 <> 0"))
+@query("induced_subgraph", sql("edges", "nodes", tail=" SELECT src, dst FROM edges WHERE src IN (SELECT id FROM nodes WHERE community <> 'BUILDING') AND dst IN (SELECT id FROM nodes WHERE community <> 'BUILDING')"))
 def induced_subgraph(spark, sf):
     edges, nodes = roles.friendship(spark, sf)
-    return graph.induced(edges, nodes.where("id % 3 <> 0"))
+    return graph.induced(edges, nodes.where("community <> 'BUILDING'"))
 
 
 @query(
     "bfs_distances",
-    recursive(sql("edges", "nodes", tail=", bfs AS (SELECT min(id) AS id, 0 AS depth FROM nodes UNION SELECT e.dst, depth + 1 FROM bfs JOIN edges e ON e.src = bfs.id WHERE depth < 40) SELECT id, CAST(min(depth) AS INT) AS depth FROM bfs GROUP BY id")),
+    recursive(sql("edges", "nodes", tail=", bfs AS (SELECT min(id) AS id, 0 AS depth FROM nodes UNION SELECT e.dst, depth + 1 FROM bfs JOIN edges e ON e.src = bfs.id WHERE depth < 150) SELECT id, CAST(min(depth) AS INT) AS depth FROM bfs GROUP BY id")),
 )
 def bfs_distances(spark, sf):
     edges, nodes = roles.friendship(spark, sf)
@@ -68,7 +68,7 @@ def bfs_distances(spark, sf):
 
 
 def _sweep(start: str, name: str) -> str:
-    return f", {name} AS ({start} UNION SELECT e.dst, depth + 1 FROM {name} b JOIN inner_edges e ON e.src = b.id WHERE depth < 40), {name}_d AS (SELECT id, min(depth) AS depth FROM {name} GROUP BY id)"
+    return f", {name} AS ({start} UNION SELECT e.dst, depth + 1 FROM {name} b JOIN inner_edges e ON e.src = b.id WHERE depth < 150), {name}_d AS (SELECT id, min(depth) AS depth FROM {name} GROUP BY id)"
 
 
 @query(
@@ -133,22 +133,19 @@ def hits_top(spark, sf):
     return top.unionByName(graph.top_scores(hubs, roles.users(spark, sf).select("user_id", "name"), "user_id").select(F.lit("hub").alias("side"), "id", "score", "name"))
 
 
-_HALF = "(SELECT id, id % 5 AS community FROM nodes)"
-
-
 @query(
     "modularity",
-    sql("edges", "nodes", tail=f""", p AS {_HALF}, j AS (SELECT a.community AS c1, b.community AS c2 FROM edges JOIN p a ON a.id = src JOIN p b ON b.id = dst),
+    sql("edges", "nodes", tail=""", p AS (SELECT id, community FROM nodes), j AS (SELECT a.community AS c1, b.community AS c2 FROM edges JOIN p a ON a.id = src JOIN p b ON b.id = dst),
     t AS (SELECT c1, count(*) AS tot, count(*) FILTER (c1 = c2) AS ins FROM j GROUP BY 1) SELECT round(sum(ins / m - (tot / m) * (tot / m)), 9) AS modularity FROM t, (SELECT count(*) AS m FROM j)"""),
 )
 def modularity(spark, sf):
     edges, nodes = roles.friendship(spark, sf)
-    return rounded(graph.modularity(edges, nodes.withColumn("community", F.col("id") % 5)), 9)
+    return rounded(graph.modularity(edges, nodes), 9)
 
 
 @query(
     "community_summary",
-    sql("edges", "nodes", "users", tail=f""", p AS {_HALF}, s AS (SELECT community, count(*) AS size FROM p GROUP BY 1 ORDER BY size DESC, community LIMIT 5), deg AS (SELECT src AS id, count(*) AS d FROM edges GROUP BY 1),
+    sql("edges", "nodes", "users", tail=""", p AS (SELECT id, community FROM nodes), s AS (SELECT community, count(*) AS size FROM p GROUP BY 1 ORDER BY size DESC, community LIMIT 5), deg AS (SELECT src AS id, count(*) AS d FROM edges GROUP BY 1),
     e AS (SELECT a.community, count(*) FILTER (a.community = b.community) // 2 AS edges_in, count(*) FILTER (a.community <> b.community) AS edges_out FROM edges JOIN p a ON a.id = src JOIN p b ON b.id = dst GROUP BY 1),
     k AS (SELECT community, name, row_number() OVER (PARTITION BY community ORDER BY coalesce(d, 0) DESC, p.id) AS r FROM p LEFT JOIN deg USING (id) JOIN users u ON u.user_id = p.id),
     m AS (SELECT community, string_agg(name, ', ' ORDER BY r) AS key_members FROM k WHERE r <= 5 GROUP BY 1)
@@ -157,7 +154,7 @@ def modularity(spark, sf):
 def community_summary(spark, sf):
     edges, nodes = roles.friendship(spark, sf)
     names = roles.users(spark, sf).select(F.col("user_id").alias("id"), "name")
-    return graph.community_summary(edges, nodes.withColumn("community", F.col("id") % 5), names=names)
+    return graph.community_summary(edges, nodes, names=names)
 
 
 @query("louvain")
@@ -182,7 +179,8 @@ def bfs_sample(spark, sf):
 @query("force_layout")
 def force_layout(spark, sf):
     edges, lcc = component_graph(spark, sf)
-    nodes = cut(lcc.orderBy("id").limit(200), "few")
+    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("score"))
+    nodes = cut(community.bfs_sample(edges, cut(community.louvain(edges, lcc), "found"), degree).select("id"), "sample")
     return community.spring_layout(graph.induced(edges, nodes), nodes, 60)
 
 

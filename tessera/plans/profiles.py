@@ -188,19 +188,20 @@ def per_group_head(spark, sf):
 
 @query(
     "friends_within",
-    sql("pairs", "nodes", tail=""" SELECT id AS user_id, CAST(count(b) AS INT) AS n_friends_total, CAST(count(b) FILTER (b % 2 = 0) AS INT) AS n_friends_subset,
-    coalesce(string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) FILTER (b % 2 = 0), '') AS friends_subset FROM nodes LEFT JOIN pairs ON a = id GROUP BY id"""),
+    sql("pairs", "nodes", tail=""" SELECT id AS user_id, CAST(count(b) AS INT) AS n_friends_total, CAST(count(b) FILTER (b IN (SELECT id FROM nodes WHERE community = 'BUILDING')) AS INT) AS n_friends_subset,
+    coalesce(string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) FILTER (b IN (SELECT id FROM nodes WHERE community = 'BUILDING')), '') AS friends_subset FROM nodes LEFT JOIN pairs ON a = id GROUP BY id"""),
 )
 def friends_within(spark, sf):
     rows = roles.users_with_friends(spark, sf)
-    ids = rows.where("user_id % 2 = 0").select("user_id")
+    ids = rows.where("state = 'BUILDING'").select("user_id")
     return ndjson.friends_within(rows, ids).select("user_id", "n_friends_total", "n_friends_subset", "friends_subset")
 
 
-@query("semi_sample", sql("reviews", tail=" SELECT business_id, count(*) AS n FROM reviews WHERE business_id IN (SELECT business_id FROM reviews WHERE stars = 5 AND user_id % 7 = 0) GROUP BY 1"))
+@query("semi_sample", sql("reviews", "users", tail=" SELECT business_id, count(*) AS n FROM reviews WHERE business_id IN (SELECT business_id FROM reviews JOIN users USING (user_id) WHERE stars = 5 AND is_elite) GROUP BY 1"))
 def semi_sample(spark, sf):
     rows = roles.reviews(spark, sf)
-    return ndjson.keep_known(rows, rows.where("stars = 5 and user_id % 7 = 0"), "business_id").groupBy("business_id").agg(F.count("*").alias("n"))
+    praised = rows.where("stars = 5").join(users(spark, sf).where("is_elite").select("user_id"), "user_id", "left_semi")
+    return ndjson.keep_known(rows, praised, "business_id").groupBy("business_id").agg(F.count("*").alias("n"))
 
 
 @query("left_enrich", sql("business", "checkins", tail=" SELECT b.business_id, b.name, coalesce(c.n_checkins, 0) AS n_checkins FROM business b LEFT JOIN checkins c ON c.business_id = b.business_id"))

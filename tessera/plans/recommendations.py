@@ -20,12 +20,12 @@ def split(spark, sf: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("not test"), rows.where("test")
 
 
-def evaluated(spark, sf: str, part: int = 10) -> dict[str, DataFrame]:
-    """Train, test, ratings, items, similarity and the users that are evaluated (those whose id divides by `part`)."""
+def evaluated(spark, sf: str) -> dict[str, DataFrame]:
+    """Train, test, ratings, items, pruned similarity and the users that have test reviews."""
     train, test = split(spark, sf)
     r = cut(recommend.ratings(train), "ratings")
     c = cut(recommend.centred(r), "centred")
-    users = test.select(F.col("user_id").alias("u")).distinct().where(F.col("u") % part == 0)
+    users = test.select(F.col("user_id").alias("u")).distinct()
     sk = cut(recommend.topk_prune(recommend.item_similarity(c)), "pruned")
     return {"train": train, "test": test, "r": r, "c": c, "users": cut(users, "users"), "items": r.select("i").distinct(), "sk": sk}
 
@@ -66,7 +66,7 @@ def topk_prune(spark, sf):
     return rounded(recommend.topk_prune(sim).groupBy("i").agg(F.count("*").alias("n"), F.sum("sim").alias("total")), 5)
 
 
-@query("predict_cf", sql("pruned", tail=_CF + " SELECT u, i, round(score, 4) AS score FROM scored WHERE u % 10 = 0 AND u IN (SELECT user_id FROM split WHERE test)"))
+@query("predict_cf", sql("pruned", tail=_CF + " SELECT u, i, round(score, 4) AS score FROM scored WHERE u IN (SELECT user_id FROM split WHERE test)"))
 def predict_cf(spark, sf):
     e = evaluated(spark, sf)
     return rounded(recommend.predict(e["c"], e["sk"], e["users"]), 4)
@@ -78,7 +78,7 @@ def predict_cf(spark, sf):
     round(sqrt(avg((score - stars) * (score - stars))), 5) AS rmse, round(avg(abs(score - stars)), 5) AS mae FROM split t LEFT JOIN (SELECT DISTINCT i FROM ratings) k ON k.i = t.business_id LEFT JOIN scored s ON s.u = t.user_id AND s.i = t.business_id WHERE t.test"""),
 )
 def rating_metrics(spark, sf):
-    e = evaluated(spark, sf, 1)
+    e = evaluated(spark, sf)
     return rounded(recommend.rating_metrics(recommend.predict(e["c"], e["sk"], e["users"]), e["test"], e["items"]), 5)
 
 
@@ -115,20 +115,33 @@ def vocab_topn(spark, sf):
 
 @query("content_scores")
 def content_scores(spark, sf):
-    e = evaluated(spark, sf, 50)
-    return rounded(recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"]))
+    e = evaluated(spark, sf)
+    return recommend.top_per_user(rounded(recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"])))
 
 
-@query("popular_baseline", sql("ratings", tail=" SELECT u.u, p.i, p.score FROM (SELECT DISTINCT user_id AS u FROM split WHERE test AND user_id % 100 = 0) u, (SELECT i, CAST(count(*) AS DOUBLE) AS score FROM ratings GROUP BY 1) p"))
+@query(
+    "popular_baseline",
+    sql("ratings", tail=""" , p AS (SELECT i, CAST(count(*) AS DOUBLE) AS score FROM ratings GROUP BY 1), u AS (SELECT DISTINCT user_id AS u FROM split WHERE test)
+    SELECT u, i, score, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS place FROM u, p WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.u = u.u AND r.i = p.i) QUALIFY place <= 10"""),
+)
 def popular_baseline(spark, sf):
     train, test = split(spark, sf)
-    users = test.select(F.col("user_id").alias("u")).distinct().where("u % 100 = 0")
-    return recommend.popular(recommend.ratings(train), users)
+    r = cut(recommend.ratings(train), "ratings")
+    scores = recommend.popular(r, test.select(F.col("user_id").alias("u")).distinct())
+    return recommend.top_per_user(scores.join(r.select("u", "i"), ["u", "i"], "left_anti"))
+
+
+@query("random_baseline")
+def random_baseline(spark, sf):
+    train, test = split(spark, sf)
+    r = cut(recommend.ratings(train), "ratings")
+    scores = recommend.random_scores(r, r.select("i"), test.select(F.col("user_id").alias("u")).distinct())
+    return recommend.top_per_user(scores.join(r.select("u", "i"), ["u", "i"], "left_anti"))
 
 
 @query(
     "normalised_scores",
-    sql("pruned", tail=_CF + ", s AS (SELECT * FROM scored WHERE u % 10 = 0 AND u IN (SELECT user_id FROM split WHERE test)) SELECT u, i, round((score - min(score) OVER (PARTITION BY u)) / greatest(max(score) OVER (PARTITION BY u) - min(score) OVER (PARTITION BY u), 1e-8), 4) AS score FROM s"),
+    sql("pruned", tail=_CF + ", s AS (SELECT * FROM scored WHERE u IN (SELECT user_id FROM split WHERE test)) SELECT u, i, round((score - min(score) OVER (PARTITION BY u)) / greatest(max(score) OVER (PARTITION BY u) - min(score) OVER (PARTITION BY u), 1e-8), 4) AS score FROM s"),
 )
 def normalised_scores(spark, sf):
     e = evaluated(spark, sf)
@@ -137,14 +150,14 @@ def normalised_scores(spark, sf):
 
 @query("hybrid_scores")
 def hybrid_scores(spark, sf):
-    e = evaluated(spark, sf, 50)
+    e = evaluated(spark, sf)
     cf = recommend.predict(e["c"], e["sk"], e["users"])
-    return rounded(recommend.hybrid(cf, recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"]), 0.5))
+    return recommend.top_per_user(rounded(recommend.hybrid(cf, recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"]), 0.5)))
 
 
 @query(
     "rank_eval",
-    sql("ratings", tail=""" , pop AS (SELECT i, count(*) AS score FROM ratings GROUP BY 1), rel AS (SELECT DISTINCT user_id AS u, business_id AS i FROM split WHERE test AND stars >= 4 AND user_id % 10 = 0 AND business_id IN (SELECT i FROM ratings)),
+    sql("ratings", tail=""" , pop AS (SELECT i, count(*) AS score FROM ratings GROUP BY 1), rel AS (SELECT DISTINCT user_id AS u, business_id AS i FROM split WHERE test AND stars >= 4 AND business_id IN (SELECT i FROM ratings)),
     top AS (SELECT u, i, k FROM (SELECT u.u, p.i, row_number() OVER (PARTITION BY u.u ORDER BY p.score DESC, p.i) AS k FROM (SELECT DISTINCT u FROM rel) u, pop p WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.u = u.u AND r.i = p.i)) WHERE k <= 10),
     h AS (SELECT top.u, count(*) AS hits, sum(1 / log2(k + 1)) AS dcg FROM top JOIN rel ON rel.u = top.u AND rel.i = top.i GROUP BY 1),
     n AS (SELECT u, count(*) AS n FROM rel GROUP BY 1)
@@ -153,34 +166,32 @@ def hybrid_scores(spark, sf):
 def rank_eval(spark, sf):
     train, test = split(spark, sf)
     r = cut(recommend.ratings(train), "ratings")
-    users = test.select(F.col("user_id").alias("u")).distinct().where("u % 10 = 0")
+    users = test.select(F.col("user_id").alias("u")).distinct()
     items = r.select("i").distinct()
-    return rounded(recommend.rank_eval(recommend.popular(r, users), r, test.where("user_id % 10 = 0"), items))
+    return rounded(recommend.rank_eval(recommend.popular(r, users), r, test, items))
 
 
 @query("method_table")
 def method_table(spark, sf):
-    e = evaluated(spark, sf, 50)
+    e = evaluated(spark, sf)
     cf = cut(recommend.predict(e["c"], e["sk"], e["users"]), "cf")
     cb = cut(recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"]), "cb")
-    methods = {"random": recommend.random_scores(e["items"], e["users"]), "popular": recommend.popular(e["r"], e["users"]), "item cf": cf, "content": cb}
+    methods = {"random": recommend.random_scores(e["r"], e["items"], e["users"]), "popular": recommend.popular(e["r"], e["users"]), "item cf": cf, "content": cb}
     methods |= {f"hybrid {a}": recommend.hybrid(cf, cb, a) for a in (0.3, 0.5, 0.7)}
-    test = e["test"].join(e["users"], F.col("user_id") == F.col("u"), "left_semi")
-    return rounded(recommend.method_table(methods, e["r"], test, e["items"]))
+    return rounded(recommend.method_table(methods, e["r"], e["test"], e["items"]))
 
 
 @query("alpha_sweep")
 def alpha_sweep(spark, sf):
-    e = evaluated(spark, sf, 50)
+    e = evaluated(spark, sf)
     cf = cut(recommend.predict(e["c"], e["sk"], e["users"]), "cf")
     cb = cut(recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"]), "cb")
-    test = e["test"].join(e["users"], F.col("user_id") == F.col("u"), "left_semi")
-    return rounded(recommend.alpha_sweep(cf, cb, e["r"], test, e["items"]))
+    return rounded(recommend.alpha_sweep(cf, cb, e["r"], e["test"], e["items"]))
 
 
 @query("demo_user")
 def demo_user(spark, sf):
-    e = evaluated(spark, sf, 1)
+    e = evaluated(spark, sf)
     most = e["r"].join(e["users"], "u", "left_semi").groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).select("u")
     scores = recommend.predict(e["c"], e["sk"], most)
     return recommend.show_topk(scores, e["r"], roles.business(spark, sf).select("business_id", "name", "city"))

@@ -2,8 +2,8 @@
 
 reviews: lines of orders (user: customer, business: part, stars: a tenth of the
 quantity, rounded up).  business: parts.  users: customers.  friendships: the
-customers of an order whose key divides by 8 and of the next order.  stream:
-events.  item texts: documents by source and language.
+customers of two successive orders of one priority and status.  checkins: returned
+lines.  stream: events.  item texts: documents by source and language.
 """
 
 from __future__ import annotations
@@ -70,10 +70,11 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def friend_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b): distinct friends, in one direction as they come."""
+    same = ["o_orderpriority", "o_orderstatus"]
     orders = read(spark, sf_dir, "orders")
-    first = orders.where("o_orderkey % 8 = 0").select((F.col("o_orderkey") + 1).alias("k"), F.col("o_custkey").alias("a"))
-    after = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("b"))
-    return first.join(after, "k").where("a <> b").select("a", "b").distinct()
+    first = orders.select((F.col("o_orderkey") + 1).alias("k"), F.col("o_custkey").alias("a"), *same)
+    after = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("b"), *same)
+    return first.join(after, ["k", *same]).where("a <> b").select("a", "b").distinct()
 
 
 def users_with_friends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,14 +87,14 @@ def friendship(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(edges in both directions, nodes)."""
     pairs = friend_pairs(spark, sf_dir)
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a")).distinct()
-    return edges, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return edges, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("community"))
 
 
 def checkins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """business_id and a comma-separated text of the days of its lines."""
     lines = read(spark, sf_dir, "lineitem")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(days("l_shipdate"))), lambda d: d.cast("string")), ",")
-    return lines.where("l_linenumber = 1").groupBy(F.col("l_partkey").alias("business_id")).agg(text.alias("date"))
+    return lines.where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("business_id")).agg(text.alias("date"))
 
 
 def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,11 +140,11 @@ _CTES = {
          CASE WHEN c_acctbal > 7000 THEN 2 WHEN c_acctbal > 5000 THEN 1 ELSE 0 END AS n_elite_years, c_acctbal > 5000 AS is_elite, (c_custkey % 9) / 2.0 + 1 AS average_stars
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)""",
     "pairs": """pairs AS (
-  SELECT DISTINCT a.o_custkey AS a, b.o_custkey AS b FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey % 8 = 0 AND a.o_custkey <> b.o_custkey)""",
+  SELECT DISTINCT a.o_custkey AS a, b.o_custkey AS b FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 AND b.o_orderpriority = a.o_orderpriority AND b.o_orderstatus = a.o_orderstatus WHERE a.o_custkey <> b.o_custkey)""",
     "edges": "edges AS (SELECT a AS src, b AS dst FROM pairs UNION SELECT b, a FROM pairs)",
-    "nodes": "nodes AS (SELECT c_custkey AS id FROM customer)",
+    "nodes": "nodes AS (SELECT c_custkey AS id, c_mktsegment AS community FROM customer)",
     "checkins": """checkins AS (
-  SELECT l_partkey AS business_id, string_agg(CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS VARCHAR), ',') AS date, count(*) AS n_checkins FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)""",
+  SELECT l_partkey AS business_id, string_agg(CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS VARCHAR), ',') AS date, count(*) AS n_checkins FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)""",
     "points": "points AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS features, label FROM embeddings)",
     "split": """split AS (
   SELECT *, n >= 5 AND p >= n - greatest(1, CAST(round_even(n * 0.2, 0) AS BIGINT)) AS test FROM (
