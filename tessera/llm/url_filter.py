@@ -40,7 +40,7 @@ RULES = [
 ]
 ORDER = 4
 #: Labelled URLs of each verdict that the models are fitted and calibrated on.
-SAMPLE = 6000
+SAMPLE = 2000
 #: Longer URLs take no part in fitting (they are still judged).
 FIT_CHARS = 1000
 #: Rows of the largest weight table that is broadcast, some 60 bytes each.
