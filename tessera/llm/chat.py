@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm.common import map_arrow, read
 
 START, END = "<|im_start|>", "<|im_end|>"
 TEMPLATE = (
@@ -422,7 +422,7 @@ def format_chat(conversations: DataFrame, template: str = TEMPLATE, part_chars:
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInArrow(run, "conv_id long, part int, formatted string, loss array<struct<first:int,past:int>>")
+    return map_arrow(ordered, run, "conv_id long, part int, formatted string, loss array<struct<first:int,past:int>>")
 
 
 def turns_of(formatted: str) -> Iterable[tuple[str, str]]:
@@ -460,7 +460,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def told(now):
         return now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(formatted, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

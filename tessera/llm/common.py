@@ -74,3 +74,11 @@ def text_bytes(column: str = "text"):
 def only(frame: DataFrame, *columns: str) -> DataFrame:
     """The named columns; other columns, whatever their names, take no part."""
     return frame.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def map_arrow(frame: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow() with batches of bounded bytes, however long the rows are."""
+    conf = frame.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BLOCK_BYTES))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    return frame.mapInArrow(function, schema)

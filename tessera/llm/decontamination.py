@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessera.llm.common import only, read, text_bytes, written
+from tessera.llm.common import map_arrow, only, read, text_bytes, written
 
 WINDOW = 13
 #: Words of one shard's automaton, some 300 bytes each.
@@ -169,25 +169,27 @@ def shards(items: DataFrame, key: str, text: str, limit: int):
 
 
 def _matched(docs: DataFrame, items: list, text: str, window: int) -> DataFrame:
-    """All columns of docs with n_words, spans and items, in one narrow pass."""
+    """All columns of docs with n_words, spans and items, in one narrow pass; `text` is a column, or `column.field`."""
     shipped = docs.sparkSession.sparkContext.broadcast((items, window))  # at most MAX_WORDS words
     names = docs.columns
+    column, _, field = text.partition(".")
 
     def run(batches):
         automaton = Automaton(*shipped.value)
         for batch in batches:
             counts, spans, found = [], [], []
-            for raw in batch.column(len(names)).to_pylist():
-                words = words_of(raw)
+            held = batch.column(names.index(column))
+            for said in (held.field(field) if field else held).to_pylist():
+                words = words_of((said or "").encode())
                 hit, keys = automaton.match(words)
                 counts.append(len(words))
                 spans.append([{"first": a, "past": b} for a, b in hit])
                 found.append(sorted(keys))
-            arrays = [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))), pa.array(found, pa.list_(pa.string()))]
+            arrays = [*batch.columns, pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "spans", "items"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_words long, spans array<struct<first:int,past:int>>, items array<string>"])
-    return docs.withColumn("_raw", text_bytes(text)).mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _over_shards(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, window: int, max_words: int) -> DataFrame:
@@ -239,12 +241,12 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", w
     `long_span`: in documents that stay, spans of at least that many words are
     cut out of the text (None: texts stay as they are).
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    kept = judged(_over_shards(packed, items, "text", "item_id", "text", window, MAX_WORDS), coverage).where(~F.col("contaminated"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = judged(_over_shards(packed, items, f"row.{text}", "item_id", "text", window, MAX_WORDS), coverage).where(~F.col("contaminated"))
     if long_span is None:
         return kept.select("row.*")
     cut = F.pandas_udf(lambda texts, spans: texts.combine(spans, cut_spans), StringType())
-    shorter = cut("text", F.filter("spans", lambda s: s["past"] - s["first"] >= long_span))
+    shorter = cut(F.col("row")[text], F.filter("spans", lambda s: s["past"] - s["first"] >= long_span))
     return kept.select(*[(shorter if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 

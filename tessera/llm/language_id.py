@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, only, read
+from tessera.llm.common import BLOCK_BYTES, blocks, map_arrow, only, read
 
 SAMPLE = 300
 SAMPLE_CHARS = 2500
@@ -206,15 +206,17 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key
     return out
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """All columns of docs with lang_pred and score (0 to 1), in one narrow pass.
 
+    `text` names the text's column, or `column.field` in a struct column.
+
     A null text, and one without a letter, is `und` with score 0; so is every
     text without a model.
     """
     names = docs.columns
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(model)  # bounded by the training sample
+    column, _, field = text.partition(".")
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches):
         of: dict[str, int] = {}
@@ -222,7 +224,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str =
         model = shipped.value
         for batch in batches:
             langs, scores = [], []
-            for block in blocks(batch.column(len(names)).to_pylist(), lambda t: len(t or "")):
+            held = batch.column(names.index(column))
+            texts = (held.field(field) if field else held).to_pylist()
+            for block in blocks(texts, lambda t: len(t or ""), BLOCK_BYTES // 2):
                 found = [words_of(t) if t else [] for t in block]
                 found = [[w for w in ws if any(map(str.isalpha, w))] if any(map(str.isnumeric, "".join(ws))) else ws for ws in found]
                 lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -243,10 +247,10 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str =
                 for n, k, row in zip(lengths.tolist(), best.tolist(), mean, strict=True):
                     langs.append(model.labels[k] if n else UNKNOWN)
                     scores.append(min(1.0, round(float(row[k]), 6)) if n else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string, score double"])
-    return docs.withColumn("_text", F.col(f"`{text}`")).mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def learn(docs: DataFrame) -> Model | None:
@@ -256,8 +260,8 @@ def learn(docs: DataFrame) -> Model | None:
 
 def reject_unknown(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents, all columns, whose language is known with at least `min_score`."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    found = predict(packed, model)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = predict(packed, model, "row.text")
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
 
 

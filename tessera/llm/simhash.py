@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, only, read, text_bytes, written
+from tessera.llm.common import blocks, map_arrow, only, read, text_bytes, written
 
 SEED = 42
 SHINGLE = 4
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
                 found = block_fingerprints([t for _, t in block], size)
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in block], batch.schema.field(0).type), pa.array(found.view(np.int64))], names=[key, "fp"])
 
-    return only(docs, key, text).select(key, text_bytes(text).alias("raw")).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return map_arrow(only(docs, key, text).select(key, text_bytes(text).alias("raw")), run, f"`{key}` {kind}, fp long")
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -172,7 +172,7 @@ def _bucketed_links(rows: DataFrame, distance: int) -> DataFrame:
             yield flush(path, val, fp)
 
     dealt = rows.select("path", "val", "fp").repartition("path", "val").sortWithinPartitions("path", "val")
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, only, read
+from tessera.llm.common import blocks, map_arrow, only, read
 
 #: Entries of the kept tables; beyond it only the newest block's entries stay.
 TABLE_ENTRIES = 400_000
@@ -150,7 +150,7 @@ def count_tokens(docs: DataFrame, specification: str, text: str = "text", key: s
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return only(docs, key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long")
+    return map_arrow(only(docs, key, text), run, f"`{key}` {kind}, n_bytes long, n_tokens long")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
