@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, only, read, shared_path, text_bytes
+from tessera.llm.common import blocks, map_arrow, only, read, shared_path, text_bytes, written
 
 #: Bytes of one image row: 64 samples of red, green and blue.
 ROW = 192
@@ -104,7 +104,7 @@ def interleaved(pages: DataFrame, html: str = "html", key: str = "page_id") -> D
             parts = [parse_html(h) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, part)], names=[key, "parts"])
 
-    return only(pages, key, html).mapInArrow(run, f"`{key}` {kind}, parts array<{PART}>")
+    return map_arrow(only(pages, key, html), run, f"`{key}` {kind}, parts array<{PART}>")
 
 
 def padded(payload: bytes) -> bytes:
@@ -169,7 +169,7 @@ def store_media(spark: SparkSession, docs: DataFrame, text: str = "text", key: s
                 digests = [hashlib.sha256(m).hexdigest() for m in media]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in block], batch.schema.field(0).type), pa.array(digests), pa.array(media, pa.binary())], names=[key, "digest", "media"])
 
-    frame = only(docs, key, text).select(key, text_bytes(text).alias("raw")).mapInArrow(run, f"`{key}` {kind}, digest string, media binary")
+    frame = map_arrow(only(docs, key, text).select(key, text_bytes(text).alias("raw")), run, f"`{key}` {kind}, digest string, media binary")
     path = shared_path(spark, "media")
     frame.write.option("compression", "none").parquet(path)  # images are compressed already
     return spark.read.schema(frame.schema).parquet(path)
@@ -188,7 +188,7 @@ def media_features(media: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=names)
 
-    read_back = media.select("digest", "media").mapInArrow(run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    read_back = map_arrow(media.select("digest", "media"), run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return read_back.groupBy("digest").agg(*[F.first(c).alias(c) for c in names[1:]])
 
 
@@ -207,5 +207,6 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = store_media(spark, read(spark, sf_dir, "documents"))
     page = F.format_string('<article><p>Before.</p><figure><img src="sha256:%s"><figcaption>Payload %s</figcaption></figure><p>After.</p></article>', "digest", F.substring("digest", 1, 8))
     sequences = interleaved(media.select("doc_id", page.alias("html")), key="doc_id")
-    found = resolve(sequences, media_features(media), "doc_id")
+    features = written(spark, media_features(media), "features")  # a shuffle of its own, so a join may split a digest with many references
+    found = resolve(sequences, features, "doc_id")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
