@@ -47,7 +47,6 @@ BLOCK = 8 << 20
 HOT = 20_000
 MAX_BUCKETS = 10_000
 
-_COEFFICIENTS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1 for k in range(1, 257)], np.uint64)
 _WORD_MASK = (1 << 48) - 1
 
 
@@ -57,6 +56,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Odd and without a common factor or step: sums over other orders of the same words differ.
+_COEFFICIENTS = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array's bytes, plane by plane, compressed."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
