@@ -66,6 +66,36 @@ def blocks(rows: Iterable, size, limit: int = BLOCK_BYTES) -> Iterator[list]:
         yield block
 
 
+class Kept:
+    """A function's results by key, in bounded memory.
+
+    Results asked for in two blocks outlive those asked for in one: texts hold
+    many words that never come again, and those must not push the others out.
+    """
+
+    def __init__(self, function, entries: int) -> None:
+        self.function, self.entries = function, entries
+        self.often: dict = {}
+        self.once: dict = {}
+
+    def of(self, keys: set) -> dict:
+        """The results of a block's keys."""
+        often, once, function = self.often, self.once, self.function
+        rest = keys - often.keys()
+        again = rest & once.keys()
+        for k in again:
+            often[k] = once.pop(k)
+        found = {k: often[k] for k in keys & often.keys()}
+        fresh = {k: function(k) for k in rest - again}
+        if len(often) > self.entries:
+            self.often = dict(list(found.items())[: self.entries])
+        if len(once) + len(fresh) > self.entries:
+            self.once = fresh if len(fresh) <= self.entries else {}
+        else:
+            once.update(fresh)
+        return found | fresh
+
+
 def text_bytes(column: str = "text"):
     """A text column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

@@ -16,12 +16,13 @@ from __future__ import annotations
 import hashlib
 import re
 from math import inf
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, only, read
+from tessera.llm.common import Kept, blocks, map_arrow, only, read
 
 #: Entries of each kept table of a worker.
 TABLE_ENTRIES = 300_000
@@ -70,7 +71,11 @@ class Encoder:
         self.halves: dict[str, tuple[str, str]] = {}  # the last merge of each whole piece
         self.edges: dict[tuple[str, bool], list[str]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known = Kept(self.lookup, entries)
+        self.parts: dict[str, tuple[str, int]] = {}
+        self.alphabet = {p for p in self.ids if len(p) == 1}
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.spoken = {p: f" {i}" for p, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
         for piece in filter(self._is_whole, self.ids):
             self.automaton.add_word(piece, (len(piece) - 1, piece))
@@ -195,8 +200,25 @@ class Encoder:
 
     def lookup(self, chunk: str) -> tuple[str, int, str]:
         """Decimal ids with a space before each, their number, and the decoded chunk."""
-        ids = self.encode_chunk(chunk.replace(" ", SPACE))
-        return "".join(f" {i}" for i in ids), len(ids), self._text(ids)
+        marked = chunk.replace(" ", SPACE)
+        if not self.alphabet.issuperset(marked):
+            ids = self.encode_chunk(marked)
+            return "".join(f" {i}" for i in ids), len(ids), self._text(ids)
+        # two characters that stand side by side in no piece are never merged across: encode between such borders
+        borders = [k for k, pair in enumerate(map(add, marked, marked[1:]), 1) if pair not in self.pairs]
+        if not borders:
+            found = self.part(marked)
+            return found[0], found[1], chunk
+        parts = [self.part(marked[a:b]) for a, b in zip([0, *borders], [*borders, len(marked)], strict=True)]
+        return "".join([p[0] for p in parts]), sum([p[1] for p in parts]), chunk
+
+    def part(self, part: str) -> tuple[str, int]:
+        """Decimal ids of a part of a chunk whose characters are all pieces, and their number."""
+        found = self.parts.get(part)
+        if found is None:
+            pieces = self._search(part) if len(part) > 1 else [part]
+            found = self.parts[part] = ("".join([self.spoken[p] for p in pieces]), len(pieces))
+        return found
 
     def _text(self, ids) -> str:
         out, raw, pieces, kinds = [], bytearray(), self.model["pieces"], self.model["kinds"]
@@ -226,17 +248,14 @@ class Encoder:
     def encode_block(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """For each text: decimal ids joined by spaces, their number, the decoded text."""
         cut = [self.chunks(t) if t else [] for t in texts]
-        distinct = set().union(*cut)
-        known = self.known
-        for chunk in distinct - known.keys():
-            known[chunk] = self.lookup(chunk)
+        known = self.known.of(set().union(*cut))
         end, out = f" {self.end_id}", []
         for chunks in cut:
             rows = [known[c] for c in chunks]
             ids = "".join([r[0] for r in rows]) + end
             out.append((ids[1:], sum([r[1] for r in rows]) + 1, "".join([r[2] for r in rows])[1:]))
-        if len(known) > self.entries:
-            self.known = {c: known[c] for c in distinct} if len(distinct) <= self.entries else {}
+        if len(self.parts) > self.entries:
+            self.parts = {}
         if len(self.fits) > 4 * self.entries:
             self.fits = {}
         return out
@@ -292,7 +311,7 @@ def encode_texts(docs: DataFrame, model: dict, text: str = "text", key: str = "d
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return only(docs, key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids string, decoded string")
+    return map_arrow(only(docs, key, text), run, f"`{key}` {kind}, n_tokens long, ids string, decoded string")
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
