@@ -201,7 +201,7 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, bu
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of edges (a, b) of longs.
+    """(node, root): the smallest node reachable, for every node of edges (a, b) of longs that is not itself that node.
 
     Large-star and small-star rounds; each round's edges are written, so
     neither lineage nor any one group grows.
