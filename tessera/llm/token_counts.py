@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, map_arrow, only, read
+from tessera.llm.common import Kept, blocks, map_arrow, only, read
 
 #: Entries of the kept tables; beyond it only the newest block's entries stay.
 TABLE_ENTRIES = 400_000
@@ -53,7 +53,7 @@ class PieceCounter:
         self.splits_at_space = splits_at_space(described)
         self.entries = entries
         self.pieces: dict[str, int] = {}  # by pre-token
-        self.chunks: dict[str, int] = {}  # by white-space-free chunk of pre-tokens
+        self.chunks = Kept(lambda c: self._count(c) if c else 0, entries)  # by white-space-free chunk of pre-tokens
 
     def _pre_tokens(self, text: str) -> list[str]:
         normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -83,13 +83,8 @@ class PieceCounter:
                 self.pieces = {}
             return totals
         frequencies = [Counter(_SPACES.split(t) if _NOT_SPACE.search(t) else t.split()) for t in texts]
-        distinct = set().union(*frequencies)
-        for chunk in distinct - self.chunks.keys():
-            self.chunks[chunk] = self._count(chunk) if chunk else 0
-        of = self.chunks.__getitem__
+        of = self.chunks.of(set().union(*frequencies)).__getitem__
         totals = [sum(map(mul, f.values(), map(of, f))) for f in frequencies]
-        if len(self.chunks) > self.entries:
-            self.chunks = {c: self.chunks[c] for c in distinct} if len(distinct) <= self.entries else {}
         if len(self.pieces) > self.entries:
             self.pieces = {}
         return totals
