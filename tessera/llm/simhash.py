@@ -4,9 +4,10 @@ Fingerprints are made in the task that reads the documents and equal ones
 become one row (with partial aggregation, so groups of copies shrink before the
 shuffle).  Two fingerprints that differ in at most 4 of 64 bits agree in one of
 five bands, so each fingerprint enters five buckets.  A bucket over
-BUCKET_ROWS is split the same way by five bands of the bits not yet fixed, and
-so on: no bucket is ever larger, none is dropped, and one bucket's rows reach
-one task in bounded number.  Inside the buckets a table holds each
+BUCKET_ROWS is split the same way by five bands of the bits that vary inside it,
+and so on: each step fixes some of them, more than 4096 fingerprints vary in 13
+bits at least, so it ends; no bucket is dropped, and one bucket's rows reach one
+task in bounded number.  Inside the buckets a table holds each
 fingerprint's Hamming distances to the pivots: rows are sorted by the first
 distance and only rows whose first distances differ by at most 4 meet; a pair
 is discarded when any other coordinate differs by more, and survivors are
@@ -145,14 +146,14 @@ def bucket_links(group: np.ndarray, fp: np.ndarray, distance: int = DISTANCE, co
 
 
 def _bucketed_links(rows: DataFrame, distance: int) -> DataFrame:
-    """(a, b) links inside buckets (path, val) of rows sorted by bucket."""
+    """(a, b) links inside the buckets of (bucket, fp) rows."""
 
     def run(batches):
         held: list = []
         size = 0
 
-        def flush(path, val, fp):
-            group = np.concatenate(([0], np.cumsum((path[1:] != path[:-1]) | (val[1:] != val[:-1]))))
+        def flush(bucket, fp):
+            group = np.concatenate(([0], np.cumsum(bucket[1:] != bucket[:-1])))
             left, right = bucket_links(group, fp.view(np.uint64), distance)
             return pa.RecordBatch.from_arrays([pa.array(fp[left]), pa.array(fp[right])], names=["a", "b"])
 
@@ -161,43 +162,51 @@ def _bucketed_links(rows: DataFrame, distance: int) -> DataFrame:
             size += batch.num_rows
             if size < _CHUNK_ROWS:
                 continue
-            path, val, fp = (np.concatenate(c) for c in zip(*held, strict=True))
-            whole = np.flatnonzero((path != path[-1]) | (val != val[-1]))
+            bucket, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+            whole = np.flatnonzero(bucket != bucket[-1])
             cut = int(whole[-1]) + 1 if len(whole) else 0
             if cut:
-                yield flush(path[:cut], val[:cut], fp[:cut])
-            held, size = [[path[cut:], val[cut:], fp[cut:]]], len(fp) - cut
+                yield flush(bucket[:cut], fp[:cut])
+            held, size = [[bucket[cut:], fp[cut:]]], len(fp) - cut
         if size:
-            path, val, fp = (np.concatenate(c) for c in zip(*held, strict=True))
-            yield flush(path, val, fp)
+            yield flush(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    dealt = rows.select("path", "val", "fp").repartition("path", "val").sortWithinPartitions("path", "val")
+    dealt = rows.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
     return map_arrow(dealt, run, "a long, b long")
 
 
+def _band_masks(big: DataFrame, n: int) -> DataFrame:
+    """(bucket, masks): the bits that vary inside each bucket, in n bands."""
+
+    def run(batches):
+        for batch in batches:
+            masks = [[_signed(m) for m in _bands(v & (1 << 64) - 1, n)] for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.list_(pa.int64()))], names=["bucket", "masks"])
+
+    return map_arrow(big, run, "bucket long, masks array<long>")
+
+
 def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): links between distinct fingerprints `fp` whose components are those of all links."""
+    """(a, b): links between distinct fingerprints `fp` whose components are those of all links.
+
+    A bucket's name is a hash of the bucket it came from, the band and the
+    band's bits; two buckets of one name are compared as one, which costs time
+    but no link.
+    """
     n = distance + 1
-    masks = _bands((1 << 64) - 1, n)
-    bands = [F.struct(F.lit(k).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("val")) for k, m in enumerate(masks)]
-    rows = distinct.select(F.explode(F.array(*bands)).alias("x"), "fp").select("x.path", "x.val", "fp")
-    ready, base = [], 0
+    every = F.array(*[F.lit(_signed(m)) for m in _bands((1 << 64) - 1, n)])
+    rows = distinct.select(F.lit(0).cast("long").alias("bucket"), "fp", every.alias("masks"))
+    ready = []
     while True:
-        big = written(spark, rows.groupBy("path", "val").count().where(F.col("count") > bucket_rows).select("path", "val"), "buckets")
+        rows = rows.select("bucket", "fp", F.posexplode("masks").alias("band", "mask")).select(F.xxhash64("bucket", "band", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "fp")
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("all"))
+        big = sizes.where(F.col("n") > bucket_rows).select("bucket", F.col("some").bitwiseXOR(F.col("all")).alias("varying"))
+        big = written(spark, _band_masks(big, n), "buckets")
         if big.isEmpty():
             ready.append(rows)
-            break
-        ready.append(rows.join(big, ["path", "val"], "left_anti"))
-        full = written(spark, rows.join(big, ["path", "val"], "left_semi"), "split")
-        below = [_bands(~m & (1 << 64) - 1, n) for m in masks]
-        known = F.lit([[_signed(x | m) for x in xs] for xs, m in zip(below, masks, strict=True)])
-        finer = F.transform(
-            F.sequence(F.lit(0), F.lit(n - 1)),
-            lambda k: F.struct((F.lit(base + len(masks)) + (F.col("path") - base) * n + k).alias("path"), F.col("fp").bitwiseAND(F.element_at(F.element_at(known, F.col("path") - base + 1), k + 1)).alias("val")),
-        )
-        rows = full.select(F.explode(finer).alias("x"), "fp").select("x.path", "x.val", "fp")
-        base, masks = base + len(masks), [x | m for xs, m in zip(below, masks, strict=True) for x in xs]
-    return _bucketed_links(reduce(DataFrame.unionByName, ready), distance)
+            return _bucketed_links(reduce(DataFrame.unionByName, ready), distance)
+        ready.append(rows.join(big.select("bucket"), "bucket", "left_anti"))
+        rows = written(spark, rows.join(big, "bucket"), "split")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
