@@ -301,7 +301,7 @@ def multi_agg_chain(spark, sf):
     return audit.chains(roles.business(spark, sf)).orderBy(F.desc("n"), "name").limit(8)
 
 
-@query("complexity_table")
+@query("complexity_table", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{c}'" for c in row) + ")" for row in audit.COSTS) + ") AS t(part, algorithm, time, space, scaling)")
 def complexity_table(spark, sf):
     return audit.complexity_table(spark)
 
