@@ -15,16 +15,25 @@ def stratified_sample(rows: DataFrame, key: str, target: int, seed: int = 42) ->
     """From each stratum exactly the half-even rounding of its share of `target` rows, without replacement.
 
     The order in a stratum is a hash of key and seed, so the choice is the same
-    at every run.  Sizes come from one small aggregate that is joined back; the
-    rank window is partitioned by stratum.
+    at every run.  Counts of (stratum, leading hash bits) say which hash ranges
+    are taken whole; only the range that the last row falls into is ranked, so
+    even a stratum with most rows is never sorted in one task.
     """
-    marked = rows.withColumn("_stratum", stratum())
-    sizes = marked.groupBy("_stratum").agg(F.count("*").alias("_n"))
-    share = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("_n").alias("_all")))).select(
+    marked = rows.withColumn("_stratum", stratum()).withColumn("_hash", F.xxhash64(key, F.lit(seed)))
+    marked = marked.withColumn("_range", F.shiftright("_hash", 50))
+    ranges = marked.groupBy("_stratum", "_range").agg(F.count("*").alias("_in"))
+    sizes = ranges.groupBy("_stratum").agg(F.sum("_in").alias("_n"))
+    total = sizes.agg(F.sum("_n").alias("_all"))
+    share = sizes.crossJoin(F.broadcast(total)).select(
         "_stratum", F.bround(F.least(F.lit(1.0), F.lit(float(target)) / F.col("_all")) * F.col("_n"), 0).cast("long").alias("_take")
     )
-    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return marked.join(share, "_stratum").withColumn("_rank", rank).where("_rank <= _take").drop("_stratum", "_take", "_rank")
+    upto = F.sum("_in").over(Window.partitionBy("_stratum").orderBy("_range"))
+    left = ranges.withColumn("_upto", upto).join(share, "_stratum").withColumn("_left", F.col("_take") - (F.col("_upto") - F.col("_in")))
+    wanted = left.where("_left > 0").select("_stratum", "_range", "_left", (F.col("_left") >= F.col("_in")).alias("_whole"))
+    chosen = marked.join(wanted, ["_stratum", "_range"])
+    rank = F.row_number().over(Window.partitionBy("_stratum", "_range").orderBy("_hash", key))
+    last = chosen.where("not _whole").withColumn("_rank", rank).where("_rank <= _left").drop("_rank")
+    return chosen.where("_whole").unionByName(last).select(*rows.columns)
 
 
 def sample_report(population: DataFrame, sample: DataFrame, means: list[str], top: int = 8) -> DataFrame:
