@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.checkpoint import cut
+
 
 def gini(rows: DataFrame, column: str) -> DataFrame:
     """One row: the Gini coefficient of the values; none or a zero total give 0.
@@ -28,11 +30,7 @@ def gini(rows: DataFrame, column: str) -> DataFrame:
 
 def running(rows: DataFrame, order: str, sums: dict) -> DataFrame:
     """Running sums (own row included) of a frame in an order without a single-task window."""
-    from pyspark.sql import Window
-
     dealt = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    from tessera.checkpoint import cut
-
     dealt = cut(dealt, "running")  # partition numbers must not change between the two reads
     parts = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_s{k}") for k, c in enumerate(sums.values())])
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.checkpoint import cut
+from tessera.operators.audit import running
 from tessera.operators.graph import modularity
 
 #: Directed edges of the largest graph that one task may hold.
@@ -50,8 +51,8 @@ def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, max_lev
     found = _sequential(edges, nodes, resolution, max_levels) if mode == "exact" or mode == "auto" and size <= EXACT_EDGES else _parallel(edges, nodes, resolution, max_levels, max_rounds)
     found = cut(found, "communities")
     sizes = found.groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    numbered = sizes.select("community", (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).cast("long").alias("number"))
-    return found.join(numbered, "community").select("id", F.col("number").alias("community"))
+    numbered = running(sizes.withColumn("_order", F.struct((-F.col("n")).alias("n"), "least")), "_order", {"number": F.lit(1)})
+    return found.join(numbered.select("community", "number"), "community").select("id", (F.col("number") - 1).alias("community"))
 
 
 def _parallel(edges: DataFrame, nodes: DataFrame, resolution: float, max_levels: int, max_rounds: int) -> DataFrame:
