@@ -32,7 +32,7 @@ SAMPLE_CHARS = 2500
 LANGUAGES = 64
 UNKNOWN = "und"
 #: Documents below this score are rejected by reject_unknown().
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 #: Words whose emissions a worker keeps.
 TABLE_ENTRIES = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
