@@ -113,7 +113,21 @@ def vocab_topn(spark, sf):
     return words.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(200)
 
 
-@query("content_scores")
+_VECTORS = f""", rt AS (SELECT s.business_id AS item, concat_ws(' ', p_name, p_type, replace(p_brand, '#', ''), s.text) AS text FROM split s JOIN part ON p_partkey = s.business_id WHERE NOT test
+    QUALIFY row_number() OVER (PARTITION BY s.business_id ORDER BY date, review_id) <= 50),
+    tw AS (SELECT item, term, count(*) AS c FROM (SELECT item, unnest({tokens_sql('text')}) AS term FROM rt) GROUP BY 1, 2), tt AS (SELECT item, sum(c) AS total FROM tw GROUP BY 1),
+    tv AS (SELECT term, count(*) AS df FROM tw GROUP BY 1 ORDER BY df DESC, term LIMIT 2000), traw AS (SELECT item, term, c / total * ln((SELECT count(DISTINCT item) FROM rt) / (1 + df)) AS w FROM tw JOIN tv USING (term) JOIN tt USING (item)),
+    vec AS MATERIALIZED (SELECT item AS i, term, w / CASE WHEN sqrt(sum(w * w) OVER (PARTITION BY item)) > 0 THEN sqrt(sum(w * w) OVER (PARTITION BY item)) ELSE 1 END AS w FROM traw),
+    prof AS (SELECT u, term, sum((r - 3) * w) AS p FROM ratings JOIN vec USING (i) WHERE u IN (SELECT user_id FROM split WHERE test) GROUP BY 1, 2),
+    pn AS (SELECT u, CASE WHEN sqrt(sum(p * p)) > 0 THEN sqrt(sum(p * p)) ELSE 1 END AS norm FROM prof GROUP BY 1),
+    cb AS (SELECT u, i, sum(p / norm * w) AS score FROM prof JOIN pn USING (u) JOIN vec USING (term) GROUP BY 1, 2)"""
+_TOP = " SELECT u, i, round(score, 6) AS score, row_number() OVER (PARTITION BY u ORDER BY round(score, 6) DESC, i) AS place FROM {} QUALIFY place <= 10"
+_SCALED = "(SELECT u, i, (score - min(score) OVER (PARTITION BY u)) / greatest(max(score) OVER (PARTITION BY u) - min(score) OVER (PARTITION BY u), 1e-8) AS s FROM {})"
+_MIXED = f""", cf AS (SELECT * FROM scored WHERE u IN (SELECT user_id FROM split WHERE test)),
+    mix AS (SELECT coalesce(a.u, b.u) AS u, coalesce(a.i, b.i) AS i, 0.5 * coalesce(a.s, 0) + 0.5 * coalesce(b.s, 0) AS score FROM {_SCALED.format('cf')} a FULL JOIN {_SCALED.format('cb')} b ON a.u = b.u AND a.i = b.i)"""
+
+
+@query("content_scores", sql("ratings", tail=_VECTORS + _TOP.format("cb")))
 def content_scores(spark, sf):
     e = evaluated(spark, sf)
     return recommend.top_per_user(rounded(recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"])))
@@ -148,7 +162,7 @@ def normalised_scores(spark, sf):
     return rounded(recommend.normalise_rows(recommend.predict(e["c"], e["sk"], e["users"])), 4)
 
 
-@query("hybrid_scores")
+@query("hybrid_scores", sql("pruned", tail=_CF + _VECTORS + _MIXED + _TOP.format("mix")))
 def hybrid_scores(spark, sf):
     e = evaluated(spark, sf)
     cf = recommend.predict(e["c"], e["sk"], e["users"])
@@ -189,11 +203,16 @@ def alpha_sweep(spark, sf):
     return rounded(recommend.alpha_sweep(cf, cb, e["r"], e["test"], e["items"]))
 
 
-@query("demo_user")
+@query(
+    "demo_user",
+    sql("pruned", "business", tail=_CF + """ , most AS (SELECT u FROM ratings WHERE u IN (SELECT user_id FROM split WHERE test) GROUP BY 1 ORDER BY count(*) DESC, u LIMIT 1)
+    SELECT u, i, round_even(round(score, 6), 3) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, i) AS place, b.name, b.city FROM scored s LEFT JOIN business b ON b.business_id = s.i
+    WHERE u = (SELECT u FROM most) AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.u = s.u AND r.i = s.i) QUALIFY place <= 10"""),
+)
 def demo_user(spark, sf):
     e = evaluated(spark, sf)
     most = e["r"].join(e["users"], "u", "left_semi").groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).select("u")
-    scores = recommend.predict(e["c"], e["sk"], most)
+    scores = rounded(recommend.predict(e["c"], e["sk"], most))
     return recommend.show_topk(scores, e["r"], roles.business(spark, sf).select("business_id", "name", "city"))
 
 
