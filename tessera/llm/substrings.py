@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import uuid
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -92,11 +93,11 @@ class Block:
         self.window = window
         self.words = [t.split() for t in texts]
         self.counts = np.fromiter(map(len, self.words), np.int64, len(texts))
-        flat = [w for ws in self.words for w in ws]
-        hashed = {w: xxh64_intdigest(w) & _WORD_MASK for w in set(flat)}
-        self.hash = np.fromiter(map(hashed.__getitem__, flat), np.uint64, len(flat))
+        size = int(self.counts.sum())
+        # hashing every word costs less than looking words up
+        self.hash = np.fromiter(map(xxh64_intdigest, chain.from_iterable(self.words)), np.uint64, size) & np.uint64(_WORD_MASK)
         doc = np.repeat(np.arange(len(texts)), self.counts)
-        n = max(0, len(flat) - window + 1)
+        n = max(0, size - window + 1)
         known = np.array([k is not None for k in keys], bool)
         self.start = np.flatnonzero((doc[:n] == doc[window - 1 :]) & known[doc[:n]]) if n else np.zeros(0, np.int64)
         self.key = np.array([0 if k is None else k for k in keys], np.int64)[doc[self.start]]
