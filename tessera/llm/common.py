@@ -46,13 +46,6 @@ def written(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a written table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def blocks(rows: Iterable, size, limit: int = BLOCK_BYTES) -> Iterator[list]:
     """Consecutive rows in lists of about `limit` bytes; a longer row is a list of its own."""
     block, held = [], 0
