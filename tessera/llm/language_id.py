@@ -34,7 +34,7 @@ UNKNOWN = "und"
 #: Documents below this score are rejected by reject_unknown().
 MIN_SCORE = 0.3
 #: Words whose emissions a worker keeps.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LENGTH, _BATCH, _EPOCHS, _RATE, _DECAY = 48, 512, 4, 0.5, 1e-4
 
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             langs, scores = [], []
             held = batch.column(names.index(column))
             texts = (held.field(field) if field else held).to_pylist()
-            for block in blocks(texts, lambda t: len(t or ""), BLOCK_BYTES // 2):
+            for block in blocks(texts, lambda t: len(t or ""), BLOCK_BYTES // 4):
                 found = [words_of(t) if t else [] for t in block]
                 found = [[w for w in ws if any(map(str.isalpha, w))] if any(map(str.isnumeric, "".join(ws))) else ws for ws in found]
                 lengths = np.fromiter(map(len, found), np.int64, len(found))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Kept, blocks, map_arrow, only, read
 
 #: Entries of each kept table of a worker.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 200_000
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
