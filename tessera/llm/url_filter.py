@@ -15,10 +15,11 @@ an URL's log likelihood is a plain sum of weights of the strings it contains.
 So scoring is one join of exploded strings with a weight table and one sum an
 URL, reduced in the task that read the URL before anything is shuffled.
 
-The models are fitted on at most SAMPLE labelled URLs a verdict (those with the
-smallest hashes, so the choice follows the whole table), which bounds the
-weight table; it is broadcast only when its counted rows allow, else the join is
-an ordinary one.
+The models are fitted on all labelled URLs but a fifth (by hash), which
+calibrates the threshold.  Only the longest strings are counted from the URLs,
+one a character; the shorter ones are sums of theirs.  The weight table grows
+with the corpus; it is broadcast only when its counted rows allow, else the join
+is an ordinary one.
 """
 
 from __future__ import annotations
@@ -39,10 +40,6 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 ORDER = 4
-#: Labelled URLs of each verdict that the models are fitted and calibrated on.
-SAMPLE = 2000
-#: Longer URLs take no part in fitting (they are still judged).
-FIT_CHARS = 1000
 #: Rows of the largest weight table that is broadcast, some 60 bytes each.
 BROADCAST_ROWS = 1_500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,21 +82,24 @@ def fit(urls: DataFrame, order: int = ORDER) -> DataFrame:
 
     The row with the empty key has the weight that each character adds.
     """
+    spark = urls.sparkSession
     chars = urls.select("sign", _characters(F.col("url"), order).alias("chars"))
-    grams = chars.select("sign", F.explode(_strings(order, 0, 0)).alias("gram")).groupBy("sign", "gram").agg(F.count("*").alias("n"))
-    grams = grams.withColumn("k", F.length("gram") - 1).withColumn("context", F.expr("left(gram, k)"))
-    contexts = grams.groupBy("sign", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    known = grams.join(contexts, ["sign", "context"])
+    longest = chars.select("sign", F.explode(_strings(order, order, 0)).alias("gram")).groupBy("sign", "gram").agg(F.count("*").alias("n"))
+    ends = F.explode(F.transform(F.sequence(F.lit(0), F.lit(order)), lambda k: F.struct(k.alias("k"), F.substring("gram", order + 1 - k, k + 1).alias("gram"))))
+    grams = longest.select("sign", ends.alias("x"), "n").groupBy("sign", F.col("x.k").alias("k"), F.col("x.gram").alias("gram")).agg(F.sum("n").alias("n"))
+    grams = written(spark, grams.withColumn("context", F.expr("left(gram, k)")), "grams")
+    contexts = written(spark, grams.groupBy("sign", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "contexts")
     lower, seen = None, []
     for k in range(order + 1):
-        here = known.where(F.col("k") == k).withColumn("shorter", F.substring("gram", 2, k + 1))
+        here = grams.where(F.col("k") == k).join(contexts, ["sign", "context"]).withColumn("shorter", F.substring("gram", 2, k + 1))
         if lower is None:
             here = here.withColumn("p_lower", F.lit(1 / 256))
         else:
             here = here.join(lower, ["sign", "shorter"])
         here = here.withColumn("p", (F.col("n") + F.col("kinds") * F.col("p_lower")) / (F.col("total") + F.col("kinds")))
         back = F.log(F.col("kinds") / (F.col("total") + F.col("kinds")))
-        seen.append(here.select("sign", F.concat(F.lit("+"), "gram").alias("key"), (F.log("p") - back - F.log("p_lower")).alias("w")))
+        here = written(spark, here.select("sign", "gram", "p", (F.log("p") - back - F.log("p_lower")).alias("w")), "order")
+        seen.append(here.select("sign", F.concat(F.lit("+"), "gram").alias("key"), "w"))
         lower = here.select("sign", F.col("gram").alias("shorter"), F.col("p").alias("p_lower"))
     back = contexts.select("sign", F.when(F.col("context") == "", "").otherwise(F.concat(F.lit("-"), "context")).alias("key"), F.log(F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("w"))
     return reduce(DataFrame.unionByName, [*seen, back]).groupBy("key").agg(F.sum(F.col("sign") * F.col("w")).alias("weight"))
@@ -119,7 +119,7 @@ def score(urls: DataFrame, weights: DataFrame, keep: list[str], order: int = ORD
     return summed.select(*keep, (F.coalesce("_sum", F.lit(0.0)) / F.col("_n")).alias("score"))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page_id", order: int = ORDER, sample: int = SAMPLE) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page_id", order: int = ORDER) -> DataFrame:
     """(key, host, path, rule, verdict, score) of each row.
 
     A rule's verdict stands; other URLs are judged by the models (score above
@@ -131,13 +131,11 @@ def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", key: str = "pag
     host, path = host_and_path(F.col(f"`{url}`"))
     rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)).select("key", "url", "host", "path", "best.rule", "best.verdict")
-    labelled = rows.where(F.col("verdict").isNotNull() & (F.length("url") <= FIT_CHARS)).select("url", F.when(F.col("verdict") == "allow", 1).otherwise(-1).alias("sign")).distinct()
-    by_hash = F.xxhash64("url", F.lit(7))
-    chosen = reduce(DataFrame.unionByName, [labelled.where(F.col("sign") == s).orderBy(by_hash, "url").limit(sample) for s in (1, -1)])
-    chosen = written(spark, chosen.coalesce(1), "urls")
+    labelled = rows.where(F.col("verdict").isNotNull()).select("url", F.when(F.col("verdict") == "allow", 1).otherwise(-1).alias("sign")).distinct()
+    labelled = written(spark, labelled, "urls")
     held = F.pmod(F.xxhash64("url", F.lit(11)), F.lit(5)) == 0
-    weights = written(spark, fit(chosen.where(~held), order), "weights")
-    sides = score(chosen.where(held), weights, ["sign"], order).groupBy("sign").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("dev")).collect()
+    weights = written(spark, fit(labelled.where(~held), order), "weights")
+    sides = score(labelled.where(held), weights, ["sign"], order).groupBy("sign").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("dev")).collect()
     found = {r["sign"]: (r["mean"], r["dev"] + 1e-9) for r in sides}  # two rows
     threshold = (found[1][0] * found[-1][1] + found[-1][0] * found[1][1]) / (found[1][1] + found[-1][1]) if len(found) == 2 else float("-inf")
     columns = ["key", "host", "path", "rule"]
