@@ -34,13 +34,15 @@ def _moves(edges: DataFrame, labels: DataFrame, two_m: float, resolution: float,
     return labels.join(moved, "id", "left").select("id", F.coalesce("to", "community").alias("community"))
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, max_levels: int = 50, max_rounds: int = 24, mode: str = "auto") -> DataFrame:
+def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, max_levels: int = 50, max_rounds: int = 24, mode: str = "parallel") -> DataFrame:
     """(id, community) with communities numbered by size, the biggest 0.
 
-    mode "exact": sequential sweeps in node order inside one task (bounded by
-    EXACT_EDGES); "parallel": synchronous rounds and DataFrame aggregation by
-    community; "auto": exact where it fits.  Without edges all nodes get 0.
+    mode "parallel": synchronous rounds and DataFrame aggregation by community,
+    at every size; "exact": sequential sweeps in node order inside one task,
+    refused over EXACT_EDGES.  Without edges all nodes get 0.
     """
+    if mode not in ("parallel", "exact"):
+        raise ValueError(f"no mode {mode}")
     edges = cut(weighted(edges).select("src", "dst", F.col("w").cast("double").alias("w")), "edges")
     nodes = nodes.select("id").distinct()
     size = edges.count()
@@ -48,7 +50,7 @@ def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, max_lev
         return nodes.withColumn("community", F.lit(0).cast("long"))
     if mode == "exact" and size > EXACT_EDGES:
         raise ValueError(f"{size} edges are too many for one task")
-    found = _sequential(edges, nodes, resolution, max_levels) if mode == "exact" or mode == "auto" and size <= EXACT_EDGES else _parallel(edges, nodes, resolution, max_levels, max_rounds)
+    found = _sequential(edges, nodes, resolution, max_levels) if mode == "exact" else _parallel(edges, nodes, resolution, max_levels, max_rounds)
     found = cut(found, "communities")
     sizes = found.groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     numbered = running(sizes.withColumn("_order", F.struct((-F.col("n")).alias("n"), "least")), "_order", {"number": F.lit(1)})
