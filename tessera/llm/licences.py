@@ -51,7 +51,7 @@ def words(paragraph: Column) -> Column:
 
 def grams(paragraph: Column) -> Column:
     """Distinct words and word pairs of a paragraph."""
-    pairs = F.zip_with(words(paragraph), F.slice(words(paragraph), 2, 1 << 20), lambda a, b: F.concat_ws(" ", a, b))
+    pairs = F.zip_with(words(paragraph), F.slice(words(paragraph), 2, F.size(words(paragraph))), lambda a, b: F.concat_ws(" ", a, b))
     return F.array_distinct(F.concat(words(paragraph), F.filter(pairs, lambda p: p.contains(" "))))
 
 
