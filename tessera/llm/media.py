@@ -40,14 +40,48 @@ class _Sequence(HTMLParser):
         self.parts: list[dict] = []
         self.words: list[str] = []
         self.silent: list[str] = []
-        self.figures: list[list[int]] = []  # media parts of each open figure
+        self.figures: list[tuple[list[int], list[tuple[int, str]]]] = []  # media parts, and captions with their places, of each open figure
         self.caption: list[str] | None = None
+        self.caption_at = 0
 
     def _close(self) -> None:
         text = " ".join("".join(self.words).split())
         self.words = []
+        self._text(len(self.parts), text)
+
+    def _text(self, at: int, text: str) -> None:
         if text:
-            self.parts.append({"position": len(self.parts), "kind": "text", "text": text, "ref": None, "caption": None})
+            self.parts.insert(at, {"position": at, "kind": "text", "text": text, "ref": None, "caption": None})
+
+    def _end_caption(self) -> None:
+        """The open caption goes to its figure; without a figure it is text."""
+        if self.caption is None:
+            return
+        text = " ".join("".join(self.caption).split())
+        self.caption = None
+        if self.figures:
+            self.figures[-1][1].append((self.caption_at, text))
+        else:
+            self._text(self.caption_at, text)
+
+    def _end_figure(self) -> None:
+        """A figure's captions go to all its media; without media they are text where they stood."""
+        self._end_caption()
+        media, captions = self.figures.pop()
+        whole = " ".join(t for _, t in captions if t)
+        for at in media:
+            self.parts[at]["caption"] = whole or self.parts[at]["caption"]
+        if not media:
+            for at, text in reversed(captions):
+                self._text(at, text)
+
+    def finish(self) -> list[dict]:
+        """All parts, once the input has ended."""
+        self._close()
+        self._end_caption()
+        while self.figures:
+            self._end_figure()
+        return [{**p, "position": k} for k, p in enumerate(self.parts)]
 
     def handle_starttag(self, tag, attrs):
         if tag in _SILENT:
@@ -57,28 +91,27 @@ class _Sequence(HTMLParser):
             if given.get("src"):
                 self._close()
                 if self.figures:
-                    self.figures[-1].append(len(self.parts))
+                    self.figures[-1][0].append(len(self.parts))
                 self.parts.append({"position": len(self.parts), "kind": "media", "text": None, "ref": given["src"], "caption": given.get("alt") or given.get("title")})
         elif tag in _BREAKS:
             self._close()
             if tag == "figure":
-                self.figures.append([])
+                self._end_caption()
+                self.figures.append(([], []))
             elif tag == "figcaption":
-                self.caption = []
+                self._end_caption()
+                self.caption, self.caption_at = [], len(self.parts)
 
     def handle_endtag(self, tag):
         if self.silent:
             if tag == self.silent[-1]:
                 self.silent.pop()
         elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for at in self.figures[-1] if self.figures else []:
-                self.parts[at]["caption"] = text or self.parts[at]["caption"]
+            self._end_caption()
         elif tag in _BREAKS:
             self._close()
             if tag == "figure" and self.figures:
-                self.figures.pop()
+                self._end_figure()
 
     def handle_data(self, data):
         if not self.silent:
@@ -90,8 +123,7 @@ def parse_html(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
-    parser._close()
-    return parser.parts
+    return parser.finish()
 
 
 def interleaved(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:

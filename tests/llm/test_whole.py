@@ -1,6 +1,8 @@
 """The operators work on all of their input, also past the sizes of the test tables."""
 
-from tessera.llm import url_filter
+from pyspark.sql import functions as F
+
+from tessera.llm import language_id, licences, media, url_filter
 
 
 def test_url_models_count_every_labelled_url(spark, monkeypatch):
@@ -14,3 +16,28 @@ def test_url_models_count_every_labelled_url(spark, monkeypatch):
     fitted, held, judged = seen
     assert not fitted & held and fitted | held == {u for _, u in rows[:-1]} and judged == {"http://d.org/"}
     assert 0.15 < len(held) / len(rows) < 0.25
+
+
+def test_every_language_is_learned(spark):
+    rows = [(10 * k + j, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in ("ba", "do", "ki", "mu") * 3), f"l{k:02}") for k in range(70) for j in range(9)]
+    sample = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    langs = sorted({r[2] for r in rows})
+    assert sorted({lang for _, lang in sample}) == langs and language_id.train(sample).labels == langs
+
+
+def test_word_pairs_of_a_long_line(spark):
+    line = "word " * ((1 << 20) + 10) + "under the MIT License"
+    found = spark.createDataFrame([(line,)], "p string").select(licences.grams(F.col("p")).alias("g")).first().g
+    assert set(found) == {"word", "under", "the", "mit", "license", "word word", "word under", "under the", "the mit", "mit license"}
+
+
+def test_captions_are_kept():
+    def parts(html):
+        return [(p["kind"], p["text"] or p["ref"], p["caption"]) for p in media.parse_html(html)]
+
+    assert parts("<figure><figcaption>Cap</figcaption><img src=a><img src=b></figure>") == [("media", "a", "Cap"), ("media", "b", "Cap")]
+    assert parts("<p>x</p><figcaption>alone</figcaption><p>y</p>") == [("text", "x", None), ("text", "alone", None), ("text", "y", None)]
+    assert parts("<figure><img src=a><figcaption>Cap</figure><p>after</p>") == [("media", "a", "Cap"), ("text", "after", None)]
+    assert parts("<figure><figcaption>Cap</figcaption><p>in</p></figure>z") == [("text", "Cap", None), ("text", "in", None), ("text", "z", None)]
+    assert parts("<figure><img src=a><figcaption>to the end") == [("media", "a", "to the end")]
+    assert [p["position"] for p in media.parse_html("<figure><figcaption>Cap</figcaption><p>in</p></figure>z")] == [0, 1, 2]
