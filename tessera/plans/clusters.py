@@ -72,13 +72,13 @@ def lloyd_fixed(spark, sf):
 
 @query("kmeans_best")
 def kmeans_best(spark, sf):
-    labelled, _, inertia = cluster.kmeans(points(spark, sf), 5, max_iter=20, n_init=2)
+    labelled, _, inertia = cluster.kmeans(points(spark, sf), 5)
     return cluster.cluster_sizes(labelled).withColumn("inertia", F.lit(float(inertia)))
 
 
 @query("choose_k")
 def choose_k(spark, sf):
-    return cluster.choose_k(cut(points(spark, sf), "points"), 2, 4, n_init=1)
+    return cluster.choose_k(cut(points(spark, sf), "points"))
 
 
 @query(
@@ -182,7 +182,7 @@ def pca_projection(spark, sf):
     return rounded(linalg.project(rows, vectors, 3).select("id", *[F.col("projected")[k].alias(f"pc{k + 1}") for k in range(3)]))
 
 
-def _text_matrix(spark, sf, terms: int = 300):
+def _text_matrix(spark, sf, terms: int = 2000):
     docs = roles.item_texts(spark, sf)
     weights = cut(recommend.tfidf(docs, docs, terms, normalise=False), "tfidf")
     names = sorted(r["term"] for r in weights.select("term").distinct().collect())  # at most `terms`
@@ -194,7 +194,7 @@ def svd_curve(spark, sf):
     weights, names, n = _text_matrix(spark, sf)
     values, _ = linalg.svd(weights, names)
     frame = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, {float(s)!r}D)" for k, s in enumerate(values, 1)) + " AS t(place, s)")
-    return rounded(linalg.reconstruction(frame, n, len(names), [5, 10, 25, 50, 100]))
+    return rounded(linalg.reconstruction(frame, n, len(names), [5, 10, 25, 50, 100, 200, 400]))
 
 
 @query("latent_factors")
@@ -208,5 +208,5 @@ def latent_factors(spark, sf):
 def singular_decay(spark, sf):
     weights, names, _ = _text_matrix(spark, sf)
     values, _ = linalg.svd(weights, names)
-    frame = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, {float(s)!r}D)" for k, s in enumerate(values[:200], 1)) + " AS t(place, s)")
-    return rounded(frame.join(linalg.running_share(frame), "place"))
+    frame = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, {float(s)!r}D)" for k, s in enumerate(values, 1)) + " AS t(place, s)")
+    return rounded(frame.join(linalg.running_share(frame), "place").where("place <= 200"))

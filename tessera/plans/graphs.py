@@ -165,7 +165,7 @@ def louvain(spark, sf):
 @query("louvain_parallel")
 def louvain_parallel(spark, sf):
     edges, lcc = component_graph(spark, sf)
-    found = community.louvain(edges, lcc, mode="parallel", max_levels=4, max_rounds=8)
+    found = community.louvain(edges, lcc, mode="parallel")
     return graph.modularity(edges, found).crossJoin(found.agg(F.count_distinct("community").alias("communities")))
 
 
