@@ -28,8 +28,6 @@ from tessera.llm.common import BLOCK_BYTES, blocks, map_arrow, only, read
 
 SAMPLE = 300
 SAMPLE_CHARS = 2500
-#: At most so many languages are learned, the most frequent ones.
-LANGUAGES = 64
 UNKNOWN = "und"
 #: Documents below this score are rejected by reject_unknown().
 MIN_SCORE = 0.3
@@ -122,9 +120,9 @@ def _marginals(emissions: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarr
         back[:, t - 1] /= back[:, t - 1].sum(axis=1, keepdims=True)
     single = forward * back
     single /= single.sum(axis=2, keepdims=True)
-    pair = forward[:, :-1, :, None] * step * (weight[:, 1:] * back[:, 1:])[:, :, None, :]
-    pair /= pair.sum(axis=(2, 3), keepdims=True)
-    return single, pair.sum(axis=(0, 1))
+    before, after = forward[:, :-1], weight[:, 1:] * back[:, 1:]
+    before = before / ((before @ step) * after).sum(axis=2, keepdims=True)
+    return single, step * np.tensordot(before, after, axes=([0, 1], [0, 1]))  # no array of labels x labels a word
 
 
 def train(samples: list[tuple[str, str]], seed: int = 5) -> Model | None:
@@ -187,17 +185,11 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key
     """Up to `sample` labelled rows a language that are not held out, those with the smallest hashes; a bounded list."""
     rows = only(docs, key, text, lang).toDF("key", "text", "lang")
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("key").isNotNull() & ~held_out(F.col("key")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
     place = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
-    wanted = [(F.col("lang") == r["lang"]) & (place < 1.5 * sample / r["count"]) for r in counts]
-    if not wanted:
-        return []
-    condition = wanted[0]
-    for w in wanted[1:]:
-        condition = condition | w
     length = F.length("text")
     first = F.floor(F.when(length > chars, length - chars).otherwise(0) * (F.pmod(F.xxhash64("key", F.lit(19)), F.lit(1000)) / 1000.0)).cast("int") + 1
-    found = rows.where(condition).select("lang", place.alias("place"), F.col("text").substr(first, F.lit(chars)).alias("text")).collect()
+    found = rows.join(F.broadcast(counts), "lang").where(place < 1.5 * sample / F.col("n")).select("lang", place.alias("place"), F.col("text").substr(first, F.lit(chars)).alias("text")).collect()
     out, taken = [], Counter()
     for r in sorted(found, key=lambda r: (r["place"], r["lang"], r["text"])):
         taken[r["lang"]] += 1
