@@ -4,9 +4,13 @@ Features are the words and word pairs of a paragraph that occur in the notice
 templates, present or not.  A multinomial logistic regression tells the
 families and an unknown class apart; it is trained on the templates with their
 variants and, for the unknown class, on paragraphs of a bounded sample of the
-corpus that share little with any template.  A family stands if its probability
-passes a threshold calibrated on held-back rows and if a template of that family
-is contained in the paragraph to a set share.
+corpus that share little with any template.  Every family stands whose
+probability against the unknown class passes a threshold calibrated on held-back
+rows and of which a template is contained in the paragraph to a set share, also
+in what it has apart from the other families' contained templates.
+
+Paragraphs are the lines and, for notices wrapped over lines, windows over the
+words of the whole text; each run of WINDOW words is whole in some window.
 
 Scoring is one narrow pass of SQL functions.  Weights are constants of the plan
 (the vocabulary comes from the templates, so its size is fixed).  Anchor words
@@ -27,21 +31,33 @@ from tessera.llm.common import read, written
 
 UNKNOWN = "unknown"
 TEMPLATES: dict[str, list[str]] = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Distributed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License, Version 2.0."],
-    "bsd": ["Released under the BSD 3-Clause License.", "Licensed under the BSD License.", "Use of this source code is governed by a BSD-style license."],
+    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "under the terms of the GNU Affero General Public License as published by"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Distributed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License, Version 2.0.",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"],
+    "bsd": ["Released under the BSD 3-Clause License.", "Licensed under the BSD License.", "Use of this source code is governed by a BSD-style license.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause"],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2 or later.", "This program is free software under the terms of the GNU General Public License."],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "This software is available under the MIT License."],
-    "mpl": ["Licensed under the Mozilla Public License, version 2.0.", "This source code is subject to the terms of the Mozilla Public License."],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2 or later.", "This program is free software under the terms of the GNU General Public License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "under the terms of the GNU General Public License as published by", "You should have received a copy of the GNU General Public License along with this program", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only"],
+    "isc": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "SPDX-License-Identifier: ISC"],
+    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "under the terms of the GNU Lesser General Public License as published by", "You should have received a copy of the GNU Lesser General Public License along with this library", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "This software is available under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT"],
+    "mpl": ["Licensed under the Mozilla Public License, version 2.0.", "This source code is subject to the terms of the Mozilla Public License.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved.", "Copyright, all rights reserved.", "No part of this work may be copied without written permission."],
-    "public-domain": ["This work is in the public domain.", "Dedicated to the public domain under CC0 1.0.", "No rights reserved, public domain."],
+    "public-domain": ["This work is in the public domain.", "Dedicated to the public domain under CC0 1.0.", "No rights reserved, public domain.",
+        "This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense"],
 }
 #: Documents whose paragraphs train the unknown class, and characters of each.
 SAMPLE, SAMPLE_CHARS = 400, 2000
 #: Share of a template's words and pairs that a paragraph must contain.
 CONTAINED = 0.7
+#: Words of a wrapped notice that some window holds whole; windows start at every WINDOW-th word and are twice as long.
+WINDOW = 60
 _WORD = "[a-z0-9]+"
 
 
@@ -51,8 +67,13 @@ def words(paragraph: Column) -> Column:
 
 def grams(paragraph: Column) -> Column:
     """Distinct words and word pairs of a paragraph."""
-    pairs = F.zip_with(words(paragraph), F.slice(words(paragraph), 2, F.size(words(paragraph))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(words(paragraph), F.filter(pairs, lambda p: p.contains(" "))))
+    return grams_in(words(paragraph))
+
+
+def grams_in(found: Column) -> Column:
+    """Distinct words and word pairs of an array of words."""
+    pairs = F.zip_with(found, F.slice(found, 2, F.size(found)), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(F.concat(found, F.filter(pairs, lambda p: p.contains(" "))))
 
 
 def grams_of(text: str) -> list[str]:
@@ -148,19 +169,22 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
 
 def calibrated(model: Model, held: DataFrame) -> float:
     """The middle between the largest family probability of unknown rows and the 5th percentile of family rows, at least one half."""
-    best = F.element_at(F.sort_array(F.slice(probabilities(F.col("grams"), model), 1, len(model.families) - 1)), -1)
-    row = held.select("family", best.alias("p")).agg(F.max(F.when(F.col("family") == UNKNOWN, F.col("p"))), F.percentile(F.when(F.col("family") != UNKNOWN, F.col("p")), 0.05)).first()
+    row = held.select("family", F.array_max(against_unknown(F.col("grams"), model)).alias("p")).agg(F.max(F.when(F.col("family") == UNKNOWN, F.col("p"))), F.percentile(F.when(F.col("family") != UNKNOWN, F.col("p")), 0.05)).first()
     return max(0.5, ((row[0] or 0.0) + (row[1] or 1.0)) / 2)
 
 
-def probabilities(found: Column, model: Model) -> Column:
-    """Class probabilities of a paragraph's grams, in the order of model.families."""
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def against_unknown(found: Column, model: Model) -> Column:
+    """The probability of each family, had the paragraph it or the unknown class."""
     table = _constant(model.weights, "map<string,array<double>>")
     known = F.array_intersect(found, _constant(list(model.weights), "array<string>"))
     start = _constant(model.intercepts, "array<double>")
     logits = F.aggregate(known, start, lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
-    raised = F.transform(logits, F.exp)
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+    return let(logits, lambda z: F.transform(F.slice(z, 1, len(model.families) - 1), lambda x: 1 / (1 + F.exp(F.element_at(z, -1) - x))))
 
 
 def any_anchor(text: Column, model: Model) -> Column:
@@ -170,25 +194,82 @@ def any_anchor(text: Column, model: Model) -> Column:
     return out
 
 
-def notices(low: Column, model: Model) -> Column:
-    """array<struct<position, family, score, contained>> of the confirmed notices of a lower-cased text."""
+def confirmed(found: Column) -> Column:
+    """array<struct<family, contained>> of the families with a template that the grams contain.
+
+    What a template has apart from a contained template of another family must
+    be contained as well, so `CC BY-NC` is not `CC BY` too.
+    """
+    table = _constant([{"f": f, "g": grams_of(t)} for f, ts in TEMPLATES.items() for t in ts], "array<struct<f:string,g:array<string>>>")
+    vocabulary = _constant(sorted({g for ts in TEMPLATES.values() for t in ts for g in grams_of(t)}), "array<string>")
+
+    def share(g: Column, known: Column) -> Column:
+        return F.size(F.array_intersect(g, known)) / F.size(g)
+
+    def apart(known: Column):
+        return lambda near: F.filter(near, lambda x: F.forall(near, lambda y: (y["f"] == x["f"]) | (F.coalesce(share(F.array_except(x["g"], y["g"]), known), F.lit(0.0)) >= CONTAINED)))
+
+    def named(kept: Column) -> Column:
+        most = lambda f: F.array_max(F.transform(F.filter(kept, lambda x: x["f"] == f), lambda x: x["c"]))
+        return F.transform(F.array_distinct(F.transform(kept, lambda x: x["f"])), lambda f: F.struct(f.alias("family"), F.round(most(f), 6).alias("contained")))
+
+    def of(known: Column) -> Column:
+        near = F.filter(F.transform(table, lambda x: F.struct(x["f"].alias("f"), x["g"].alias("g"), share(x["g"], known).alias("c"))), lambda x: x["c"] >= CONTAINED)
+        return let(let(near, apart(known)), named)
+
+    return let(F.array_intersect(found, vocabulary), of)
+
+
+def judged(paragraphs: Column, model: Model) -> Column:
+    """array<struct<position, last, family, score, contained>> of paragraphs (position, last, grams)."""
+    near = F.filter(F.transform(paragraphs, lambda x: F.struct(x["position"].alias("position"), x["last"].alias("last"), x["grams"].alias("grams"), confirmed(x["grams"]).alias("found"))), lambda x: F.size(x["found"]) > 0)
+    scored = F.transform(near, lambda x: F.struct(x["position"].alias("position"), x["last"].alias("last"), x["found"].alias("found"), against_unknown(x["grams"], model).alias("p")))
+    families = _constant(model.families, "array<string>")
+
+    def each(x: Column) -> Column:
+        return F.transform(
+            x["found"],
+            lambda n: F.struct(x["position"].alias("position"), x["last"].alias("last"), n["family"].alias("family"), F.round(F.element_at(x["p"], F.array_position(families, n["family"]).cast("int")), 6).alias("score"), n["contained"].alias("contained")),
+        )
+
+    return F.filter(F.flatten(F.transform(scored, each)), lambda n: n["score"] >= model.threshold)
+
+
+def lines_of(low: Column, model: Model) -> Column:
+    """The lines with an anchor word, as paragraphs."""
     lines = F.transform(F.split(low, "\n"), lambda p, i: F.struct(i.alias("position"), p.alias("p")))
-    scored = F.transform(
-        F.transform(F.filter(lines, lambda x: any_anchor(x["p"], model)), lambda x: F.struct(x["position"].alias("position"), grams(x["p"]).alias("grams"))),
-        lambda x: F.struct(x["position"].alias("position"), x["grams"].alias("grams"), probabilities(x["grams"], model).alias("p")),
-    )
-    named = F.transform(
-        scored,
-        lambda x: F.struct(
-            x["position"].alias("position"),
-            F.element_at(_constant(model.families, "array<string>"), F.array_position(x["p"], F.array_max(x["p"])).cast("int")).alias("family"),
-            F.round(F.array_max(x["p"]), 6).alias("score"),
-            x["grams"].alias("grams"),
-        ),
-    )
-    passing = F.filter(named, lambda x: (x["family"] != UNKNOWN) & (x["score"] >= model.threshold))
-    checked = F.transform(passing, lambda x: F.struct(x["position"].alias("position"), x["family"].alias("family"), x["score"].alias("score"), F.round(contained(x["grams"], x["family"]), 6).alias("contained")))
-    return F.filter(checked, lambda x: x["contained"] >= CONTAINED)
+    return F.transform(F.filter(lines, lambda x: any_anchor(x["p"], model)), lambda x: F.struct(x["position"].alias("position"), x["position"].alias("last"), grams(x["p"]).alias("grams")))
+
+
+def windows_of(low: Column, model: Model) -> Column:
+    """The windows of more than one line with an anchor word, as paragraphs."""
+    every = F.flatten(F.transform(F.split(low, "\n"), lambda p, i: F.transform(words(p), lambda w: F.struct(i.alias("i"), w.alias("w")))))
+
+    def cut(tokens: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)), F.lit(WINDOW))
+        parts = F.filter(F.transform(starts, lambda at: F.slice(tokens, at, F.lit(2 * WINDOW))), lambda x: F.size(x) > 0)
+        parts = F.filter(parts, lambda x: F.element_at(x, 1)["i"] < F.element_at(x, -1)["i"])
+        parts = F.filter(parts, lambda x: F.exists(x, lambda t: t["w"].isin(*model.anchors)))
+        return F.transform(parts, lambda x: F.struct(F.element_at(x, 1)["i"].alias("position"), F.element_at(x, -1)["i"].alias("last"), grams_in(F.transform(x, lambda t: t["w"])).alias("grams")))
+
+    return let(every, cut)
+
+
+def notices(low: Column, model: Model) -> Column:
+    """array<struct<position, family, score, contained>> of the confirmed notices of a lower-cased text.
+
+    The position is the line; of a notice wrapped over lines, the line where its
+    window begins.  A window adds the families that no line of it and no window
+    that overlaps it from before has.
+    """
+
+    def added(inline: Column, wrapped: Column) -> Column:
+        fresh = F.filter(wrapped, lambda n: ~F.exists(inline, lambda x: (x["family"] == n["family"]) & x["position"].between(n["position"], n["last"])))
+        first = F.filter(fresh, lambda n: ~F.exists(fresh, lambda x: (x["family"] == n["family"]) & (x["position"] < n["position"]) & (x["last"] >= n["position"])))
+        return F.transform(F.array_sort(F.concat(inline, F.array_distinct(first))), lambda n: F.struct(n["position"], n["family"], n["score"], n["contained"]))
+
+    both = F.struct(judged(lines_of(low, model), model).alias("a"), judged(windows_of(low, model), model).alias("b"))
+    return let(both, lambda x: added(x["a"], x["b"]))
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -41,3 +41,19 @@ def test_captions_are_kept():
     assert parts("<figure><figcaption>Cap</figcaption><p>in</p></figure>z") == [("text", "Cap", None), ("text", "in", None), ("text", "z", None)]
     assert parts("<figure><img src=a><figcaption>to the end") == [("media", "a", "to the end")]
     assert [p["position"] for p in media.parse_html("<figure><figcaption>Cap</figcaption><p>in</p></figure>z")] == [0, 1, 2]
+
+
+def test_usual_notices_are_found(spark):
+    texts = {
+        "mit": "x\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+        "gpl": "it under the terms of the GNU General Public License as published by",
+        "apache-2.0": "Licensed under the Apache License,\nVersion 2.0",
+        "lgpl": "it under the terms of the GNU Lesser General Public License as published by",
+        "apache-2.0,mit": "Licensed under the MIT License. Licensed under the Apache License, Version 2.0.",
+        "cc-by-nc": "Licensed under CC BY-NC 4.0.\nand more of it",
+        "": "the license of the mit was said\nto be under the tree",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    found = {r.doc_id: ",".join(sorted(n.family for n in r.notices)) for r in licences.scan(docs, licences.train(docs)).collect()}
+    assert [found[k] for k in range(len(texts))] == list(texts)
