@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests) a folder of our own."""
+    """spark.checkpoint.dir; only in local mode, where one machine holds all, a folder of our own if it is unset."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not path and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(path or "/tmp/tessera-checkpoints")
         current = context._jsc.sc().getCheckpointDir()
     return path or current.get()

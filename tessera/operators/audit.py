@@ -8,24 +8,36 @@ from pyspark.sql import functions as F
 from tessera.checkpoint import cut
 
 
-def gini(rows: DataFrame, column: str) -> DataFrame:
-    """One row: the Gini coefficient of the values; none or a zero total give 0.
+def spread(groups: DataFrame) -> DataFrame:
+    """One row (rows, total, gini, top_share, single, below_10) of values `x` that `n` rows each have.
 
-    Equal values are one group, so the ranks that the formula needs come from a
+    Equal values are one group, so the ranks that the formulas need come from one
     running sum over distinct values: a table as long as the number of distinct
-    counts, not of rows.  The sum runs in two levels: range partitions first,
-    then the offsets of the partitions.
+    counts, not of rows.  Without rows or with a zero total the coefficient is 0;
+    the top share is that of the top 1 % of rows, one at least.
     """
-    groups = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    ranked = running(groups, "x", {"before": F.col("n")})
+    ranked = running(groups.where(F.col("x").isNotNull()).select(F.col("x").cast("double").alias("x"), "n"), "x", {"upto": F.col("n")})
+    whole = groups.where(F.col("x").isNotNull()).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("x") * F.col("n")).cast("double"), F.lit(0.0)).alias("total"))
+    before, rows, total = F.col("upto") - F.col("n"), F.col("rows"), F.col("total")
     # the ranks of a group of n equal values after `before` others sum to n * before + n (n + 1) / 2
-    total = ranked.agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("x")).alias("sum"),
-        F.sum(F.col("x") * (F.col("n") * (F.col("before") - F.col("n")) + F.col("n") * (F.col("n") + 1) / 2)).alias("ranked"),
+    rank_sum = F.coalesce(F.sum(F.col("x") * (F.col("n") * before + F.col("n") * (F.col("n") + 1) / 2)), F.lit(0.0))
+    above = rows - F.col("upto")
+    used = F.greatest(F.lit(0), F.least(F.col("n"), F.greatest(F.lit(1), F.floor(rows / 100)) - above))
+    sums = ranked.crossJoin(F.broadcast(whole)).agg(
+        rank_sum.alias("ranked"), F.sum(used * F.col("x")).alias("top"), F.sum(F.when(F.col("x") == 1, F.col("n")).otherwise(0)).alias("ones"), F.sum(F.when(F.col("x") < 10, F.col("n")).otherwise(0)).alias("few")
     )
-    value = F.when(F.coalesce(F.col("sum"), F.lit(0.0)) == 0, 0.0).otherwise(2 * F.col("ranked") / (F.col("n") * F.col("sum")) - (F.col("n") + 1) / F.col("n"))
-    return total.select(value.alias("gini"))
+    value = F.when(total == 0, 0.0).otherwise(2 * F.col("ranked") / (rows * total) - (rows + 1) / rows)
+    return sums.crossJoin(whole).select("rows", "total", value.alias("gini"), (F.col("top") / total).alias("top_share"), (F.col("ones") / rows).alias("single"), (F.col("few") / rows).alias("below_10"))
+
+
+def grouped(rows: DataFrame, column: str) -> DataFrame:
+    """(x, n): how many rows have each value."""
+    return rows.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
+
+
+def gini(rows: DataFrame, column: str) -> DataFrame:
+    """One row: the Gini coefficient of the values; none or a zero total give 0."""
+    return spread(grouped(rows, column)).select("gini")
 
 
 def running(rows: DataFrame, order: str, sums: dict) -> DataFrame:
@@ -42,36 +54,30 @@ def running(rows: DataFrame, order: str, sums: dict) -> DataFrame:
 
 def top_share(counts: DataFrame, column: str) -> DataFrame:
     """One row: what share of the total the top 1 % of rows (one at least) hold."""
-    groups = counts.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
-    whole = groups.agg(F.sum("n").alias("rows"), F.sum(F.col("x") * F.col("n")).alias("total"))
-    take = whole.select(F.greatest(F.lit(1), F.floor(F.col("rows") / 100)).alias("take"), "total")
-    ranked = running(groups.withColumn("_down", -F.col("x")), "_down", {"upto": F.col("n")})
-    used = F.greatest(F.lit(0), F.least(F.col("n"), F.col("take") - (F.col("upto") - F.col("n"))))
-    return ranked.crossJoin(F.broadcast(take)).agg((F.sum(used * F.col("x")) / F.first("total")).alias("top_share"))
+    return spread(grouped(counts, column)).select("top_share")
 
 
 def concentration(reviews: DataFrame, users: DataFrame, business: DataFrame) -> DataFrame:
-    """(metric, value): who writes the reviews and who receives them."""
-    per_user = reviews.groupBy("user_id").agg(F.count("*").alias("n"))
-    per_business = reviews.groupBy("business_id").agg(F.count("*").alias("n"))
+    """(metric, value): who writes the reviews and who receives them.
+
+    The reviews are read once: counts a (user, business) pair give those of
+    users and of businesses, and the counts' histograms all that is asked.
+    """
+    pairs = cut(reviews.groupBy("user_id", "business_id").agg(F.count("*").alias("n")), "pairs")
+    per_user = pairs.groupBy("user_id").agg(F.sum("n").alias("n"))
+    per_business = pairs.groupBy("business_id").agg(F.sum("n").alias("n"))
     all_business = business.select("business_id").join(per_business, "business_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     elite = users.where("is_elite").select("user_id").distinct().withColumn("_elite", F.lit(1))
-    flagged = reviews.join(elite, "user_id", "left")
-    metrics = {
-        "single_review_users": per_user.agg(F.avg((F.col("n") == 1).cast("double"))),
-        "top_users_share": top_share(per_user, "n"),
-        "top_business_share": top_share(per_business, "n"),
-        "elite_users": users.agg(F.avg(F.col("is_elite").cast("double"))),
-        "elite_reviews": flagged.agg(F.avg(F.col("_elite").isNotNull().cast("double"))),
-        "small_business": all_business.agg(F.avg((F.col("n") < 10).cast("double"))),
-        "gini_users": gini(per_user, "n"),
-        "gini_business": gini(all_business, "n"),
-    }
-    out = None
-    for name, frame in metrics.items():
-        row = frame.toDF("value").select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    of_users = cut(per_user.join(elite, "user_id", "left").groupBy(F.col("n").alias("x")).agg(F.count("*").alias("n"), F.count("_elite").alias("elite")), "of-users")
+    mine = spread(of_users.select("x", "n")).select("single", "top_share", "gini")
+    theirs = spread(cut(grouped(all_business, "n"), "of-business")).select(F.col("below_10"), F.col("gini").alias("gini_b"))
+    received = spread(cut(grouped(per_business, "n"), "of-reviewed")).select(F.col("top_share").alias("top_b"))
+    shares = of_users.agg((F.sum(F.col("elite") * F.col("x")) / F.sum(F.col("n") * F.col("x"))).alias("elite_reviews"))
+    elites = users.agg(F.avg(F.col("is_elite").cast("double")).alias("elite_users"))
+    row = mine.crossJoin(theirs).crossJoin(received).crossJoin(shares).crossJoin(elites)  # one row each
+    metrics = {"single_review_users": "single", "top_users_share": "top_share", "top_business_share": "top_b", "elite_users": "elite_users", "elite_reviews": "elite_reviews", "small_business": "below_10", "gini_users": "gini", "gini_business": "gini_b"}
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in metrics.items()])
+    return row.select(F.explode(each).alias("x")).select("x.metric", "x.value")
 
 
 def chains(business: DataFrame, min_locations: int = 5) -> DataFrame:

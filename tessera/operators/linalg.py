@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +12,23 @@ MAX_WIDTH = 4000
 
 
 def covariance(points: DataFrame, width: int) -> DataFrame:
-    """(i, j, v): X'X / (n - 1) of z-scored rows, not centred again, upper triangle."""
-    each = points.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.transform(F.sequence(i, F.lit(width - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"), (F.get("features", i) * F.get("features", j)).alias("p")))))).alias("x"))
-    n = points.agg((F.count("*") - 1).alias("_n"))
-    return each.groupBy("x.i", "x.j").agg(F.sum("x.p").alias("s")).crossJoin(F.broadcast(n)).select("i", "j", (F.col("s") / F.col("_n")).alias("v"))
+    """(i, j, v): X'X / (n - 1) of z-scored rows, not centred again, upper triangle.
+
+    X'X is summed batch by batch; a task gives one triangle, and the triangles are added.
+    """
+
+    def run(batches):
+        total, n = np.zeros((width, width)), 0
+        for batch in batches:
+            rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, width))
+            total += rows.T @ rows
+            n += len(rows)
+        i, j = np.triu_indices(width)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j]), pa.array(np.full(len(i), n, np.int64))], names=["i", "j", "s", "n"])
+
+    parts = points.select("features").mapInArrow(run, "i int, j int, s double, n long")
+    return parts.groupBy("i", "j").agg((F.sum("s") / (F.sum("n") - 1)).alias("v"))
 
 
 def _matrix(rows, width: int) -> np.ndarray:

@@ -49,10 +49,16 @@ def topk_prune(sim: DataFrame, k: int = 30) -> DataFrame:
     return sim.withColumn("_r", place).where((F.col("_r") <= k) & (F.col("sim") > 0)).drop("_r")
 
 
-def predict(c: DataFrame, sk: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """(u, i, score) of the users: their mean plus the weighted mean of what they rated, within 1..5."""
-    own = c.join(users.select("u").distinct(), "u", "left_semi") if users is not None else c
-    rated = own.select("u", F.col("i").alias("j"), "c", "mu").join(sk, "j")
+def predict(c: DataFrame, sk: DataFrame, users: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(u, i, score) of the users: their mean plus the weighted mean of what they rated, within 1..5.
+
+    `pairs` (u, i): only these are scored, from the few neighbours of each item.
+    """
+    if pairs is not None:
+        rated = pairs.select("u", "i").distinct().join(sk, "i").join(c.select("u", F.col("i").alias("j"), "c", "mu"), ["u", "j"])
+    else:
+        own = c.join(users.select("u").distinct(), "u", "left_semi") if users is not None else c
+        rated = own.select("u", F.col("i").alias("j"), "c", "mu").join(sk, "j")
     sums = rated.groupBy("u", "i").agg(F.sum(F.col("sim") * F.col("c")).alias("num"), F.sum(F.abs("sim")).alias("den"), F.first("mu").alias("mu"))
     return sums.where("den > 1e-8").select("u", "i", F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.col("mu") + F.col("num") / F.col("den"))).alias("score"))
 
@@ -133,12 +139,13 @@ def _wanted(train: DataFrame, users: DataFrame, k: int, spare: int = 0) -> DataF
 def popular(train: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
     """(u, i, score): for each user enough of the items with most raters that k unseen ones are among them.
 
-    Ranks are joined by place, so a user meets k items more than they rated, not all.
+    Ranks are joined by place, so a user meets k items more than they rated, not
+    all.  Places come from running sums, not from one window.
     """
-    counts = train.groupBy("i").agg(F.count("*").cast("double").alias("score"))
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "i"))
-    most = train.groupBy("u").count().agg(F.max("count")).first()[0] or 0
-    top = counts.orderBy(F.desc("score"), "i").limit(int(most) + k).withColumn("place", place)
+    from tessera.operators.audit import running
+
+    counts = train.groupBy("i").agg(F.count("*").cast("double").alias("score")).withColumn("_order", F.struct((-F.col("score")).alias("s"), "i"))
+    top = running(counts, "_order", {"place": F.lit(1)})
     return _wanted(train, users, k).join(top, "place").select("u", "i", "score")
 
 

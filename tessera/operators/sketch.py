@@ -22,6 +22,19 @@ def key_hash(column: str, kind: str) -> Column:
     return (c.cast("long") if whole else F.xxhash64(c)).bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
 
 
+def hash_constants(row: int) -> tuple[int, int]:
+    """Factor and summand of a row's hash: the fixed ones, beyond them by rule (a mixed Weyl sequence)."""
+    if row < len(CMS_A):
+        return CMS_A[row], CMS_B[row]
+
+    def mix(x: int) -> int:
+        x = x * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        return x ^ x >> 31
+
+    return 1 + mix(2 * row) % (PRIME - 1), mix(2 * row + 1) % PRIME
+
+
 def width_and_depth(eps: float, delta: float) -> tuple[int, int]:
     return math.ceil(math.e / eps), math.ceil(math.log(1 / delta))
 
@@ -29,10 +42,9 @@ def width_and_depth(eps: float, delta: float) -> tuple[int, int]:
 def cells(rows: DataFrame, key: str, eps: float, delta: float) -> DataFrame:
     """Rows with an array of (row, col) cells of their key."""
     width, depth = width_and_depth(eps, delta)
-    if depth > len(CMS_A):
-        raise ValueError(f"no more than {len(CMS_A)} hash functions: delta is too small")
+    factors = [hash_constants(i) for i in range(depth)]
     x = key_hash(key, rows.schema[key].dataType.simpleString())
-    at = [F.struct(F.lit(i).alias("row"), F.pmod(F.pmod(F.lit(CMS_A[i]).cast("long") * x + CMS_B[i], F.lit(PRIME)), F.lit(width)).cast("int").alias("col")) for i in range(depth)]
+    at = [F.struct(F.lit(i).alias("row"), F.pmod(F.pmod(F.lit(a).cast("long") * x + b, F.lit(PRIME)), F.lit(width)).cast("int").alias("col")) for i, (a, b) in enumerate(factors)]
     return rows.withColumn("_cells", F.array(*at))
 
 

@@ -109,7 +109,7 @@ def eps_pairs(spark, sf):
 
 @query("all_pairs_distance", sql("points", tail=_PAIRS + " SELECT a, round(avg(d), 6) AS mean_d, round(max(d), 6) AS max_d FROM d GROUP BY a"))
 def all_pairs_distance(spark, sf):
-    return rounded(cluster.all_distances(points(spark, sf)).groupBy("a").agg(F.avg("d").alias("mean_d"), F.max("d").alias("max_d")))
+    return rounded(cluster.distance_stats(points(spark, sf)))
 
 
 _DBSCAN = (

@@ -79,7 +79,8 @@ def predict_cf(spark, sf):
 )
 def rating_metrics(spark, sf):
     e = evaluated(spark, sf)
-    return rounded(recommend.rating_metrics(recommend.predict(e["c"], e["sk"], e["users"]), e["test"], e["items"]), 5)
+    pairs = e["test"].select(F.col("user_id").alias("u"), F.col("business_id").alias("i"))
+    return rounded(recommend.rating_metrics(recommend.predict(e["c"], e["sk"], pairs=pairs), e["test"], e["items"]), 5)
 
 
 @query("tokens", f"SELECT doc_id, len({tokens_sql('text')}) AS n, list_extract(list_sort({tokens_sql('text')}), 1) AS first FROM documents")
@@ -232,7 +233,7 @@ def anti_cold_users(spark, sf):
     return rows.where("stars = 1").select("user_id").distinct().join(rows.where("stars = 5").select("user_id").distinct(), "user_id", "left_anti")
 
 
-@query("anti_cold_items", sql("split", tail=" SELECT review_id FROM split WHERE test AND business_id NOT IN (SELECT business_id FROM split WHERE NOT test AND stars = 5)"))
+@query("anti_cold_items", sql("split", tail=", sp AS MATERIALIZED (SELECT review_id, business_id, stars, test FROM split) SELECT review_id FROM sp ANTI JOIN (SELECT DISTINCT business_id FROM sp WHERE NOT test AND stars = 5) k ON k.business_id = sp.business_id WHERE test"))
 def anti_cold_items(spark, sf):
     train, test = split(spark, sf)
     return test.join(train.where("stars = 5").select("business_id").distinct(), "business_id", "left_anti").select("review_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,29 +75,31 @@ def sketched(spark: SparkSession, events: DataFrame, key: str, eps: float = 0.00
     return spark.read.schema("row int, col int, n long").parquet(f"{base}/out/*").groupBy("row", "col").agg(F.sum("n").alias("n"))
 
 
-def trailing(events: DataFrame, hours: float) -> DataFrame:
+def trailing(events: DataFrame, hours: float, late: float = 1.0) -> DataFrame:
     """(event_type, event_id, n, total) over (t - hours, t] of each event type, as events arrive.
 
-    State is the events of the last window length; within a batch events go by
-    time and id.
+    Events of a batch go by time and id.  State is the events of the last
+    hours + late before the newest event, so one that comes up to `late` hours
+    after newer ones still finds its whole window; what it changes in the counts
+    of those newer ones is not told again (append mode).
     """
-    size = int(hours * 3_600_000_000)
+    size, kept = int(hours * 3_600_000_000), int((hours + late) * 3_600_000_000)
 
     def step(key, batches, state):
-        times, values = (list(x) for x in state.get) if state.exists else ([], [])
-        frames = [b for b in batches]
-        rows = pd.concat(frames).sort_values(["us", "event_id"])
-        out = []
-        for event_id, us, value in zip(rows["event_id"], rows["us"], rows["value"], strict=True):
-            times.append(int(us))
-            values.append(float(value))
-            gone = 0
-            while times[gone] <= us - size:
-                gone += 1
-            del times[:gone], values[:gone]
-            out.append((key[0], event_id, len(times), sum(values)))
-        state.update((times, values))
-        yield pd.DataFrame(out, columns=["event_type", "event_id", "n", "total"])
+        old, values = state.get if state.exists else ([], [])
+        rows = pd.concat(list(batches))
+        times = np.concatenate((np.array(old, np.int64), rows["us"].to_numpy(np.int64)))
+        values = np.concatenate((np.array(values, float), rows["value"].to_numpy(float)))
+        ids = np.concatenate((np.full(len(old), np.iinfo(np.int64).min), rows["event_id"].to_numpy(np.int64)))  # ties: earlier batches first
+        fresh = np.arange(len(times)) >= len(old)
+        order = np.lexsort((ids, times))
+        times, values, ids, fresh = times[order], values[order], ids[order], fresh[order]
+        sums = np.concatenate(([0.0], np.cumsum(values)))
+        first = np.searchsorted(times, times - size, side="right")
+        place = np.arange(len(times)) + 1
+        state_from = np.searchsorted(times, times[-1] - kept, side="right") if len(times) else 0
+        state.update((times[state_from:].tolist(), values[state_from:].tolist()))
+        yield pd.DataFrame({"event_type": key[0], "event_id": ids[fresh], "n": (place - first)[fresh], "total": (sums[place] - sums[first])[fresh]})
 
     rows = events.select("event_type", "event_id", F.unix_micros("ts").alias("us"), "value")
     return rows.groupBy("event_type").applyInPandasWithState(step, "event_type string, event_id long, n long, total double", "times array<long>, values array<double>", "append", GroupStateTimeout.NoTimeout)
