@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import warnings
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,7 +64,7 @@ def _parallel(edges: DataFrame, nodes: DataFrame, resolution: float, max_levels:
     two_m = edges.agg(F.sum("w")).first()[0]
     whole = nodes.select("id", F.col("id").alias("community"))
     level, best = edges, -1.0
-    for _ in range(max_levels):
+    for deeper in reversed(range(max_levels)):
         labels = cut(level.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")), "labels")
         quality = modularity(level, labels).first()[0]
         for r in range(max_rounds):
@@ -71,12 +74,16 @@ def _parallel(edges: DataFrame, nodes: DataFrame, resolution: float, max_levels:
                 labels, quality = moved, now
             elif r % 2:
                 break
+        else:
+            warnings.warn(f"communities may still improve: {max_rounds} rounds of a level are over", stacklevel=3)
         if quality <= best + 1e-9:
             break
         best = quality
         step = labels.select(F.col("id").alias("community"), F.col("community").alias("next"))
         whole = cut(whole.join(step, "community", "left").select("id", F.coalesce("next", "community").alias("community")), "whole")
         a, b = labels.select(F.col("id").alias("src"), F.col("community").alias("s")), labels.select(F.col("id").alias("dst"), F.col("community").alias("d"))
+        if not deeper:
+            warnings.warn(f"communities may still improve: {max_levels} levels are over", stacklevel=3)
         level = cut(level.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")), "level")
     return whole
 
@@ -136,7 +143,7 @@ def sweep_levels(graph: list[dict[int, float]], resolution: float = 1.0, max_lev
     return member
 
 
-def bfs_sample(edges: DataFrame, partition: DataFrame, scores: DataFrame, n_communities: int = 6, per_community: int = 50, max_depth: int = 60) -> DataFrame:
+def bfs_sample(edges: DataFrame, partition: DataFrame, scores: DataFrame, n_communities: int = 6, per_community: int = 50) -> DataFrame:
     """(id, community, depth): from each big community up to `per_community` nodes nearest its best-scored one."""
     biggest = partition.groupBy("community").count().orderBy(F.desc("count"), "community").limit(n_communities).select("community")
     members = cut(partition.join(F.broadcast(biggest), "community"), "members")
@@ -145,7 +152,7 @@ def bfs_sample(edges: DataFrame, partition: DataFrame, scores: DataFrame, n_comm
     ranked = members.join(scores, "id", "left").withColumn("_r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc_nulls_last("score"), "id")))
     frontier = cut(ranked.where("_r = 1").select("id", "community", F.lit(0).alias("depth")), "frontier")
     seen = frontier
-    for depth in range(1, max_depth):
+    for depth in itertools.count(1):
         step = inner.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"), "community").distinct()
         frontier = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():

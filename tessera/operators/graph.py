@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.checkpoint import cut
 
 
+def dealt(frame: DataFrame, key: str) -> DataFrame:
+    """The frame dealt by a key and held, so that joins on the key in each round of a loop shuffle only the other side.
+
+    What is lost with an executor is read and dealt again; give it back with unpersist().
+    """
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(parts, key).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def symmetric(pairs: DataFrame) -> DataFrame:
     """(src, dst) in both directions, distinct, of (a, b) pairs."""
     return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a")).distinct()
@@ -33,27 +45,26 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable; nodes without edges are their own.
 
     Rounds alternate between giving each node the least label around it and
     jumping to the label of that label, so long paths take few rounds.
     """
-    edges = cut(edges.where("src <> dst").select("src", "dst"), "edges")
+    held = dealt(cut(edges.where("src <> dst").select("src", "dst"), "edges"), "src")
     labels = cut(nodes.select("id").distinct().withColumn("component", F.col("id")), "labels")
     before = None
-    for _ in range(max_rounds):
-        told = edges.join(labels, edges.src == labels.id).groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))
+    while True:
+        told = held.join(labels, held.src == labels.id).groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))
         nearer = labels.join(told, "id", "left").select("id", F.least("component", "m").alias("component"))
         jump = nearer.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        moved = cut(nearer.join(jump, "component", "left").select("id", F.least("component", "further").alias("component")), "labels")
+        labels = cut(nearer.join(jump, "component", "left").select("id", F.least("component", "further").alias("component")), "labels")
         # labels only fall, so a round that changes none leaves their digest as it is
-        now = moved.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()[0]
-        labels = moved
+        now = labels.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()[0]
         if now == before:
+            held.unpersist()
             return labels
         before = now
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def largest_component(labels: DataFrame) -> DataFrame:
@@ -62,17 +73,21 @@ def largest_component(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(biggest), "component", "left_semi").select("id")
 
 
-def distances(edges: DataFrame, source, max_depth: int = 100_000) -> DataFrame:
-    """(id, depth) of all nodes reachable from a source, one frontier a round."""
+def distances(edges: DataFrame, source, max_depth: int | None = None) -> DataFrame:
+    """(id, depth) of all nodes reachable from a source (in max_depth steps, if given), one frontier a round."""
     kind = edges.schema["src"].dataType
+    held = dealt(edges.select("src", "dst"), "src")
     frontier = cut(edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("id"), F.lit(0).alias("depth")), "frontier")
     seen = frontier
-    for depth in range(1, max_depth):
-        step = edges.join(frontier, edges.src == frontier.id).select(F.col("dst").alias("id")).distinct()
+    for depth in itertools.count(1):
+        if max_depth is not None and depth > max_depth:
+            break
+        step = held.join(frontier, held.src == frontier.id).select(F.col("dst").alias("id")).distinct()
         frontier = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             break
         seen = cut(seen.unionByName(frontier), "seen") if depth % 10 == 0 else seen.unionByName(frontier)
+    held.unpersist()
     return seen
 
 
@@ -104,33 +119,37 @@ def friendship_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, d: float = 0.85, max_iter: int = 100, tol: float = 1e-6, every: int = 5) -> tuple[DataFrame, int]:
+def pagerank(edges: DataFrame, nodes: DataFrame, d: float = 0.85, max_iter: int = 100, tol: float = 1e-6, every: int = 8) -> tuple[DataFrame, int]:
     """((id, score), iterations) on the nodes' subgraph; what dangling nodes hold is spread evenly.
 
-    tol 0 runs all iterations without comparing.  Scores are cut to the shared
-    folder every few rounds, and at each comparison.
+    Links are dealt by their source once and nodes by their id, so a round
+    shuffles what links give, summed a target and task, and nothing else.  tol 0
+    runs all iterations without comparing.  Scores are cut to the shared folder
+    every few rounds, and at each comparison.
     """
     nodes = cut(nodes.select("id").distinct(), "nodes")
     n = nodes.count()
     if not n:
         return nodes.withColumn("score", F.lit(0.0)), 0
-    links = induced(edges, nodes).join(nodes.withColumnRenamed("id", "src"), "src", "left_semi")
+    links = cut(induced(edges, nodes).select("src", "dst"), "links")
     degree = links.groupBy("src").agg(F.count("*").alias("degree"))
-    links = cut(links.join(degree, "src").select("src", "dst", "degree"), "links")
-    dangling = cut(nodes.join(degree.withColumnRenamed("src", "id"), "id", "left_anti"), "dangling")
-    has_dangling = not dangling.isEmpty()
-    scores = nodes.withColumn("score", F.lit(1.0 / n))
+    every_node = dealt(nodes.join(degree.withColumnRenamed("src", "id"), "id", "left"), "id")
+    links = dealt(links, "src")
+    has_dangling = not every_node.where("degree is null").isEmpty()
+    scores = every_node.select("id", F.lit(1.0 / n).alias("score"))
     done = 0
     for done in range(1, max_iter + 1):
-        given = links.join(scores, links.src == scores.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
+        # a node's score over its degree is worked out before the join, so a hot source only repeats a number
+        each = every_node.where("degree is not null").join(scores, "id").select("id", (F.col("score") / F.col("degree")).alias("share"))
+        given = links.join(each, links.src == each.id).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
         base = F.lit((1 - d) / n)
-        after = nodes.join(given, "id", "left")
+        after = every_node.select("id").join(given, "id", "left")
         if has_dangling:
-            lost = scores.join(dangling, "id", "left_semi").agg(F.sum("score").alias("lost"))
+            lost = scores.join(every_node.where("degree is null").select("id"), "id").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
             after = after.crossJoin(F.broadcast(lost))
             base = base + d * F.col("lost") / n
         after = after.select("id", (base + d * F.coalesce("got", F.lit(0.0))).alias("score"))
-        if tol > 0 or done % every == 0:
+        if tol > 0 or done % every == 0 or done == max_iter:
             after = cut(after, "scores")
         if tol > 0:
             moved = after.join(scores.withColumnRenamed("score", "old"), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
@@ -139,6 +158,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame, d: float = 0.85, max_iter: int
                 break
         else:
             scores = after
+    links.unpersist()
+    every_node.unpersist()
     return scores, done
 
 
@@ -219,11 +240,18 @@ def community_summary(edges: DataFrame, partition: DataFrame, scores: DataFrame
     return out.select("community", "size", inside.alias("edges_in"), F.when(n > 1, F.bround(2 * inside / (n * (n - 1)), 4)).otherwise(0.0).alias("density"), F.coalesce("edges_out", F.lit(0)).alias("edges_out"), "key_members")
 
 
+def joined_lenses(pagerank_scores: DataFrame, hub_scores: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """(id, pr, hub, pr_rank, hub_rank and the profiles' columns) of the ids that have both scores; ranks from the highest, ties share the least."""
+    both = cut(pagerank_scores.select("id", F.col("score").alias("pr")).join(hub_scores.select("id", F.col("score").alias("hub")), "id"), "lenses")
+    ranked = ranks(ranks(both, "pr", "pr_rank"), "hub", "hub_rank")
+    return ranked if profiles is None else ranked.join(profiles, "id", "left")
+
+
 def influence_lenses(pagerank_scores: DataFrame, hub_scores: DataFrame, k: int = 15) -> DataFrame:
     """One row: correlation of the two scores over shared ids and how many of the top k they share, with the ids."""
-    both = pagerank_scores.select("id", F.col("score").alias("pr")).join(hub_scores.select("id", F.col("score").alias("hub")), "id")
-    both = cut(both, "lenses")
-    tops = [both.orderBy(F.desc(c), "id").limit(k).select("id") for c in ("pr", "hub")]
+    both = joined_lenses(pagerank_scores, hub_scores)
+    both = cut(both, "ranked")
+    tops = [both.orderBy(c, "id").limit(k).select("id") for c in ("pr_rank", "hub_rank")]
     shared = tops[0].intersect(tops[1]).agg(F.count("*").alias("overlap"), F.coalesce(F.array_join(F.sort_array(F.collect_list(F.col("id").cast("string"))), ","), F.lit("")).alias("pillars"))
     return both.agg(F.count("*").alias("n"), F.corr("pr", "hub").alias("corr")).crossJoin(shared)
 
