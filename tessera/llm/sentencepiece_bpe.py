@@ -6,28 +6,41 @@ as the same two pieces.  So a text can be encoded without a merge queue: at
 each position take the longest piece that an Aho-Corasick automaton finds and
 that is compatible with the piece before it, else a shorter one, else go back.
 A bitfield remembers positions from which no encoding goes on, so each is given
-up once.  No piece of the model reaches over the start of a run of spaces or
-over a character that occurs in no longer piece, hence texts are encoded chunk
-by chunk and chunks already met are looked up (up to a fixed number).
+up once.
+
+Texts are first covered by longest matches, and all neighbours are checked
+against a table of known pairs.  Where the character pair at a border is in no
+piece, no merge ever crosses it; so a stretch between two such borders with an
+incompatible pair in it is searched again by itself, with backtracking.
+
+Decoding joins the texts of the ids: a table of pieces is taken by id.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from math import inf
-from operator import add
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Kept, blocks, map_arrow, only, read
+from tessera.llm.common import blocks, map_arrow, only, read, worker_table
 
-#: Entries of each kept table of a worker.
-TABLE_ENTRIES = 200_000
+#: Bytes of the searched stretches that a worker keeps, and entries of its other tables.
+TABLE_BYTES, TABLE_ENTRIES = 8 << 20, 200_000
+#: Characters of text that are encoded at a time.
+BLOCK_CHARS = 1 << 20
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
+_SLOTS = 20
+#: States of a pair of neighbours: no piece holds the two characters at the border; compatible; not compatible.
+_APART, _FIT, _UNFIT = 0, 1, 2
 
 
 def load_model(path: str) -> dict:
@@ -53,33 +66,49 @@ def load_model(path: str) -> dict:
 class Encoder:
     """Encodes and decodes texts with one model; one per Python worker."""
 
-    def __init__(self, model: dict, entries: int = TABLE_ENTRIES) -> None:
+    def __init__(self, model: dict, entries: int = TABLE_ENTRIES, kept_bytes: int = TABLE_BYTES, slots: int = _SLOTS) -> None:
         import ahocorasick
 
         kinds = model["kinds"]
-        self.entries = entries
+        self.entries, self.kept_bytes = entries, kept_bytes
         self.model = model
         self.ids = {p: i for i, (p, k) in enumerate(zip(model["pieces"], kinds, strict=True)) if k == _NORMAL}
         self.score = {p: model["scores"][i] for p, i in self.ids.items()}
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(model["pieces"], kinds, strict=True)) if k == _BYTE}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.end_id = model["pieces"].index("</s>")
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
-        self.joins = joined | {SPACE}
-        self.newline_alone = "\n" not in joined
         self.whole: dict[str, bool] = {}
         self.halves: dict[str, tuple[str, str]] = {}  # the last merge of each whole piece
         self.edges: dict[tuple[str, bool], list[str]] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.known = Kept(self.lookup, entries)
-        self.parts: dict[str, tuple[str, int]] = {}
-        self.alphabet = {p for p in self.ids if len(p) == 1}
+        self.fits: dict[int, bool] = {}
+        alphabet = {p for p in self.ids if len(p) == 1}
+        if not {c for p in self.ids for c in p} <= alphabet:
+            raise ValueError("only models whose pieces consist of characters that are pieces are supported")
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.spoken = {p: f" {i}" for p, i in self.ids.items()}
-        self.automaton = ahocorasick.Automaton()
+        self.whole_pieces = ahocorasick.Automaton()
         for piece in filter(self._is_whole, self.ids):
-            self.automaton.add_word(piece, (len(piece) - 1, piece))
-        self.automaton.make_automaton()
+            self.whole_pieces.add_word(piece, self.ids[piece])
+        alone = {chr(b) for b in range(128)} - alphabet  # one byte, one id
+        for c in alone:
+            self.whole_pieces.add_word(c, self.byte_ids[ord(c)])
+        self.whole_pieces.make_automaton()
+        known = sorted(alphabet | alone | {" "})  # a space becomes SPACE
+        self.odd = re.compile("([^" + "".join(map(re.escape, known)) + "])")
+        # by id: characters, first and last character; the bytes that a text has for it, the decimal id
+        size = len(model["pieces"])
+        self.piece_of = [p if k == _NORMAL else "" for p, k in zip(model["pieces"], kinds, strict=True)]
+        self.length_of = list(map(len, self.piece_of))
+        self.shorter = [next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if self.whole.get(p[:k])), -1) for p in self.piece_of]  # the longest piece that starts it
+        self.raw_of = pa.array([self._raw(i) for i in range(size)], pa.binary())
+        self.digits_of = pa.array([str(i) for i in range(size)], pa.string())
+        self.slots, self.shift = 1 << slots, np.uint64(64 - slots)
+        self.pair_at, self.state_at = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int8)
+        self.again: dict[bytes, bytes] = {}  # ids of stretches with an incompatible pair -> their ids by search
+        self.again_bytes = 0
+
+    def _raw(self, i: int) -> bytes:
+        kind = self.model["kinds"][i]
+        return self.model["pieces"][i].replace(SPACE, " ").encode() if kind == _NORMAL else bytes([self.bytes_of[i]]) if kind == _BYTE else " ⁇ ".encode() if kind == _UNKNOWN else b""
 
     def merge(self, text: str, until: int = 1) -> list[str]:
         """Merge characters as the model's scores say: best score first, then leftmost."""
@@ -125,140 +154,145 @@ class Encoder:
         Halves never score below their piece, so all that matters is what
         stands at the border; of equal scores the leftmost merge comes first.
         """
-        found = self.fits.get((left, right))
-        if found is None:
-            a, b, score = self._edge(left, True), self._edge(right, False), self.score
-            i = j = 0
-            while True:
-                over = score.get(a[i] + b[j], -inf)
-                more = score[a[i + 1]] if i + 1 < len(a) else -inf
-                next_ = score[b[j + 1]] if j + 1 < len(b) else -inf
-                if over > more and over >= next_:
-                    found = False
-                    break
-                if more == next_ == -inf:
-                    found = over == -inf
-                    break
-                if more >= next_:
-                    i += 1
-                else:
-                    j += 1
-            self.fits[left, right] = found
-        return found
-
-    def _search(self, text: str) -> list[str]:
-        """Pieces of a text whose characters are all pieces themselves."""
-        n = len(text)
-        options: list[list[str]] = [[] for _ in range(n)]
-        for end, (before, piece) in self.automaton.iter(text):
-            options[end - before].append(piece)  # shorter ones end earlier, so come first
-        chosen: list[tuple[str, int]] = []
-        failed, at, option, before, fits = 0, 0, len(options[0]) - 1, "", self.fits
-        while at < n:
-            here = options[at]
-            before = chosen[-1][0] if chosen else ""
-            while option >= 0:
-                piece = here[option]
-                if not (failed and failed >> (at + len(piece)) & 1):
-                    fit = fits.get((before, piece)) if before else True
-                    if self._compatible(before, piece) if fit is None else fit:
+        a, b, score = self._edge(left, True), self._edge(right, False), self.score
+        i = j = 0
+        while True:
+            over = score.get(a[i] + b[j], -inf)
+            more = score[a[i + 1]] if i + 1 < len(a) else -inf
+            next_ = score[b[j + 1]] if j + 1 < len(b) else -inf
+            if over > more and over >= next_:
+                return False
+            if more == next_ == -inf:
+                return over == -inf
+            if more >= next_:
+                i += 1
+            else:
+                j += 1
+
+    def _search(self, text: str) -> list[int]:
+        """Ids of a text whose characters are all pieces themselves."""
+        n, size, fits, shorter, length = len(text), len(self.piece_of), self.fits, self.shorter, self.length_of
+        longest = self.whole_pieces.iter_long
+        chosen: list[int] = []
+        failed, at, before, piece = bytearray(n + 1), 0, -1, next(longest(text))[1]
+        while True:
+            while piece >= 0:
+                if not failed[at + length[piece]]:
+                    if before < 0:
+                        break
+                    fit = fits.get(before * size + piece)
+                    if fit is None:
+                        fit = fits[before * size + piece] = self._compatible(self.piece_of[before], self.piece_of[piece])
+                    if fit:
                         break
-                option -= 1
-            if option >= 0:
-                chosen.append((piece, option))
-                at += len(piece)
-                option = len(options[at]) - 1 if at < n else 0
+                piece = shorter[piece]
+            if piece >= 0:
+                chosen.append(piece)
+                at += length[piece]
+                if at == n:
+                    return chosen
+                before, piece = piece, next(longest(text, at))[1]
             else:
-                failed |= 1 << at
-                piece, option = chosen.pop()
-                at -= len(piece)
-                option -= 1
-        return [p for p, _ in chosen]
-
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of a chunk (spaces marked); characters that no longer piece holds stand alone."""
+                failed[at] = 1
+                piece = chosen.pop()
+                at -= length[piece]
+                before, piece = chosen[-1] if chosen else -1, shorter[piece]
+
+    def _longest(self, text: str) -> np.ndarray:
+        """Ids of the longest matches that cover a text, the bytes of characters that are no pieces included."""
+        marked = SPACE + text.replace(" ", SPACE)
+        if not self.odd.search(text):
+            return np.fromiter(map(itemgetter(1), self.whole_pieces.iter_long(marked)), np.int32)
         out: list[int] = []
-        run = ""
-        for c in chunk:
-            if c in self.joins:
-                run += c
-                continue
-            if run:
-                out += [self.ids[p] for p in self._search(run)]
-                run = ""
-            out += [self.ids[c]] if c in self.ids else [self.byte_ids[b] for b in c.encode()]
-        return out + [self.ids[p] for p in self._search(run)] if run else out
-
-    def chunks(self, text: str) -> list[str]:
-        """The text after its start mark, cut before runs of spaces and around line ends."""
-        marked = " " + text.replace(SPACE, " ")
-        if not self.newline_alone:
-            return re.findall(" *[^ ]+| +", marked)
-        if "  " in marked or " \n" in marked or "\x1f" in marked:
-            return re.findall(" *[^ \n]+| +|\n", marked)
-        return [c for c in marked.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f") if c]
-
-    def lookup(self, chunk: str) -> tuple[str, int, str]:
-        """Decimal ids with a space before each, their number, and the decoded chunk."""
-        marked = chunk.replace(" ", SPACE)
-        if not self.alphabet.issuperset(marked):
-            ids = self.encode_chunk(marked)
-            return "".join(f" {i}" for i in ids), len(ids), self._text(ids)
-        # two characters that stand side by side in no piece are never merged across: encode between such borders
-        borders = [k for k, pair in enumerate(map(add, marked, marked[1:]), 1) if pair not in self.pairs]
-        if not borders:
-            found = self.part(marked)
-            return found[0], found[1], chunk
-        parts = [self.part(marked[a:b]) for a, b in zip([0, *borders], [*borders, len(marked)], strict=True)]
-        return "".join([p[0] for p in parts]), sum([p[1] for p in parts]), chunk
-
-    def part(self, part: str) -> tuple[str, int]:
-        """Decimal ids of a part of a chunk whose characters are all pieces, and their number."""
-        found = self.parts.get(part)
+        for k, part in enumerate(self.odd.split(marked)):
+            out += [self.byte_ids[b] for b in part.encode()] if k % 2 else map(itemgetter(1), self.whole_pieces.iter_long(part))
+        return np.array(out, np.int32)
+
+    def _state(self, left: int, right: int) -> int:
+        a, b = self.piece_of[left], self.piece_of[right]
+        if not a or not b or a[-1] + b[0] not in self.pairs:
+            return _APART
+        return _FIT if self._compatible(a, b) else _UNFIT
+
+    def _states(self, ids: np.ndarray) -> np.ndarray:
+        """The state of every two neighbours; pairs met before come from a table of fixed size."""
+        size = len(self.piece_of)
+        codes = ids[:-1].astype(np.int64) * size + ids[1:]
+        slot = (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        states = self.state_at[slot]
+        missing = np.flatnonzero(self.pair_at[slot] != codes)
+        if len(missing):
+            fresh, where = np.unique(codes[missing], return_inverse=True)
+            found = np.fromiter((self._state(c // size, c % size) for c in fresh.tolist()), np.int8, len(fresh))
+            states[missing] = found[where]
+            place = (fresh.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+            self.state_at[place], self.pair_at[place] = found, fresh  # of two in one slot the last stays, in both
+        return states
+
+    def _searched(self, stretch: bytes) -> bytes:
+        """The ids of a stretch between borders that no piece crosses, searched with backtracking."""
+        found = self.again.get(stretch)
         if found is None:
-            pieces = self._search(part) if len(part) > 1 else [part]
-            found = self.parts[part] = ("".join([self.spoken[p] for p in pieces]), len(pieces))
+            found = array("i", self._search("".join([self.piece_of[i] for i in array("i", stretch)]))).tobytes()
+            if len(stretch) < 512:
+                self.again[stretch] = found
+                self.again_bytes += len(stretch) + len(found) + 200
         return found
 
-    def _text(self, ids) -> str:
-        out, raw, pieces, kinds = [], bytearray(), self.model["pieces"], self.model["kinds"]
-        for i in ids:
-            if kinds[i] == _BYTE:
-                raw.append(self.bytes_of[i])
-                continue
-            if raw:
-                out.append(decode_bytes(bytes(raw)))
-                raw.clear()
-            if kinds[i] == _NORMAL:
-                out.append(pieces[i].replace(SPACE, " "))
-            elif kinds[i] == _UNKNOWN:
-                out.append(" ⁇ ")
-        if raw:
-            out.append(decode_bytes(bytes(raw)))
-        return "".join(out)
+    def encode_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each text's number of ids); the end id is each text's last."""
+        each = [np.append(self._longest(t) if t else np.zeros(0, np.int32), np.int32(self.end_id)) for t in texts]
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        flat = np.concatenate(each) if each else np.zeros(0, np.int32)
+        if not len(flat):
+            return flat, counts
+        states = self._states(flat)  # an end id stands apart, so no stretch runs over two texts
+        unfit = np.flatnonzero(states == _UNFIT)
+        if not len(unfit):
+            return flat, counts
+        starts = np.concatenate(([0], np.flatnonzero(states == _APART) + 1, [len(flat)]))
+        which = np.unique(np.searchsorted(starts, unfit, side="right")) - 1
+        first, past = starts[which], starts[which + 1]
+        raw = flat.tobytes()
+        new = [self._searched(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), past.tolist(), strict=True)]
+        kept = [raw[4 * a : 4 * b] for a, b in zip([0, *past.tolist()], [*first.tolist(), len(flat)], strict=True)]
+        out = [b""] * (len(new) + len(kept))
+        out[::2], out[1::2] = kept, new
+        text = np.searchsorted(np.cumsum(counts), first, side="right")
+        np.add.at(counts, text, np.fromiter(map(len, new), np.int64, len(new)) // 4 - (past - first))
+        if self.again_bytes > self.kept_bytes:
+            self.again, self.again_bytes = {}, 0
+        if len(self.fits) > self.entries:
+            self.fits = {}
+        return np.frombuffer(b"".join(out), np.int32), counts
+
+    def encode_block(self, texts: list[str]) -> list[tuple[str, int, str]]:
+        """For each text: decimal ids joined by spaces, their number, the decoded text."""
+        flat, counts = self.encode_ids(texts)
+        return list(zip(self.spoken(flat, counts).to_pylist(), counts.tolist(), self.decode_ids(flat, counts).to_pylist(), strict=True))
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text, the end id last."""
-        return [i for c in self.chunks(text) for i in self.encode_chunk(c.replace(" ", SPACE))] + [self.end_id] if text else [self.end_id]
+        return self.encode_ids([text])[0].tolist()
+
+    def decode_ids(self, flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The texts of ids that stand one after the other: each id's bytes from the table, joined; the start mark goes."""
+        joined = pc.binary_join(_lists(flat, counts, self.raw_of), b"").to_pylist()
+        return pa.array([decode_bytes(t).removeprefix(" ") for t in joined], pa.string())
 
     def decode(self, ids) -> str:
         """The text of ids; the start mark goes."""
-        return self._text(ids).removeprefix(" ")
+        return self.decode_ids(np.array(ids, np.int32), np.array([len(ids)]))[0].as_py()
 
-    def encode_block(self, texts: list[str]) -> list[tuple[str, int, str]]:
-        """For each text: decimal ids joined by spaces, their number, the decoded text."""
-        cut = [self.chunks(t) if t else [] for t in texts]
-        known = self.known.of(set().union(*cut))
-        end, out = f" {self.end_id}", []
-        for chunks in cut:
-            rows = [known[c] for c in chunks]
-            ids = "".join([r[0] for r in rows]) + end
-            out.append((ids[1:], sum([r[1] for r in rows]) + 1, "".join([r[2] for r in rows])[1:]))
-        if len(self.parts) > self.entries:
-            self.parts = {}
-        if len(self.fits) > 4 * self.entries:
-            self.fits = {}
-        return out
+    def spoken(self, flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The ids in decimal, joined by spaces."""
+        return pc.binary_join(_lists(flat, counts, self.digits_of), " ")
+
+
+def _lists(flat: np.ndarray, counts: np.ndarray, table: pa.Array) -> pa.Array:
+    """For each text the table's entries of its ids."""
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), table.take(pa.array(flat)))
 
 
 def decode_bytes(raw: bytes) -> str:
@@ -281,17 +315,6 @@ def decode_bytes(raw: bytes) -> str:
         return "".join(out)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_of(name: str, model: dict) -> Encoder:
-    """This worker's encoder of a model: its tables serve all tasks that the worker gets."""
-    if name not in _encoders:
-        _encoders.clear()
-        _encoders[name] = Encoder(model)
-    return _encoders[name]
-
-
 def encode_texts(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, ids, decoded): ids in decimal, joined by spaces, the end id last.
 
@@ -302,12 +325,12 @@ def encode_texts(docs: DataFrame, model: dict, text: str = "text", key: str = "d
     name = hashlib.sha256(repr(sorted(model.items())).encode()).hexdigest()
 
     def run(batches):
-        encoder = encoder_of(name, shipped.value)
+        encoder = worker_table(name, lambda: Encoder(shipped.value))
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for block in blocks(rows, lambda r: len(r[1] or "")):
-                ids, counts, decoded = zip(*encoder.encode_block([t or "" for _, t in block]), strict=True)
-                columns = [pa.array([k for k, _ in block], type=batch.schema.field(0).type), pa.array(counts, type=pa.int64()), pa.array(ids, type=pa.string()), pa.array(decoded, type=pa.string())]
+            for block in blocks(rows, lambda r: len(r[1] or ""), BLOCK_CHARS):
+                flat, counts = encoder.encode_ids([t or "" for _, t in block])
+                columns = [pa.array([k for k, _ in block], type=batch.schema.field(0).type), pa.array(counts), encoder.spoken(flat, counts), encoder.decode_ids(flat, counts)]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -8,7 +8,7 @@ each document's frequency table is joined to it, and the products are summed.
 No id is ever made and nothing is shuffled: a corpus-wide pre-token table would
 need all (document, pre-token) pairs, more bytes than the corpus itself, on
 disk.  Tables already computed are kept across blocks up to a fixed number of
-entries, so memory does not grow with the input.
+entries of bounded length, so memory does not grow with the input.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Kept, blocks, map_arrow, only, read
+from tessera.llm.common import KEY_CHARS, Kept, blocks, map_arrow, only, read, worker_table
 
 #: Entries of the kept tables; beyond it only the newest block's entries stay.
 TABLE_ENTRIES = 400_000
@@ -71,23 +71,21 @@ class PieceCounter:
                 for token in self._pre_tokens(part):
                     n = pieces.get(token)
                     if n is None:
-                        n = pieces[token] = len(tokenize(token))
+                        n = len(tokenize(token))
+                        if len(token) <= KEY_CHARS:
+                            if len(pieces) >= self.entries:
+                                pieces.clear()
+                            pieces[token] = n
                     total += n
         return total
 
     def count_block(self, texts: list[str]) -> list[int]:
         """Token counts of a block of texts."""
         if not self.splits_at_space:
-            totals = [self._count(t) if t else 0 for t in texts]
-            if len(self.pieces) > self.entries:
-                self.pieces = {}
-            return totals
+            return [self._count(t) if t else 0 for t in texts]
         frequencies = [Counter(_SPACES.split(t) if _NOT_SPACE.search(t) else t.split()) for t in texts]
         of = self.chunks.of(set().union(*frequencies)).__getitem__
-        totals = [sum(map(mul, f.values(), map(of, f))) for f in frequencies]
-        if len(self.pieces) > self.entries:
-            self.pieces = {}
-        return totals
+        return [sum(map(mul, f.values(), map(of, f))) for f in frequencies]
 
 
 def splits_at_space(described: dict) -> bool:
@@ -109,17 +107,6 @@ def splits_at_space(described: dict) -> bool:
     return bool(dropped and excluding and kinds <= {"NFC", "Replace", "Lowercase"} and plain)
 
 
-_counters: dict[str, PieceCounter] = {}
-
-
-def counter_of(name: str, specification: str) -> PieceCounter:
-    """This worker's counter of a specification: its tables serve all tasks that the worker gets."""
-    if name not in _counters:
-        _counters.clear()
-        _counters[name] = PieceCounter(specification)
-    return _counters[name]
-
-
 def count_tokens(docs: DataFrame, specification: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_tokens) of each row; one output row per input row.
 
@@ -130,7 +117,7 @@ def count_tokens(docs: DataFrame, specification: str, text: str = "text", key: s
     name = hashlib.sha256(specification.encode()).hexdigest()
 
     def run(batches):
-        counter = counter_of(name, shipped.value)
+        counter = worker_table(name, lambda: PieceCounter(shipped.value))
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for block in blocks(rows, lambda r: len(r[1] or "")):
