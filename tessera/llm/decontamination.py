@@ -14,6 +14,8 @@ merged for the documents they hit.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessera.llm.common import map_arrow, only, read, text_bytes, written
+from tessera.llm.common import only, read, text_bytes, text_column, worker_table, written
 
 WINDOW = 13
 #: Words of one shard's automaton, some 300 bytes each.
@@ -53,19 +55,27 @@ class Automaton:
             last = 0
             for word in sequence:
                 last = self._extend(last, word)
-        self.items: list[set] = [set() for _ in self.next]
-        self.ends: list[dict[int, set]] = [{} for _ in self.next]  # items of fewer words than a window that are a suffix here
+        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        # of each state: the suffix state that stands for its last `window` words, and the nearest suffix that is a whole shorter item
+        self.whole, self.short = [0] * len(self.next), [0] * len(self.next)
+        for s in order:
+            if self.length[s] >= window:
+                self.whole[s] = s if self.length[self.link[s]] < window else self.whole[self.link[s]]
+        self.items: dict[int, set] = {}  # of those states
+        ends: dict[int, dict[int, set]] = {}  # items of fewer words than a window that are a suffix here
         for key, sequence in sequences:
             state = 0
             for word in sequence:
-                state = up = self.next[state][word]
-                while up > 0 and key not in self.items[up]:
-                    self.items[up].add(key)
-                    up = self.link[up]
+                state = self.next[state][word]
+                if self.whole[state]:
+                    self.items.setdefault(self.whole[state], set()).add(key)
             if len(sequence) < window:
                 while self.length[self.link[state]] >= len(sequence):
                     state = self.link[state]
-                self.ends[state].setdefault(len(sequence), set()).add(key)
+                ends.setdefault(state, {}).setdefault(len(sequence), set()).add(key)
+        self.ends = ends
+        for s in order:
+            self.short[s] = s if s in ends else self.short[max(self.link[s], 0)]
         self.least = min((min(len(s), window) for _, s in sequences), default=0)
         n = len(self.vocabulary)
         follow = {a * n + b for _, s in sequences for a, b in zip(s, s[1:])}
@@ -136,16 +146,16 @@ class Automaton:
                 matched = matched + 1 if state else 0
                 if matched < self.least:
                     continue
-                hit, at = 0, state
-                while at > 0:
-                    if matched >= window and length[at] >= window > length[link[at]]:
-                        found |= self.items[at]
-                        hit = window
+                hit, at = 0, self.short[state]
+                if matched >= window:
+                    found |= self.items[self.whole[state]]
+                    hit = window
+                while at:  # at most one length a step, each below a window
                     for n, keys in self.ends[at].items():
                         if n <= matched:
                             found |= keys
                             hit = max(hit, n)
-                    at = link[at]
+                    at = self.short[link[at]] if link[at] > 0 else 0
                 if hit:
                     first = i - hit
                     while spans and spans[-1][1] >= first:
@@ -154,55 +164,76 @@ class Automaton:
         return spans, found
 
 
-def shards(items: DataFrame, key: str, text: str, limit: int):
-    """The items, a bounded number of words at a time, in the order of their text; null keys are no items."""
+def shards(items: DataFrame, key: str, text: str, limit: int, window: int = WINDOW):
+    """The items, a bounded number of words at a time; null keys are no items.
+
+    An item of more words comes in parts that overlap by all but one word of a
+    window, so each of its windows is whole in one part.
+    """
     rows = only(items.where(F.col(f"`{key}`").isNotNull()), key, text).select(F.col(f"`{key}`").cast("string"), text_bytes(text))
+    limit = max(limit, window)
     shard, held = [], 0
     for item, raw in rows.toLocalIterator():
         words = words_of(bytes(raw))
-        if held and held + len(words) > limit:
-            yield shard
-            shard, held = [], 0
-        shard.append((item, words))
-        held += len(words)
+        for at in range(0, max(1, len(words) - window + 1), limit - window + 1):
+            part = words[at : at + limit]
+            if held and held + len(part) > limit:
+                yield shard
+                shard, held = [], 0
+            shard.append((item, part))
+            held += len(part)
     yield shard
 
 
-def _matched(docs: DataFrame, items: list, text: str, window: int) -> DataFrame:
-    """All columns of docs with n_words, spans and items, in one narrow pass; `text` is a column, or `column.field`."""
-    shipped = docs.sparkSession.sparkContext.broadcast((items, window))  # at most MAX_WORDS words
-    names = docs.columns
-    column, _, field = text.partition(".")
+_FOUND = "n_words long, spans array<struct<first:int,past:int>>, items array<string>"
+
+
+def matched(spark: SparkSession, items: list, window: int):
+    """A Column function of a text column: struct(n_words, spans, items) against a shard of items."""
+    shipped = spark.sparkContext.broadcast((items, window))  # at most MAX_WORDS words
+    name = hashlib.sha256(repr((window, items)).encode()).hexdigest()
+    kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])), pa.list_(pa.string())]
 
     def run(batches):
-        automaton = Automaton(*shipped.value)
+        automaton = worker_table(name, lambda: Automaton(*shipped.value))
         for batch in batches:
             counts, spans, found = [], [], []
-            held = batch.column(names.index(column))
-            for said in (held.field(field) if field else held).to_pylist():
+            for said in batch.to_pylist():
                 words = words_of((said or "").encode())
                 hit, keys = automaton.match(words)
                 counts.append(len(words))
                 spans.append([{"first": a, "past": b} for a, b in hit])
                 found.append(sorted(keys))
-            arrays = [*batch.columns, pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "spans", "items"])
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip((counts, spans, found), kinds, strict=True)], names=["n_words", "spans", "items"])
+
+    return text_column(spark, run, _FOUND)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_words long, spans array<struct<first:int,past:int>>, items array<string>"])
-    return map_arrow(docs, run, schema)
 
+def overlapping(docs: DataFrame, parts, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(row, found): each row of docs as a struct and its struct(n_words, spans, items) against all shards of items.
 
-def _over_shards(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, window: int, max_words: int) -> DataFrame:
-    """All columns of docs with n_words, spans and items against every shard of the items."""
-    frame, names = None, [F.col(f"`{c}`") for c in docs.columns]
-    for shard in shards(items, item_key, item_text, max_words):
-        if frame is None:
-            frame = _matched(docs, shard, text, window)
-            continue
-        left = frame.select(*names, F.col("spans").alias("_spans"), F.col("items").alias("_items"))
-        both = _matched(written(docs.sparkSession, left, "overlaps"), shard, text, window)
-        frame = both.select(*names, "n_words", merged("_spans", "spans").alias("spans"), F.array_sort(F.array_union("_items", "items")).alias("items"))
-    return frame
+    One shard is matched in the pass that reads the documents.  With more, the
+    rows are written once with their places, each shard's pass keeps only
+    places and spans of what it hits, and these are merged and joined back.
+    """
+    spark = docs.sparkSession
+    parts = iter(parts)
+    first, second = next(parts), next(parts, None)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if second is None:
+        return rows.select("row", matched(spark, first, window)(F.col("row")[text]).alias("found"))
+    placed = written(spark, rows.withColumn("place", F.monotonically_increasing_id()), "placed")
+    hits = None
+    for shard in itertools.chain([first, second], parts):
+        found = placed.select("place", matched(spark, shard, window)(F.col("row")[text]).alias("found"))
+        hit = written(spark, found.where(F.size("found.items") > 0).select("place", "found.spans", "found.items"), "hits")
+        hits = hit if hits is None else hits.unionByName(hit)
+    one = hits.groupBy("place").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    one = one.select("place", merged(F.col("spans")).alias("spans"), "items")
+    counted = placed.select("row", "place", matched(spark, [], window)(F.col("row")[text])["n_words"].alias("n_words"))
+    joined = counted.join(one, "place", "left")
+    none = F.array().cast("array<struct<first:int,past:int>>"), F.array().cast("array<string>")
+    return joined.select("row", F.struct("n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items")).alias("found"))
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
@@ -212,13 +243,14 @@ def find_overlaps(docs: DataFrame, items: DataFrame, text: str = "text", key: st
     items are the distinct keys, as sorted strings, of items with a window that
     occurs.  Null texts have no words; items without words or key never occur;
     without items no document is hit.  One output row per input row, repeated
-    rows and null keys included.
+    rows and null keys included; columns of other names take no part.
     """
-    return _over_shards(only(docs, key, text), items, text, item_key, item_text, window, max_words).select(key, "n_words", "spans", "items")
+    found = overlapping(only(docs, key, text), shards(items, item_key, item_text, max_words, window), text, window)
+    return found.select(F.col("row")[key].alias(key), "found.n_words", "found.spans", "found.items")
 
 
-def merged(left: str, right: str):
-    """Two lists of spans as one list of spans that are apart and in order."""
+def merged(spans):
+    """A list of spans in any order as spans that are apart and in order."""
     kind = "array<struct<first:int,past:int>>"
 
     def step(acc, x):
@@ -226,28 +258,45 @@ def merged(left: str, right: str):
         joined = F.array(F.struct(last["first"].alias("first"), F.greatest(last["past"], x["past"]).alias("past"))).cast(kind)
         return F.when((F.size(acc) > 0) & (last["past"] >= x["first"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), joined)).otherwise(F.concat(acc, F.array(x))).cast(kind)
 
-    return F.aggregate(F.array_sort(F.concat(left, right)), F.array().cast(kind), step)
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
+
+
+def hit_words(spans):
+    """How many words the spans cover."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["past"] - s["first"])
+
+
+def contaminated(n_words, spans, coverage: int = COVERAGE):
+    """The verdict: hit at all, and at least one word in `coverage` hit."""
+    return (hit_words(spans) > 0) & (coverage * hit_words(spans) >= n_words)
 
 
 def judged(overlaps: DataFrame, coverage: int = COVERAGE) -> DataFrame:
-    """n_hit and the verdict: hit at all, and at least one word in `coverage` hit."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["past"] - s["first"])
-    return overlaps.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words")))
+    """find_overlaps() with n_hit and the verdict."""
+    return overlaps.withColumn("n_hit", hit_words(F.col("spans"))).withColumn("contaminated", contaminated(F.col("n_words"), F.col("spans"), coverage))
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, coverage: int = COVERAGE, long_span: int | None = None) -> DataFrame:
+def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, coverage: int = COVERAGE, long_span: int | None = None, max_words: int = MAX_WORDS) -> DataFrame:
     """The documents, all columns, without contaminated ones.
 
     `long_span`: in documents that stay, spans of at least that many words are
-    cut out of the text (None: texts stay as they are).
+    cut out of the text (None: texts stay as they are).  A null text is clean
+    and stays null; rows that repeat stay or go together; columns of other
+    names, also of those that find_overlaps() gives, take no part.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = judged(_over_shards(packed, items, f"row.{text}", "item_id", "text", window, MAX_WORDS), coverage).where(~F.col("contaminated"))
+    spark, parts = docs.sparkSession, shards(items, "item_id", "text", max_words, window)
+    first, second = next(parts), next(parts, None)
+    if second is None and long_span is None:  # the rows stay in the JVM, only texts leave it
+        mine = matched(spark, first, window)(F.col(f"`{text}`"))
+        return docs.where(~contaminated(mine["n_words"], mine["spans"], coverage))
+    found = overlapping(docs, itertools.chain([first], [] if second is None else [second], parts), text, window)
+    kept = found.where(~contaminated(F.col("found.n_words"), F.col("found.spans"), coverage))
+    columns = [F.col("row")[c].alias(c) for c in docs.columns]
     if long_span is None:
-        return kept.select("row.*")
+        return kept.select(*columns)
     cut = F.pandas_udf(lambda texts, spans: texts.combine(spans, cut_spans), StringType())
-    shorter = cut(F.col("row")[text], F.filter("spans", lambda s: s["past"] - s["first"] >= long_span))
-    return kept.select(*[(shorter if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
+    shorter = cut(F.col("row")[text], F.filter("found.spans", lambda s: s["past"] - s["first"] >= long_span))
+    return kept.select(*[shorter.alias(c) if c == text else held for c, held in zip(docs.columns, columns, strict=True)])
 
 
 def cut_spans(text: str | None, spans) -> str | None:
