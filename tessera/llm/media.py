@@ -29,7 +29,8 @@ _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 PART = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
 _BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr td th table article section header footer nav aside figure figcaption blockquote pre title".split())
 _MEDIA = frozenset("img audio video source embed".split())
-_SILENT = frozenset("script style template noscript".split())
+#: Their content is no text; only the first two may hold an end tag of others, so only they stay open until their own.
+_RAW, _SILENT = frozenset("script style".split()), frozenset("script style template noscript".split())
 
 
 class _Sequence(HTMLParser):
@@ -103,10 +104,15 @@ class _Sequence(HTMLParser):
                 self.caption, self.caption_at = [], len(self.parts)
 
     def handle_endtag(self, tag):
+        if tag in self.silent:
+            while self.silent.pop() != tag:
+                pass
+            return
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
-        elif tag == "figcaption" and self.caption is not None:
+            if self.silent[-1] in _RAW or tag not in _BREAKS:
+                return
+            self.silent.clear()  # an unclosed template ends where a block around it ends
+        if tag == "figcaption" and self.caption is not None:
             self._end_caption()
         elif tag in _BREAKS:
             self._close()
@@ -127,7 +133,11 @@ def parse_html(html: str | None) -> list[dict]:
 
 
 def interleaved(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """(key, parts) of each row: an array of PART structs in document order."""
+    """(key, parts) of each row: an array of PART structs in document order.
+
+    A null or empty page has no parts; rows that repeat and null keys pass
+    through; columns of other names take no part.
+    """
     kind = pages.schema[key].dataType.simpleString()
     part = pa.list_(pa.struct([("position", pa.int32()), *[(c, pa.string()) for c in ("kind", "text", "ref", "caption")]]))
 
@@ -190,7 +200,11 @@ def feature(samples: bytes) -> str:
 
 
 def store_media(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Write each row's text as an image to the shared folder: (key, digest, media), read from there."""
+    """Write each row's text as an image to the shared folder: (key, digest, media), read from there.
+
+    A row gives a row, repeated rows and null keys too; a null text is stored
+    as an empty one.  Columns of other names take no part.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -234,10 +248,15 @@ def resolve(sequences: DataFrame, features: DataFrame, key: str) -> DataFrame:
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as an image and referred to from an interleaved sequence.
 
-    One row per row of documents; a null text is stored as an empty one.
+    One row per row of documents; a null text is stored as an empty one.  The
+    page that refers to it has 0 to 15 paragraphs before its figure, by the
+    digest's first digit, and the caption before or after the image, by its second.
     """
     media = store_media(spark, read(spark, sf_dir, "documents"))
-    page = F.format_string('<article><p>Before.</p><figure><img src="sha256:%s"><figcaption>Payload %s</figcaption></figure><p>After.</p></article>', "digest", F.substring("digest", 1, 8))
+    first, second = (F.conv(F.substring("digest", k, 1), 16, 10).cast("int") for k in (1, 2))
+    image, caption = F.concat(F.lit('<img src="sha256:'), "digest", F.lit('">')), F.concat(F.lit("<figcaption>Payload "), F.substring("digest", 1, 8), F.lit("</figcaption>"))
+    figure = F.when(second < 8, F.concat(caption, image)).otherwise(F.concat(image, caption))
+    page = F.concat(F.lit("<article>"), F.repeat(F.lit("<p>Before.</p>"), first), F.lit("<figure>"), figure, F.lit("</figure><p>After.</p></article>"))
     sequences = interleaved(media.select("doc_id", page.alias("html")), key="doc_id")
     features = written(spark, media_features(media), "features")  # a shuffle of its own, so a join may split a digest with many references
     found = resolve(sequences, features, "doc_id")
