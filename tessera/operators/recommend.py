@@ -198,13 +198,13 @@ def hybrid(cf: DataFrame, cb: DataFrame, alpha: float) -> DataFrame:
     return mixed(cf, cb).select("u", "i", blend(alpha).alias("score"))
 
 
-def alpha_sweep(cf: DataFrame, cb: DataFrame, train: DataFrame, test: DataFrame, items: DataFrame, alphas=tuple(k / 10 for k in range(11)), k: int = 10) -> DataFrame:
-    """(alpha, precision, recall, ndcg, users) of each mix; the mixed scores are made once."""
+def alpha_sweep(cf: DataFrame, cb: DataFrame, train: DataFrame, test: DataFrame, items: DataFrame, alphas=tuple(k / 10 for k in range(11)), k: int = 10, places: int = 12) -> DataFrame:
+    """(alpha, precision, recall, ndcg, users) of each mix, scores to so many places; the mixed scores are made once."""
     from tessera.checkpoint import cut
 
     both, out = cut(mixed(cf, cb).join(train.select("u", "i").distinct(), ["u", "i"], "left_anti"), "mixed"), None
     for a in alphas:
-        row = rank_eval(both.select("u", "i", blend(a).alias("score")), train, test, items, k).select(F.lit(a).alias("alpha"), "*")
+        row = rank_eval(both.select("u", "i", F.round(blend(a), places).alias("score")), train, test, items, k).select(F.lit(a).alias("alpha"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 

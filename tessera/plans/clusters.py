@@ -53,14 +53,18 @@ def _first(points, k: int) -> list:
     return [r["features"] for r in points.where(F.col("id") < k).orderBy("id").collect()]
 
 
-def _lloyd_sql(k: int, steps: int) -> str:
-    text = sql("points", tail=f", x AS (SELECT id, features FROM points), c0 AS (SELECT id AS cluster, features FROM x WHERE id < {k})")
+def _lloyd_ctes(k: int, steps: int) -> str:
+    text = (f", x AS (SELECT id, features FROM points), c0 AS (SELECT id AS cluster, features FROM x WHERE id < {k})")
     for n in range(steps + 1):
         text += f", l{n} AS MATERIALIZED (SELECT id, features, cluster FROM (SELECT a.id, a.features, b.cluster, row_number() OVER (PARTITION BY a.id ORDER BY round({_DOT}, 12), b.cluster) AS r FROM x a, c{n} b) WHERE r = 1)"
         if n < steps:
             means = f"SELECT cluster, list(m ORDER BY p) AS features FROM (SELECT cluster, p, avg(v) AS m FROM (SELECT cluster, unnest(features) AS v, unnest(range(1, 65)) AS p FROM l{n}) GROUP BY 1, 2) GROUP BY 1"
             text += f", m{n} AS ({means}), c{n + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.features, c.features) AS features FROM c{n} c LEFT JOIN m{n} m USING (cluster))"
-    return text + f" SELECT id, CAST(cluster AS INT) AS cluster FROM l{steps}"
+    return text
+
+
+def _lloyd_sql(k: int, steps: int) -> str:
+    return sql("points", tail=_lloyd_ctes(k, steps)) + f" SELECT id, CAST(cluster AS INT) AS cluster FROM l{steps}"
 
 
 @query("lloyd_fixed", _lloyd_sql(5, 4))
@@ -132,11 +136,26 @@ def dbscan_summary(spark, sf):
     return rounded(cluster.cluster_sizes(cluster.dbscan(points(spark, sf), 1.19, 5)))
 
 
-@query("compare_clusters")
+def _silhouette_sql(labels: str) -> str:
+    """The mean silhouette of (id, cluster) rows, noise left out, over the distances d."""
+    return f"""(WITH lb AS MATERIALIZED (SELECT id, cluster FROM {labels} WHERE cluster >= 0), m AS (SELECT d.a, x.cluster AS la, y.cluster AS ly, avg(d) AS m FROM d JOIN lb x ON x.id = d.a JOIN lb y ON y.id = d.b WHERE d.a <> d.b GROUP BY 1, 2, 3),
+    s AS (SELECT a, min(m) FILTER (la = ly) AS ai, min(m) FILTER (la <> ly) AS bi FROM m GROUP BY 1) SELECT avg(CASE WHEN ai IS NULL OR bi IS NULL OR greatest(ai, bi) = 0 THEN 0 ELSE (bi - ai) / greatest(ai, bi) END) FROM lb LEFT JOIN s ON s.a = lb.id)"""
+
+
+def _compared(name: str, labels: str) -> str:
+    n = f"(SELECT count(DISTINCT cluster) FROM {labels} WHERE cluster >= 0)"
+    return f"SELECT '{name}' AS method, {n} AS clusters, (SELECT count(*) FROM {labels} WHERE cluster < 0) AS noise, CASE WHEN {n} >= 2 THEN round({_silhouette_sql(labels)}, 6) END AS silhouette"
+
+
+@query(
+    "compare_clusters",
+    sql("points", tail=_PAIRS.replace("d AS (", "d AS MATERIALIZED (") + _DBSCAN.removeprefix(_PAIRS).replace(" SELECT p.id, coalesce(n.cluster", ", db AS MATERIALIZED (SELECT p.id, coalesce(n.cluster") + ")" + _lloyd_ctes(5, 4)).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f" {_compared('kmeans', 'l4')} UNION ALL {_compared('dbscan', 'db')}",
+)
 def compare_clusters(spark, sf):
     rows = cut(points(spark, sf), "points")
     centroids, _ = cluster.lloyd(rows, _first(rows, 5), max_iter=4, tol=0)
-    return cluster.compare(rows.select("id", "features"), cluster.assign(rows, centroids), cluster.dbscan(rows, 1.19, 5))
+    return rounded(cluster.compare(rows.select("id", "features"), cluster.assign(rows, centroids), cluster.dbscan(rows, 1.19, 5)))
 
 
 @query("cluster_profile")

@@ -92,32 +92,73 @@ def friendship_metrics(spark, sf):
     return rounded(graph.friendship_metrics(cut(edges, "friends"), cut(nodes, "customers")), 9)
 
 
-def _pagerank_sql(iterations: int) -> str:
-    text = sql("edges", "nodes", tail=_COMPONENTS + _LCC)
-    text += ", deg AS (SELECT src, count(*) AS d FROM inner_edges GROUP BY src), p0 AS (SELECT id, 1.0 / (SELECT count(*) FROM lcc) AS s FROM lcc)"
+def _pagerank_ctes(iterations: int) -> str:
+    """CTEs up to p{iterations} (id, s), after the friendship roles."""
+    text = _COMPONENTS + _LCC.replace("lcc AS (", "lcc AS MATERIALIZED (", 1).replace("inner_edges AS (", "inner_edges AS MATERIALIZED (", 1)
+    text += ", deg AS MATERIALIZED (SELECT src, count(*) AS d FROM inner_edges GROUP BY src), p0 AS (SELECT id, 1.0 / (SELECT count(*) FROM lcc) AS s FROM lcc)"
     for k in range(iterations):
         text += f", p{k + 1} AS MATERIALIZED (SELECT l.id, 0.15 / (SELECT count(*) FROM lcc) + 0.85 * (coalesce(g.s, 0) + (SELECT coalesce(sum(s), 0) FROM p{k} WHERE id NOT IN (SELECT src FROM deg)) / (SELECT count(*) FROM lcc)) AS s FROM lcc l LEFT JOIN (SELECT e.dst AS id, sum(p.s / deg.d) AS s FROM inner_edges e JOIN p{k} p ON p.id = e.src JOIN deg ON deg.src = e.src GROUP BY 1) g ON g.id = l.id)"
-    return recursive(text) + f" SELECT id, round(s, 9) AS score FROM p{iterations}"
+    return text
 
 
-@query("pagerank", _pagerank_sql(8))
+@query("pagerank", recursive(sql("edges", "nodes", tail=_pagerank_ctes(8))) + " SELECT id, round(s, 9) AS score FROM p8")
 def pagerank(spark, sf):
     edges, lcc = component_graph(spark, sf)
     return rounded(graph.pagerank(edges, lcc, max_iter=8, tol=0)[0], 9)
 
 
-@query("pagerank_top")
+def fans(users: DataFrame) -> DataFrame:
+    """Users with `fans`, a number by rule."""
+    return users.withColumn("fans", F.pmod(F.col("user_id") * 7, F.lit(101)))
+
+
+_FRIENDS = "(SELECT src, count(*) AS n_friends FROM edges GROUP BY 1)"
+
+
+def friends(spark, sf) -> DataFrame:
+    return roles.friendship(spark, sf)[0].groupBy(F.col("src").alias("user_id")).agg(F.count("*").alias("n_friends"))
+
+
+@query(
+    "pagerank_top",
+    recursive(sql("edges", "nodes", "users", tail=_pagerank_ctes(20)))
+    + f" SELECT id, round(s, 9) AS score, name, review_count, (id * 7) % 101 AS fans, n_friends FROM (SELECT id, s FROM p20 ORDER BY round(s, 12) DESC, id LIMIT 15) t LEFT JOIN users u ON u.user_id = t.id LEFT JOIN {_FRIENDS} f ON f.src = t.id",
+)
 def pagerank_top(spark, sf):
-    scores, _ = graph.pagerank(*component_graph(spark, sf))
-    return graph.top_scores(scores, roles.users(spark, sf).select("user_id", "name", "review_count"), "user_id")
+    scores, _ = graph.pagerank(*component_graph(spark, sf), max_iter=20, tol=0)
+    profiles = fans(roles.users(spark, sf)).select("user_id", "name", "review_count", "fans").join(friends(spark, sf), "user_id", "left")
+    return rounded(graph.top_scores(rounded(scores, 12), profiles, "user_id"), 9)
 
 
-def _hits_sql(iterations: int) -> str:
-    text = sql("latest", tail=", w AS (SELECT user_id, business_id, count(*) AS w FROM latest GROUP BY 1, 2), h0 AS (SELECT DISTINCT user_id AS id, 1.0 AS s FROM latest)")
+@query("pagerank_converged")
+def pagerank_converged(spark, sf):
+    """Until the scores move less than 1e-6 in sum."""
+    return graph.pagerank(*component_graph(spark, sf))[0]
+
+
+@query(
+    "pagerank_users",
+    recursive(sql("edges", "nodes", "users", tail=_pagerank_ctes(8)))
+    + f" SELECT count(*) AS n, round(corr(s, n_friends), 6) AS corr_friends, round(corr(s, (id * 7) % 101), 6) AS corr_fans, round(corr(s, review_count), 6) AS corr_reviews FROM p8 LEFT JOIN users u ON u.user_id = p8.id LEFT JOIN {_FRIENDS} f ON f.src = p8.id",
+)
+def pagerank_users(spark, sf):
+    """PageRank with the profiles of all its users: three correlations."""
+    scores, _ = graph.pagerank(*component_graph(spark, sf), max_iter=8, tol=0)
+    rows = scores.withColumnRenamed("id", "user_id").join(fans(roles.users(spark, sf)), "user_id", "left").join(friends(spark, sf), "user_id", "left")
+    return rounded(rows.agg(F.count("*").alias("n"), F.corr("score", "n_friends").alias("corr_friends"), F.corr("score", "fans").alias("corr_fans"), F.corr("score", "review_count").alias("corr_reviews")))
+
+
+def _hits_ctes(iterations: int) -> str:
+    """CTEs up to h{iterations} and a{iterations} (id, s), after the latest reviews."""
+    text = ", w AS MATERIALIZED (SELECT user_id, business_id, count(*) AS w FROM latest GROUP BY 1, 2), h0 AS (SELECT DISTINCT user_id AS id, 1.0 AS s FROM latest)"
     for k in range(iterations):
-        text += f", ra{k} AS (SELECT business_id AS id, sum(w * s) AS s FROM w JOIN h{k} ON id = user_id GROUP BY 1), a{k + 1} AS MATERIALIZED (SELECT id, s / (SELECT sqrt(sum(s * s)) FROM ra{k}) AS s FROM ra{k})"
-        text += f", rh{k} AS (SELECT user_id AS id, sum(w * s) AS s FROM w JOIN a{k + 1} ON id = business_id GROUP BY 1), h{k + 1} AS MATERIALIZED (SELECT id, s / (SELECT sqrt(sum(s * s)) FROM rh{k}) AS s FROM rh{k})"
-    return text + f" SELECT 'hub' AS side, id, round(s, 8) AS score FROM h{iterations} UNION ALL SELECT 'authority', id, round(s, 8) FROM a{iterations}"
+        text += f", ra{k} AS MATERIALIZED (SELECT business_id AS id, sum(w * s) AS s FROM w JOIN h{k} ON id = user_id GROUP BY 1), a{k + 1} AS MATERIALIZED (SELECT id, s / (SELECT sqrt(sum(s * s)) FROM ra{k}) AS s FROM ra{k})"
+        text += f", rh{k} AS MATERIALIZED (SELECT user_id AS id, sum(w * s) AS s FROM w JOIN a{k + 1} ON id = business_id GROUP BY 1), h{k + 1} AS MATERIALIZED (SELECT id, s / (SELECT sqrt(sum(s * s)) FROM rh{k}) AS s FROM rh{k})"
+    return text
+
+
+def _hits_sql(iterations: int) -> str:
+    return sql("latest", tail=_hits_ctes(iterations)) + f" SELECT 'hub' AS side, id, round(s, 8) AS score FROM h{iterations} UNION ALL SELECT 'authority', id, round(s, 8) FROM a{iterations}"
 
 
 @query("hits", _hits_sql(5))
@@ -126,11 +167,32 @@ def hits(spark, sf):
     return rounded(hubs.select(F.lit("hub").alias("side"), "*").unionByName(auths.select(F.lit("authority").alias("side"), "*")), 8)
 
 
-@query("hits_top")
+@query(
+    "hits_top",
+    sql("latest", "business", "users", tail=_hits_ctes(10))
+    + """ SELECT 'authority' AS side, id, round(s, 8) AS score, name, review_count FROM (SELECT id, s FROM a10 ORDER BY round(s, 12) DESC, id LIMIT 15) t LEFT JOIN business b ON b.business_id = t.id
+    UNION ALL SELECT 'hub', id, round(s, 8), name, review_count FROM (SELECT id, s FROM h10 ORDER BY round(s, 12) DESC, id LIMIT 15) t LEFT JOIN users u ON u.user_id = t.id""",
+)
 def hits_top(spark, sf):
-    hubs, auths, _ = graph.hits(latest(spark, sf), max_iter=30, tol=1e-6)
-    top = graph.top_scores(auths, roles.business(spark, sf).select("business_id", "name"), "business_id").select(F.lit("authority").alias("side"), "id", "score", "name")
-    return top.unionByName(graph.top_scores(hubs, roles.users(spark, sf).select("user_id", "name"), "user_id").select(F.lit("hub").alias("side"), "id", "score", "name"))
+    hubs, auths, _ = graph.hits(latest(spark, sf), max_iter=10, tol=0)
+    columns = ["side", "id", "score", "name", "review_count"]
+    top = graph.top_scores(rounded(auths, 12), roles.business(spark, sf).select("business_id", "name", "review_count"), "business_id").withColumn("side", F.lit("authority")).select(*columns)
+    return rounded(top.unionByName(graph.top_scores(rounded(hubs, 12), roles.users(spark, sf).select("user_id", "name", "review_count"), "user_id").withColumn("side", F.lit("hub")).select(*columns)), 8)
+
+
+@query("hits_converged")
+def hits_converged(spark, sf):
+    """Until the scores of both sides move less than 1e-8 in sum."""
+    hubs, auths, _ = graph.hits(latest(spark, sf))
+    return hubs.select(F.lit("hub").alias("side"), "*").unionByName(auths.select(F.lit("authority").alias("side"), "*"))
+
+
+@query("authority_business", sql("latest", "business", tail=_hits_ctes(5)) + " SELECT count(*) AS n, round(corr(s, review_count), 6) AS corr FROM a5 JOIN business b ON b.business_id = a5.id")
+def authority_business(spark, sf):
+    """Authority against the profiles' review counts."""
+    _, auths, _ = graph.hits(latest(spark, sf), max_iter=5, tol=0)
+    rows = auths.withColumnRenamed("id", "business_id").join(roles.business(spark, sf), "business_id")
+    return rounded(rows.agg(F.count("*").alias("n"), F.corr("score", "review_count").alias("corr")))
 
 
 @query(
@@ -184,11 +246,30 @@ def force_layout(spark, sf):
     return community.spring_layout(graph.induced(edges, nodes), nodes, 60)
 
 
-@query("lens_overlap")
+_LENSES = recursive(sql("edges", "nodes", "latest", "users", tail=_pagerank_ctes(8) + _hits_ctes(5))) + ", lens AS MATERIALIZED (SELECT p.id, round(p.s, 12) AS pr, round(h.s, 12) AS hub FROM p8 p JOIN h5 h ON h.id = p.id), ranked AS MATERIALIZED (SELECT *, rank() OVER (ORDER BY pr DESC) AS pr_rank, rank() OVER (ORDER BY hub DESC) AS hub_rank FROM lens)"
+
+
+def lenses(spark, sf) -> tuple[DataFrame, DataFrame]:
+    scores, _ = graph.pagerank(*component_graph(spark, sf), max_iter=8, tol=0)
+    hubs, _, _ = graph.hits(latest(spark, sf), max_iter=5, tol=0)
+    return rounded(scores, 12), rounded(hubs, 12)
+
+
+@query(
+    "lens_overlap",
+    _LENSES
+    + """, shared AS (SELECT id FROM (SELECT id FROM ranked ORDER BY pr_rank, id LIMIT 15) INTERSECT SELECT id FROM (SELECT id FROM ranked ORDER BY hub_rank, id LIMIT 15))
+    SELECT (SELECT count(*) FROM ranked) AS n, (SELECT round(corr(pr, hub), 6) FROM ranked) AS corr, (SELECT count(*) FROM shared) AS overlap, (SELECT coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)), '') FROM shared) AS pillars""",
+)
 def lens_overlap(spark, sf):
-    scores, _ = graph.pagerank(*component_graph(spark, sf), max_iter=20, tol=0)
-    hubs, _, _ = graph.hits(latest(spark, sf), max_iter=10, tol=0)
-    return rounded(graph.influence_lenses(scores, hubs))
+    return rounded(graph.influence_lenses(*lenses(spark, sf)))
+
+
+@query("influence_ranks", _LENSES + f" SELECT r.id, pr_rank, hub_rank, name, review_count, (r.id * 7) % 101 AS fans, n_friends FROM ranked r LEFT JOIN users u ON u.user_id = r.id LEFT JOIN {_FRIENDS} f ON f.src = r.id")
+def influence_ranks(spark, sf):
+    """Both lenses' ranks of each user that has both, with their profiles."""
+    profiles = fans(roles.users(spark, sf)).select(F.col("user_id").alias("id"), "name", "review_count", "fans").join(friends(spark, sf).withColumnRenamed("user_id", "id"), "id", "left")
+    return graph.joined_lenses(*lenses(spark, sf), profiles).drop("pr", "hub")
 
 
 @query(

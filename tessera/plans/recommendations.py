@@ -186,22 +186,51 @@ def rank_eval(spark, sf):
     return rounded(recommend.rank_eval(recommend.popular(r, users), r, test, items))
 
 
-@query("method_table")
-def method_table(spark, sf):
+_REL = """, rel AS MATERIALIZED (SELECT DISTINCT user_id AS u, business_id AS i FROM split WHERE test AND stars >= 4 AND business_id IN (SELECT i FROM ratings)), need AS MATERIALIZED (SELECT u, count(*) AS n FROM rel GROUP BY 1)"""
+
+
+def _evaluated(scores: str, label: str, named: str) -> str:
+    """One row of ranking metrics of a (u, i, score) relation, scores to 6 places."""
+    return f"""SELECT {label} AS {named}, round(avg(coalesce(hits, 0) / 10), 6) AS precision, round(avg(coalesce(hits, 0) / n), 6) AS recall,
+    round(avg(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda p: 1 / log2(p + 1)))), 6) AS ndcg, count(*) AS users
+    FROM need LEFT JOIN (SELECT t.u, count(*) AS hits, sum(1 / log2(k + 1)) AS dcg FROM (SELECT s.u, s.i, row_number() OVER (PARTITION BY s.u ORDER BY round(s.score, 6) DESC, s.i) AS k FROM {scores} s ANTI JOIN ratings r ON r.u = s.u AND r.i = s.i WHERE s.u IN (SELECT u FROM rel)) t
+    JOIN rel ON rel.u = t.u AND rel.i = t.i WHERE k <= 10 GROUP BY 1) h USING (u)"""
+
+
+_BOTH = f""", cf AS MATERIALIZED (SELECT * FROM scored WHERE u IN (SELECT user_id FROM split WHERE test)), cbm AS MATERIALIZED (SELECT * FROM cb),
+    two AS MATERIALIZED (SELECT coalesce(a.u, b.u) AS u, coalesce(a.i, b.i) AS i, coalesce(a.s, 0) AS a, coalesce(b.s, 0) AS b FROM {_SCALED.format('cf')} a FULL JOIN {_SCALED.format('cbm')} b ON a.u = b.u AND a.i = b.i)"""
+_POPULAR = "(SELECT n.u, c.i, c.score FROM need n, (SELECT i, count(*) AS score FROM ratings GROUP BY 1) c)"
+_METHODS = {"popular": _POPULAR, "item cf": "cf", "content": "cbm"} | {f"hybrid {a}": f"(SELECT u, i, {a} * a + (1 - {a}) * b AS score FROM two)" for a in (0.3, 0.5, 0.7)}
+_RANKED = sql("pruned", tail=_CF.replace("scored AS (", "scored AS MATERIALIZED (") + _VECTORS + _REL + _BOTH)
+
+
+def both_scores(spark, sf):
     e = evaluated(spark, sf)
     cf = cut(recommend.predict(e["c"], e["sk"], e["users"]), "cf")
     cb = cut(recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"]), "cb")
-    methods = {"random": recommend.random_scores(e["r"], e["items"], e["users"]), "popular": recommend.popular(e["r"], e["users"]), "item cf": cf, "content": cb}
-    methods |= {f"hybrid {a}": recommend.hybrid(cf, cb, a) for a in (0.3, 0.5, 0.7)}
-    return rounded(recommend.method_table(methods, e["r"], e["test"], e["items"]))
+    return e, cf, cb
 
 
-@query("alpha_sweep")
+@query("method_table", _RANKED + " " + " UNION ALL ".join(f"({_evaluated(scores, repr(name), 'method')})" for name, scores in _METHODS.items()))
+def method_table(spark, sf):
+    e, cf, cb = both_scores(spark, sf)
+    methods = {"popular": recommend.popular(e["r"], e["users"]), "item cf": cf, "content": cb} | {f"hybrid {a}": recommend.hybrid(cf, cb, a) for a in (0.3, 0.5, 0.7)}
+    return rounded(recommend.method_table({k: rounded(v) for k, v in methods.items()}, e["r"], e["test"], e["items"]))
+
+
+@query("random_eval")
+def random_eval(spark, sf):
+    """The method table's row of the random baseline; its draws are hashes that SQL lacks."""
+    train, test = split(spark, sf)
+    r = cut(recommend.ratings(train), "ratings")
+    users, items = test.select(F.col("user_id").alias("u")).distinct(), r.select("i").distinct()
+    return rounded(recommend.method_table({"random": recommend.random_scores(r, items, users)}, r, test, items))
+
+
+@query("alpha_sweep", _RANKED + " " + " UNION ALL ".join(f"({_evaluated(f'(SELECT u, i, {k / 10} * a + (1 - {k / 10}) * b AS score FROM two)', f'CAST({k / 10} AS DOUBLE)', 'alpha')})" for k in range(11)))
 def alpha_sweep(spark, sf):
-    e = evaluated(spark, sf)
-    cf = cut(recommend.predict(e["c"], e["sk"], e["users"]), "cf")
-    cb = cut(recommend.content_scores(item_vectors(spark, sf, e["train"]), e["r"], e["users"]), "cb")
-    return rounded(recommend.alpha_sweep(cf, cb, e["r"], e["test"], e["items"]))
+    e, cf, cb = both_scores(spark, sf)
+    return rounded(recommend.alpha_sweep(cf, cb, e["r"], e["test"], e["items"], places=6))
 
 
 @query(
