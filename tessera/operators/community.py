@@ -22,18 +22,24 @@ def weighted(edges: DataFrame) -> DataFrame:
 
 
 def _moves(edges: DataFrame, labels: DataFrame, two_m: float, resolution: float, half: int, rounds: int) -> DataFrame:
-    """One synchronous round: nodes of one hash half go to the neighbour community with the largest gain."""
+    """One synchronous round: nodes of one hash half go to the neighbour community with the largest gain.
+
+    Of two nodes alone in their communities only one goes to the other, or they
+    would change places for ever.
+    """
     strength = edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
-    totals = labels.join(strength, "id", "left").groupBy("community").agg(F.sum(F.coalesce("k", F.lit(0.0))).alias("tot"))
+    totals = labels.join(strength, "id", "left").groupBy("community").agg(F.sum(F.coalesce("k", F.lit(0.0))).alias("tot"), F.count("*").alias("size"))
     around = edges.where("src <> dst").join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("into"))
-    own = labels.withColumnRenamed("community", "own")
+    own = labels.join(totals.select("community", F.col("size").alias("own_size")), "community").withColumnRenamed("community", "own")
     active = F.pmod(F.xxhash64("id", F.lit(rounds // 2)), F.lit(2)) == half
-    options = around.join(own, "id").where(active).join(strength, "id").join(totals, "community")
+    options = around.join(own.where(active), "id").join(strength, "id").join(totals, "community")
     without = F.when(F.col("community") == F.col("own"), F.col("tot") - F.col("k")).otherwise(F.col("tot"))
-    gained = options.select("id", "own", "community", (F.col("into") - resolution * without * F.col("k") / two_m).alias("gain"))
-    best = gained.groupBy("id", "own").agg(F.max_by("community", F.struct("gain", -F.xxhash64("community"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"))
-    alone = F.coalesce("stay", F.lit(0.0))
-    moved = best.where((F.col("gain") > alone + 1e-12) & (F.col("to") != F.col("own"))).select("id", "to")
+    gained = options.select("id", "own", "own_size", "community", "size", (F.col("into") - resolution * without * F.col("k") / two_m).alias("gain"))
+    best = gained.groupBy("id", "own", "own_size").agg(F.max_by(F.struct("community", "size"), F.struct("gain", -F.xxhash64("community"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"))
+    best = best.select("id", "own", "own_size", "to.community", "to.size", "gain", "stay")
+    # a node alone in its community loses nothing by leaving it: its own gain is what its strength costs, 0
+    swap = (F.col("own_size") == 1) & (F.col("size") == 1) & (F.xxhash64("community") > F.xxhash64("own"))
+    moved = best.where((F.col("gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12) & (F.col("community") != F.col("own")) & ~swap).select("id", F.col("community").alias("to"))
     return labels.join(moved, "id", "left").select("id", F.coalesce("to", "community").alias("community"))
 
 
