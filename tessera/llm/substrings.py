@@ -4,27 +4,31 @@ Suffixes start at every word; a passage of `window` words that repeats is a
 node of depth `window` or more in the suffix tree of all documents.  The tree
 is never built whole:
 
-1. Documents are dealt once into blocks of about BLOCK bytes by a hash of their
-   key and kept as a table bucketed by block, so later passes need no shuffle of
-   texts.
-2. A suffix belongs to the group named by its prefix, more exactly by the least
-   hash of the word grams in its first `window` words: neighbouring suffixes
-   mostly share that gram, so a stretch of them is sent once with its words.
-   Blocks first send the group names alone (sorted and packed); a group that has
+1. Documents are dealt once, by their places, into shares of about SHARE bytes
+   and kept as a table bucketed by share, so later passes need no shuffle of
+   texts.  A share is worked on BLOCK bytes at a time.
+2. A suffix belongs to the group named by its first `window` words, more exactly
+   by the least hash of the word grams in them: neighbouring suffixes mostly
+   have that gram in common, so a stretch of them is sent once with its words.
+   Shares first send the group names alone (sorted and packed); a group that has
    one stretch in the whole corpus holds no repeat and is dropped.
-3. Blocks send the stretches of the other groups, equal ones once with the
-   smallest key.  A group with over HOT stretches is split by the longest prefix
-   that matters, the whole window, so no group outgrows a task.
-4. Each partition sorts its suffixes word by word (the tree's leaves in order);
-   neighbours that agree in `window` words lie under one deep internal node, and
-   the node's smallest key decides.  What goes back to a block is the list of its
-   windows that start in a document with a smaller key elsewhere.
-5. Each block marks those windows and the ones that repeat inside the block,
-   and cuts the words they cover.
+3. Shares send the stretches of the other groups, equal ones once with the
+   smallest key, so no group gets a stretch more than once a share.  A group
+   with over HOT stretches is spread by the whole window.
+4. Each part of the groups splits its suffixes by prefixes of variable length: a
+   prefix is made longer, word by word, until its suffixes fit GROUP; prefixes
+   with few suffixes go together.  The subtree of such a group has its suffixes,
+   sorted word by word, as leaves; neighbours that agree in `window` words lie
+   under one deep internal node, whose smallest key decides.  What goes back to
+   a share are its windows under nodes with a smaller key, and that key.
+5. Each share marks those windows and cuts the words they cover.
+
+There are as many parts as shares, some 900 thousand group names each.  Between
+shares and parts goes a row a pair of them at most, and never more rows than
+stretches: 1,300 rows for 0.85 GB of text, 450 million for 0.5 TB, of 40 names.
 
 Windows are compared by 48-bit hashes of each of their words (624 bits for 13);
-only the way back and the comparison inside one block, whose size is bounded,
-use one 64-bit hash of the window.
+only the way back uses one 64-bit hash of the window.
 """
 
 from __future__ import annotations
@@ -35,18 +39,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, text_bytes
+from tessera.llm.common import blocks, give_back, placed, read, small_batches, text_bytes
 
 WINDOW = 13
 GRAM = 6
-#: Bytes of text in one block.
-BLOCK = 8 << 20
-#: Stretches of a group that one task may get.
+#: Bytes of text in one share, and of it that are worked on at a time.
+SHARE, BLOCK = 24 << 20, 3 << 20
+#: Stretches of a group that one part may get.
 HOT = 20_000
-MAX_BUCKETS = 10_000
+#: Suffixes of the largest subtree that is built at a time.
+GROUP = 200_000
+MAX_BUCKETS = 100_000
 
 _WORD_MASK = (1 << 48) - 1
 
@@ -139,45 +146,56 @@ class Block:
         """The groups of the stretches, as 48-bit names in order, and how many stretches each has."""
         return np.unique(name(self.group[self.stretch]), return_counts=True)
 
-    def sent(self, repeated: np.ndarray, hot: np.ndarray, parts: int):
-        """(part, length in words, key, words) of the stretches of the repeated groups, equal ones once."""
+    def sent(self, repeated: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(group, length in words, key, first window, sum of windows, words) of the stretches of the repeated groups; words in 48 bits, one stretch after the other."""
         names = name(self.group)
         ends = np.append(self.stretch[1:], len(self.start))
         wanted = _in(names[self.stretch], repeated)
         first, past = self.stretch[wanted], ends[wanted]
         split = _in(names[first], hot)
-        single = np.concatenate([np.arange(a, b) for a, b in zip(first[split], past[split], strict=True)] or [np.zeros(0, np.int64)])
-        first = np.concatenate([first[~split], single])
-        past = np.concatenate([past[~split], single + 1])
+        single = _ranges(first[split], past[split])
+        by = np.concatenate([names[first[~split]], name(self.whole[single])])
+        first, past = np.concatenate([first[~split], single]), np.concatenate([past[~split], single + 1])
         length = past - first + self.window - 1
-        by = np.concatenate([names[first[: len(first) - len(single)]], name(self.whole[single])])
-        # equal stretches: same place, length, first and last window and sum of windows
         sums = np.concatenate(([np.uint64(0)], np.cumsum(self.whole, dtype=np.uint64)))
-        about = sums[past] - sums[first]
-        order = np.lexsort((self.key[first], about, self.whole[first], length, by))
-        first, length, by, about = first[order], length[order], by[order], about[order]
-        if len(first):
-            new = np.concatenate(([True], (by[1:] != by[:-1]) | (length[1:] != length[:-1]) | (about[1:] != about[:-1]) | (self.whole[first][1:] != self.whole[first][:-1])))
-            first, length, by = first[new], length[new], by[new]
-        return by % np.uint64(parts), length, self.key[first], self.start[first]
-
-    def removed(self, elsewhere: np.ndarray) -> np.ndarray:
-        """For each word: a window that covers it starts in a document with a smaller key."""
-        ordered = np.sort(self.whole)
-        again = np.flatnonzero(_in(self.whole, np.unique(ordered[1:][ordered[1:] == ordered[:-1]])))
-        again = again[np.lexsort((self.key[again], self.whole[again]))]
-        whole, key = self.whole[again], self.key[again]
-        new = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1]))) if len(whole) else np.zeros(0, np.int64)
-        smallest = np.repeat(key[new], np.diff(np.append(new, len(whole))))
-        repeat = _in(self.whole, elsewhere)
-        repeat[again[key > smallest]] = True
-        start = self.start[repeat]
+        at = _ranges(self.start[first], self.start[first] + length)
+        words = self.hash.view(np.uint8).reshape(-1, 8)[at, :6]
+        return by, length, self.key[first], self.whole[first], sums[past] - sums[first], words
+
+    def removed(self, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """For each word: a window that covers it is among the hashes and starts in a document with a larger key."""
+        if not len(hashes) or not len(self.start):
+            return np.zeros(len(self.hash), bool)
+        at = np.minimum(np.searchsorted(hashes, self.whole), len(hashes) - 1)
+        start = self.start[(hashes[at] == self.whole) & (self.key > keys[at])]
         change = np.zeros(len(self.hash) + 1, np.int64)
         np.add.at(change, start, 1)
         np.add.at(change, start + self.window, -1)
         return np.cumsum(change)[:-1] > 0
 
 
+def once_each(by, length, key, whole, about, words):
+    """Equal stretches once: (group, length, smallest key, whether there are larger keys, words), in the groups' order.
+
+    Equal stretches have group, length, first window and sum of windows in common.
+    """
+    order = np.lexsort((key, about, whole, length, by))
+    by_, length_, whole_, about_, key_ = by[order], length[order], whole[order], about[order], key[order]
+    if not len(order):
+        return by, length, key, np.zeros(0, bool), words
+    new = np.flatnonzero(np.concatenate(([True], (by_[1:] != by_[:-1]) | (length_[1:] != length_[:-1]) | (about_[1:] != about_[:-1]) | (whole_[1:] != whole_[:-1]))))
+    last = np.append(new[1:], len(order)) - 1
+    offset = np.cumsum(length) - length
+    first = order[new]
+    return by_[new], length_[new], key_[new], key_[last] > key_[new], words[_ranges(offset[first], offset[first] + length[first])]
+
+
+def _ranges(first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    size = past - first
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def name(group: np.ndarray) -> np.ndarray:
     return _mix(group) >> np.uint64(16)
 
@@ -189,86 +207,131 @@ def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
-def deep_nodes(length: np.ndarray, key: np.ndarray, block: np.ndarray, words: np.ndarray, window: int):
-    """(block, window hash) of windows under a node of depth `window` whose smallest key is in no row of that block.
+def prefix_groups(start: np.ndarray, words: np.ndarray, window: int, limit: int = GROUP):
+    """The suffixes that start there in groups of about `limit`, by prefixes that are as long as that takes.
 
-    `words` holds the stretches' words one after the other; a stretch of n words
-    has n - window + 1 suffixes of that depth.
+    A prefix with more suffixes is made longer by a word, up to the window, and
+    those with fewer go together.
+    """
+    stack = [(np.arange(len(start)), 0)]
+    while stack:
+        held, depth = stack.pop()
+        if len(held) <= limit or depth == window:
+            yield held
+            continue
+        word = words[start[held] + depth]
+        order = np.argsort(word, kind="stable")
+        held, word = held[order], word[order]
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        size = np.diff(np.append(first, len(held)))
+        large = size > limit
+        stack += [(held[a : a + n], depth + 1) for a, n in zip(first[large].tolist(), size[large].tolist(), strict=True)]
+        few = held[np.repeat(~large, size)]
+        bins = (np.cumsum(size[~large]) - size[~large]) // limit  # whole prefixes, in turn
+        yield from np.split(few, np.flatnonzero(np.diff(np.repeat(bins, size[~large]))) + 1) if len(few) else ()
+
+
+def deep_nodes(start: np.ndarray, row: np.ndarray, words: np.ndarray, key: np.ndarray, more: np.ndarray, share: np.ndarray, window: int):
+    """(share, window hash, smallest key) of the nodes of depth `window` in the subtree of suffixes, for each share that has larger keys.
+
+    A suffix starts at a word of a row; a row has its smallest key, whether equal
+    stretches have larger ones (`more`), and its share.
     """
-    offset = np.concatenate(([0], np.cumsum(length)))[:-1]
-    each = length - window + 1
-    row = np.repeat(np.arange(len(length)), each)
-    start = offset[row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
     leaves = [words[start + j] for j in range(window)]
     order = np.lexsort(leaves[::-1])  # word by word, the first word first
-    deep = np.ones(max(0, len(order) - 1), bool)  # neighbours that share `window` words
+    deep = np.ones(max(0, len(order) - 1), bool)  # neighbours that have `window` words in common
     for column in leaves:
         column = column[order]
         deep &= column[1:] == column[:-1]
     node = np.concatenate(([0], np.cumsum(~deep))) if len(order) else np.zeros(0, np.int64)
     row = row[order]
-    by = np.lexsort((key[row], block[row], node))
-    node, row, order = node[by], row[by], order[by]
-    if not len(node):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-    smallest = np.minimum.reduceat(key[row], heads)[node]
-    lead = np.concatenate(([True], (node[1:] != node[:-1]) | (block[row][1:] != block[row][:-1])))  # a block's smallest key in the node
-    told = lead & (key[row] > smallest)
-    total = np.zeros(int(told.sum()), np.uint64)
+    heads = np.flatnonzero(np.concatenate(([True], ~deep))) if len(order) else np.zeros(0, np.int64)
+    smallest = np.minimum.reduceat(key[row], heads)[node] if len(order) else np.zeros(0, np.int64)
+    told = np.flatnonzero((key[row] > smallest) | more[row])
+    told = told[np.lexsort((share[row[told]], node[told]))]
+    if len(told):  # once a share
+        told = told[np.concatenate(([True], (node[told][1:] != node[told][:-1]) | (share[row[told]][1:] != share[row[told]][:-1])))]
+    total = np.zeros(len(told), np.uint64)
     for j, column in enumerate(leaves):
         total += column[order[told]] * _COEFFICIENTS[j]
-    return block[row[told]], _mix(total)
+    return share[row[told]], _mix(total), smallest[told]
+
 
+def in_shares(docs: DataFrame, key: str, text: str, share_bytes: int = SHARE) -> tuple[DataFrame, str, int]:
+    """The documents as a table bucketed by share, its name, and the number of shares.
 
-def in_blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK) -> tuple[DataFrame, int]:
-    """The documents as a table bucketed by block: columns block, key, raw, row (all columns but the text)."""
+    Columns share, key, raw, no_text, row (all columns but the text).  Rows are
+    dealt by their places, so neither null nor repeated keys meet in one share.
+    """
     spark = docs.sparkSession
+    docs = placed(docs)
     raw = text_bytes(text)
     total = docs.agg(F.sum(F.length(raw) + 64)).first()[0] or 0
-    n = int(total // block_bytes) + 1
+    n = int(total // share_bytes) + 1
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(n)).cast("int").alias("block"), F.col(f"`{key}`").cast("long").alias("key"), raw.alias("raw"), F.col(f"`{text}`").isNull().alias("no_text"), F.struct(*rest).alias("row"))
+    dealt = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("share"), F.col(f"`{key}`").cast("long").alias("key"), raw.alias("raw"), F.col(f"`{text}`").isNull().alias("no_text"), F.struct(*rest).alias("row"))
     buckets = min(n, MAX_BUCKETS)
-    table = f"tessera_blocks_{uuid.uuid4().hex}"
-    dealt.repartition(buckets, "block").write.option("compression", "zstd").bucketBy(buckets, "block").format("parquet").saveAsTable(table)
-    blocked = spark.table(table)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{spark.conf.get('spark.sql.warehouse.dir')}/{table}")
+    table = f"tessera_shares_{uuid.uuid4().hex}"
+    dealt.repartition(buckets, "share").write.option("compression", "zstd").bucketBy(buckets, "share").format("parquet").saveAsTable(table)
+    location = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()["data_type"]
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return blocked, n
+    return spark.table(table), table, n
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, block_bytes: int = BLOCK, hot: int = HOT, with_text: bool = False) -> DataFrame:
-    """struct `row` (all other columns), `no_text`, n_words, n_removed, spans of removed words, and kept text.
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, share_bytes: int = SHARE, block_bytes: int = BLOCK, hot: int = HOT, group: int = GROUP, with_text: bool = False) -> DataFrame:
+    """struct `row` (all other columns), n_words, n_removed, spans of removed words, and kept text as bytes.
 
     The key must be an integer column.  A word goes when a window of `window`
     words that covers it has its word sequence also at a start in a document
     with a smaller key; windows are judged on the input.  Null texts have no
-    words.  `with_text` adds the whole text as `raw`.  Documents with a null key lose nothing and take nothing.  Rows with
-    the same key are one document.  Kept words are joined by one space.
+    words.  Documents with a null key lose nothing and take nothing.  Rows with
+    the same key are one document and take nothing from each other; repeated
+    rows each keep their row.  Kept words are joined by one space.  Columns of
+    any names pass in `row`.
+
+    `with_text` gives `text` instead of `kept`: the kept words where some were
+    removed, else the text as it was, null for null.
     """
-    blocked, n = in_blocks(docs, key, text, block_bytes)
-    rows = blocked.select("block", "key", "raw")
+    small_batches(docs.sparkSession)
+    shared, _, n = in_shares(docs, key, text, share_bytes)
+    rows = shared.select("share", "key", "raw")
+    packed = pa.schema([("part", pa.int32()), ("share", pa.int32()), ("n", pa.int32()), ("names", pa.binary()), ("counts", pa.binary())])
+    listed = pa.schema([("share", pa.int32()), ("n", pa.int32()), ("names", pa.binary()), ("n_hot", pa.int32()), ("hot", pa.binary())])
+    stretches = pa.schema([("part", pa.int32()), ("share", pa.int32()), ("n", pa.int32()), ("n_words", pa.int32()), ("lengths", pa.binary()), ("keys", pa.binary()), ("more", pa.binary()), ("words", pa.binary())])
+    nodes = pa.schema([("share", pa.int32()), ("n", pa.int32()), ("found", pa.binary()), ("keys", pa.binary())])
+
+    def opened(table: pa.Table):
+        """The share's blocks, each with its first row."""
+        sizes = pc.binary_length(table["raw"]).to_pylist()
+        at = 0
+        for part in blocks(sizes, lambda size: size, block_bytes):
+            piece = table.slice(at, len(part))
+            yield at, Block(piece["key"].to_pylist(), piece["raw"].to_pylist(), window)
+            at += len(part)
+
+    def lists_of(table: pa.Table, values: str, sizes: str) -> np.ndarray:
+        found = [unpack_sorted(d, k) for d, k in zip(table[values].to_pylist(), table[sizes].to_pylist(), strict=True)]
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+    def by_part(part: np.ndarray):
+        """(part, its places in order) of parts."""
+        order = np.argsort(part, kind="stable")
+        for held in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(held):
+                yield int(part[held[0]]), held
 
-    def opened(table: pa.Table) -> Block:
-        return Block(table["key"].to_pylist(), table["raw"].to_pylist(), window)
+    def table_of(out: list[tuple], schema: pa.Schema) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
 
     def tell(table: pa.Table) -> pa.Table:
-        names, counts = opened(table).names()
-        part = (names % np.uint64(n)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
-        groups = [g for g in np.split(order, cuts) if len(g)]
-        block = table["block"][0].as_py()
-        return pa.table(
-            {
-                "part": pa.array([int(part[g[0]]) for g in groups], pa.int32()),
-                "block": pa.array([block] * len(groups), pa.int32()),
-                "n": pa.array([len(g) for g in groups], pa.int32()),
-                "names": pa.array([pack_sorted(names[g]) for g in groups], pa.binary()),
-                "counts": pa.array([pack(counts[g].astype(np.uint32)) for g in groups], pa.binary()),
-            }
-        )
+        share = table["share"][0].as_py()
+        names, counts = zip(*[block.names() for _, block in opened(table)], strict=True)
+        names, at = np.unique(np.concatenate(names), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate(counts), minlength=len(names)).astype(np.uint32)
+        out = [(part, share, len(g), pack_sorted(names[g]), pack(counts[g])) for part, g in by_part((names % np.uint64(n)).astype(np.int64))]
+        give_back()
+        return table_of(out, packed)
 
     def repeated(table: pa.Table) -> pa.Table:
         sizes = table["n"].to_pylist()
@@ -277,83 +340,90 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         names, at = np.unique(np.concatenate(each), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(counts), minlength=len(names))
         again, many = names[total >= 2], names[total > hot]
-        out: dict[str, list] = {"block": [], "n": [], "names": [], "n_hot": [], "hot": []}
-        for block, own in zip(table["block"].to_pylist(), each, strict=True):
+        out = []
+        for share, own in zip(table["share"].to_pylist(), each, strict=True):
             mine, hottest = own[_in(own, again)], own[_in(own, many)]
             if len(mine):
-                for column, value in zip(out, (block, len(mine), pack_sorted(mine), len(hottest), pack_sorted(hottest)), strict=True):
-                    out[column].append(value)
-        return pa.table(out, schema=pa.schema([("block", pa.int32()), ("n", pa.int32()), ("names", pa.binary()), ("n_hot", pa.int32()), ("hot", pa.binary())]))
+                out.append((share, len(mine), pack_sorted(mine), len(hottest), pack_sorted(hottest)))
+        return table_of(out, listed)
 
     def send(table: pa.Table, lists: pa.Table) -> pa.Table:
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("n_words", pa.int32()), ("lengths", pa.binary()), ("keys", pa.binary()), ("words", pa.binary())])
         if not table.num_rows or not lists.num_rows:
-            return schema.empty_table()
-        again = np.sort(np.concatenate([unpack_sorted(d, k) for d, k in zip(lists["names"].to_pylist(), lists["n"].to_pylist(), strict=True)]))
-        hottest = np.sort(np.concatenate([unpack_sorted(d, k) for d, k in zip(lists["hot"].to_pylist(), lists["n_hot"].to_pylist(), strict=True)]))
-        block = opened(table)
-        part, length, keys, start = block.sent(again, hottest, n)
-        order = np.argsort(part, kind="stable")
-        out: list[tuple] = []
-        low = block.hash.view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits a word
-        for g in np.split(order, np.flatnonzero(np.diff(part[order].astype(np.int64))) + 1):
-            if len(g):
-                lengths = length[g]
-                at = np.repeat(start[g] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-                out.append((int(part[g[0]]), table["block"][0].as_py(), len(g), len(at), pack(lengths.astype(np.uint32)), pack(keys[g]), low[at].tobytes()))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
+            return stretches.empty_table()
+        again, hottest = lists_of(lists, "names", "n"), lists_of(lists, "hot", "n_hot")
+        found = [np.concatenate(c) for c in zip(*[block.sent(again, hottest) for _, block in opened(table)], strict=True)]
+        by, length, keys, more, words = once_each(*found)
+        del found
+        offset, share, out = np.cumsum(length) - length, table["share"][0].as_py(), []
+        for part, g in by_part((by % np.uint64(n)).astype(np.int64)):
+            at = _ranges(offset[g], offset[g] + length[g])
+            out.append((part, share, len(g), len(at), pack(length[g].astype(np.uint32)), pack(keys[g]), pack(more[g].astype(np.uint8)), words[at].tobytes()))
+        give_back()
+        return table_of(out, stretches)
 
     def resolve(table: pa.Table) -> pa.Table:
-        lengths, keys, blocks_, words = [], [], [], []
-        for b, k, m, ls, ks, ws in zip(*[table[c].to_pylist() for c in ("block", "n", "n_words", "lengths", "keys", "words")], strict=True):
+        lengths, keys, mores, shares, words = [], [], [], [], []
+        for b, k, m, ls, ks, fs, ws in zip(*[table[c].to_pylist() for c in ("share", "n", "n_words", "lengths", "keys", "more", "words")], strict=True):
             lengths.append(unpack(ls, k, np.uint32).astype(np.int64))
             keys.append(unpack(ks, k, np.int64))
-            blocks_.append(np.full(k, b, np.int64))
+            mores.append(unpack(fs, k, np.uint8).astype(bool))
+            shares.append(np.full(k, b, np.int32))
             wide = np.zeros((m, 8), np.uint8)
             wide[:, :6] = np.frombuffer(ws, np.uint8).reshape(m, 6)
             words.append(wide.view(np.uint64).ravel())
-        block, found = deep_nodes(np.concatenate(lengths), np.concatenate(keys), np.concatenate(blocks_), np.concatenate(words), window)
-        order = np.lexsort((found, block))
-        block, found = block[order], found[order]
-        groups = [g for g in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1) if len(g)]
-        return pa.table(
-            {
-                "block": pa.array([int(block[g[0]]) for g in groups], pa.int32()),
-                "n": pa.array([len(g) for g in groups], pa.int32()),
-                "found": pa.array([pack_sorted(found[g]) for g in groups], pa.binary()),
-            }
-        )
+        length, key, more, share, word = (np.concatenate(c) for c in (lengths, keys, mores, shares, words))
+        each = length - window + 1
+        row = np.repeat(np.arange(len(length), dtype=np.int32), each)
+        offset = np.cumsum(length) - length
+        start = _ranges(offset, offset + each)
+        found = [deep_nodes(start[held], row[held], word, key, more, share, window) for held in prefix_groups(start, word, window, group)]
+        share, found, key = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((found, share))
+        share, found, key = share[order], found[order], key[order]
+        out = [(part, len(g), pack_sorted(found[g]), pack(key[g])) for part, g in by_part(share.astype(np.int64))]
+        give_back()
+        return table_of(out, nodes)
 
     span = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 
     def cut(table: pa.Table, lists: pa.Table) -> pa.Table:
-        block = opened(table)
-        found = [unpack_sorted(d, k) for d, k in zip(lists["found"].to_pylist(), lists["n"].to_pylist(), strict=True)]
-        gone = block.removed(np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64))
-        spans, kept, past = [], [], 0
-        n_removed = []
-        for words in block.words:
-            mine = gone[past : past + len(words)]
-            past += len(words)
-            n_removed.append(int(mine.sum()))
-            if not n_removed[-1]:
-                spans.append([])
-                kept.append(b" ".join(words))
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
-            spans.append([{"first": a, "past": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
-            kept.append(b" ".join([w for w, g in zip(words, mine.tolist(), strict=True) if not g]))
-        arrays = [table["row"].combine_chunks(), table["no_text"].combine_chunks(), pa.array(block.counts), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())]
-        names = ["row", "no_text", "n_words", "n_removed", "spans", "kept"]
-        return pa.Table.from_arrays(arrays + [table["raw"].combine_chunks()] * with_text, names=names + ["raw"] * with_text)
-
-    told = rows.groupBy("block").applyInArrow(tell, "part int, block int, n int, names binary, counts binary")
-    lists = told.groupBy("part").applyInArrow(repeated, "block int, n int, names binary, n_hot int, hot binary")
-    sent = rows.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(send, "part int, block int, n int, n_words int, lengths binary, keys binary, words binary")
-    found = sent.groupBy("part").applyInArrow(resolve, "block int, n int, found binary")
-    kind = blocked.schema["row"].dataType.simpleString()
-    out = blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, f"row {kind}, no_text boolean, n_words long, n_removed long, spans array<struct<first:int,past:int>>, kept binary" + ", raw binary" * with_text)
-    return out
+        hashes = [unpack_sorted(d, k) for d, k in zip(lists["found"].to_pylist(), lists["n"].to_pylist(), strict=True)]
+        keys = [unpack(d, k, np.int64) for d, k in zip(lists["keys"].to_pylist(), lists["n"].to_pylist(), strict=True)]
+        hashes, keys = (np.concatenate(c) if c else np.zeros(0, kind) for c, kind in ((hashes, np.uint64), (keys, np.int64)))
+        order = np.lexsort((keys, hashes))
+        hashes, keys = hashes[order], keys[order]
+        first = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)  # of one hash the smallest key
+        hashes, keys = hashes[first], keys[first]
+        out = []
+        for row, block in opened(table):
+            gone = block.removed(hashes, keys)
+            spans, kept, past, n_removed = [], [], 0, []
+            whole = table["no_text"].slice(row, len(block.words)).to_pylist() if with_text else None
+            raws = table["raw"].slice(row, len(block.words)).to_pylist() if with_text else None
+            for i, words in enumerate(block.words):
+                mine = gone[past : past + len(words)]
+                past += len(words)
+                n_removed.append(int(mine.sum()))
+                if not n_removed[-1]:
+                    spans.append([])
+                    kept.append((None if whole[i] else raws[i]) if with_text else b" ".join(words))
+                    continue
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
+                spans.append([{"first": a, "past": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
+                kept.append(b" ".join([w for w, g in zip(words, mine.tolist(), strict=True) if not g]))
+            last = pa.array(kept, pa.binary()).cast(pa.string()) if with_text else pa.array(kept, pa.binary())
+            arrays = [table["row"].slice(row, len(block.words)).combine_chunks(), pa.array(block.counts), pa.array(n_removed, pa.int64()), pa.array(spans, span), last]
+            out.append(pa.Table.from_arrays(arrays, names=["row", "n_words", "n_removed", "spans", "text" if with_text else "kept"]))
+        give_back()
+        return pa.concat_tables(out)
+
+    told = rows.groupBy("share").applyInArrow(tell, "part int, share int, n int, names binary, counts binary")
+    lists = told.repartition(n, "part").groupBy("part").applyInArrow(repeated, "share int, n int, names binary, n_hot int, hot binary")
+    sent = rows.groupBy("share").cogroup(lists.groupBy("share")).applyInArrow(send, "part int, share int, n int, n_words int, lengths binary, keys binary, more binary, words binary")
+    found = sent.repartition(n, "part").groupBy("part").applyInArrow(resolve, "share int, n int, found binary, keys binary")
+    kind = shared.schema["row"].dataType.simpleString()
+    last = "text string" if with_text else "kept binary"
+    return shared.groupBy("share").cogroup(found.groupBy("share")).applyInArrow(cut, f"row {kind}, n_words long, n_removed long, spans array<struct<first:int,past:int>>, {last}")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -363,13 +433,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     where there is one, its length; other texts stay byte for byte.
     """
     out = remove_repeats(docs, window=window, with_text=True)
-    text = F.when(F.col("no_text"), None).when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("raw").cast("string"))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(text.alias(c))
+            columns.append("text")
         elif c == "n_chars":
-            columns.append(F.when(F.col("n_removed") > 0, F.length(F.col("kept").cast("string"))).otherwise(F.col("row")[c]).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row")[c]).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(F.col("row")[c].alias(c))
     return out.select(*columns)
