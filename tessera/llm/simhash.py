@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, map_arrow, only, read, text_bytes, written
+from tessera.llm.common import blocks, map_arrow, read, text_bytes, text_column, written
 
 SEED = 42
 SHINGLE = 4
@@ -33,6 +33,8 @@ DISTANCE = 4
 PIVOTS = 16
 #: Rows of the largest bucket that one task compares.
 BUCKET_ROWS = 4096
+#: Rows that go, of two longs each, up to which without_duplicates() broadcasts them.
+BROADCAST_ROWS = 200_000
 _CHUNK_ROWS = 1 << 17
 
 
@@ -69,17 +71,19 @@ def block_fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """(key, fp long) of each row, null texts as empty ones; made in the reading task."""
-    kind = docs.schema[key].dataType.simpleString()
+    """(key, same, fp) of each row, all longs but the key; null texts as empty ones; made in the reading task.
+
+    `same` is a hash of the text: rows of one key with other texts are told apart by it.
+    """
+    spark = docs.sparkSession
 
     def run(batches):
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for block in blocks(rows, lambda r: len(r[1])):
-                found = block_fingerprints([t for _, t in block], size)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in block], batch.schema.field(0).type), pa.array(found.view(np.int64))], names=[key, "fp"])
+            prints = [block_fingerprints(block, size) for block in blocks(batch.to_pylist(), len)]
+            yield pa.array((np.concatenate(prints) if prints else np.zeros(0, np.uint64)).view(np.int64))
 
-    return map_arrow(only(docs, key, text).select(key, text_bytes(text).alias("raw")), run, f"`{key}` {kind}, fp long")
+    raw = text_bytes(text)
+    return docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(raw).alias("same"), text_column(spark, run, "long")(raw).alias("fp"))
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -186,7 +190,7 @@ def _band_masks(big: DataFrame, n: int) -> DataFrame:
     return map_arrow(big, run, "bucket long, masks array<long>")
 
 
-def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS, n_rows: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` whose components are those of all links.
 
     A bucket's name is a hash of the bucket it came from, the band and the
@@ -201,7 +205,7 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, bu
         rows = rows.select("bucket", "fp", F.posexplode("masks").alias("band", "mask")).select(F.xxhash64("bucket", "band", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "fp")
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("all"))
         big = sizes.where(F.col("n") > bucket_rows).select("bucket", F.col("some").bitwiseXOR(F.col("all")).alias("varying"))
-        big = written(spark, _band_masks(big, n), "buckets")
+        big = written(spark, _band_masks(big, n), "buckets", None if n_rows is None else n_rows // bucket_rows)
         if big.isEmpty():
             ready.append(rows)
             return _bucketed_links(reduce(DataFrame.unionByName, ready), distance)
@@ -213,39 +217,67 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of edges (a, b) of longs that is not itself that node.
 
     Large-star and small-star rounds; each round's edges are written, so
-    neither lineage nor any one group grows.
+    neither lineage nor any one group grows, and so are the least neighbours,
+    so the join with them may split a hot node.
     """
-    edges = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+    n = edges.count()
+    edges = written(spark, edges.distinct(), "edges", n)
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(spark, both.groupBy("a").agg(F.min("b").alias("m")), "least", n)
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        large = written(spark, large.distinct(), "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(spark, large.distinct(), "large", n)
+        least = written(spark, large.groupBy("a").agg(F.min("b").alias("m")), "least", n)
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = written(spark, small.distinct(), "small")
+        edges = written(spark, small.distinct(), "small", n)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        before, n = now, now[0]
+
+
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(key, same, fp, component_id) of each row; `same` tells texts of one key apart."""
+    spark = docs.sparkSession
+    found = written(spark, fingerprints(docs, text, key, size), "fingerprints")
+    distinct = written(spark, found.groupBy("fp").agg(F.min("key").alias("least")), "distinct", found.count())
+    n = distinct.count()
+    roots = components(spark, links(spark, distinct.select("fp"), distance, bucket_rows, n))
+    rooted = written(spark, distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted", n)
+    least = written(spark, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least", n)  # a shuffle of its own, so a large component can be split
+    named = written(spark, rooted.join(least, "root").select("fp", "component_id"), "named", n)
+    return found.join(named, "fp")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(key, fp, component_id) of each row: its fingerprint and the smallest key linked to it.
 
     Null texts count as empty; texts without words share fingerprint zero.
-    Rows that repeat keep their rows and share a component.  A null key takes
-    part in links but is never a component's id unless all its keys are null.
+    Rows that repeat keep their rows and share a component; rows of one key
+    with other texts are judged each by its own.  A null key takes part in
+    links but is never a component's id unless all its keys are null.  Columns
+    of other names, also of those given here, take no part.
+    """
+    return classes(docs, text, key, size, distance, bucket_rows).select(F.col("key").alias(key), "fp", "component_id")
+
+
+def without_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, all columns, that stay: those with a component's smallest key, and all with a null key.
+
+    Each row is judged by its own text, so a text stays in some row of its
+    component even if its other rows have keys that repeat.  What goes is
+    broadcast if its counted rows allow, else joined by shuffle.
     """
     spark = docs.sparkSession
-    found = written(spark, fingerprints(docs, text, key, size), "fingerprints")
-    distinct = written(spark, found.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    roots = components(spark, links(spark, distinct.select("fp"), distance, bucket_rows))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(classes, "fp").select(key, "fp", "component_id")
+    found = classes(docs, text, key)
+    gone = written(spark, found.where(F.col("key") != F.col("component_id")).select("key", "same").distinct(), "gone", found.count())
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    columns = [F.col("_row")[c].alias(c) for c in docs.columns]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("key"), F.xxhash64(text_bytes(text)).alias("same"))
+    return packed.join(gone, ["key", "same"], "left_anti").select(*columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
