@@ -88,7 +88,8 @@ def fit(urls: DataFrame, order: int = ORDER) -> DataFrame:
     ends = F.explode(F.transform(F.sequence(F.lit(0), F.lit(order)), lambda k: F.struct(k.alias("k"), F.substring("gram", order + 1 - k, k + 1).alias("gram"))))
     grams = longest.select("sign", ends.alias("x"), "n").groupBy("sign", F.col("x.k").alias("k"), F.col("x.gram").alias("gram")).agg(F.sum("n").alias("n"))
     grams = written(spark, grams.withColumn("context", F.expr("left(gram, k)")), "grams")
-    contexts = written(spark, grams.groupBy("sign", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "contexts")
+    rows = grams.count()
+    contexts = written(spark, grams.groupBy("sign", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "contexts", rows)
     lower, seen = None, []
     for k in range(order + 1):
         here = grams.where(F.col("k") == k).join(contexts, ["sign", "context"]).withColumn("shorter", F.substring("gram", 2, k + 1))
@@ -98,7 +99,7 @@ def fit(urls: DataFrame, order: int = ORDER) -> DataFrame:
             here = here.join(lower, ["sign", "shorter"])
         here = here.withColumn("p", (F.col("n") + F.col("kinds") * F.col("p_lower")) / (F.col("total") + F.col("kinds")))
         back = F.log(F.col("kinds") / (F.col("total") + F.col("kinds")))
-        here = written(spark, here.select("sign", "gram", "p", (F.log("p") - back - F.log("p_lower")).alias("w")), "order")
+        here = written(spark, here.select("sign", "gram", "p", (F.log("p") - back - F.log("p_lower")).alias("w")), "order", rows)
         seen.append(here.select("sign", F.concat(F.lit("+"), "gram").alias("key"), "w"))
         lower = here.select("sign", F.col("gram").alias("shorter"), F.col("p").alias("p_lower"))
     back = contexts.select("sign", F.when(F.col("context") == "", "").otherwise(F.concat(F.lit("-"), "context")).alias("key"), F.log(F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("w"))
@@ -125,14 +126,16 @@ def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", key: str = "pag
     A rule's verdict stands; other URLs are judged by the models (score above
     the threshold: allow).  Null URLs count as empty.  Without labelled URLs of
     both verdicts there is nothing to compare, and all others are allowed.
-    Rows that repeat and null keys pass through.
+    Rows that repeat and null keys pass through; of rules of equal length that fit
+    the last in the order of their text is taken.  Columns of other names take
+    no part.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(f"`{url}`"))
     rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)).select("key", "url", "host", "path", "best.rule", "best.verdict")
     labelled = rows.where(F.col("verdict").isNotNull()).select("url", F.when(F.col("verdict") == "allow", 1).otherwise(-1).alias("sign")).distinct()
-    labelled = written(spark, labelled, "urls")
+    labelled = written(spark, labelled, "urls", pages.count())
     held = F.pmod(F.xxhash64("url", F.lit(11)), F.lit(5)) == 0
     weights = written(spark, fit(labelled.where(~held), order), "weights")
     sides = score(labelled.where(held), weights, ["sign"], order).groupBy("sign").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("dev")).collect()
