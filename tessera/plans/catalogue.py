@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import clusters, extras, graphs, profiles, recommendations, streams  # noqa: F401
+from tessera.plans import clusters, extras, graphs, profiles, raw, recommendations, streams  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,7 +10,10 @@ from tessera.operators import sampling
 
 
 def find_raw(spark: SparkSession, root: str, keyword: str) -> str | None:
-    """The first file (by path) below root whose name holds the keyword and ends in .json, else None."""
+    """The first path below root whose name holds the keyword and ends in .json, else None.
+
+    It is a file, or a folder of files as Spark writes one.
+    """
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
     system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -19,8 +22,9 @@ def find_raw(spark: SparkSession, root: str, keyword: str) -> str | None:
     found, files = [], system.listFiles(top, True)
     while files.hasNext():
         path = files.next().getPath()
-        if keyword in path.getName() and path.getName().endswith(".json"):
-            found.append(path.toString())
+        for at in (path, path.getParent()):
+            if keyword in at.getName() and at.getName().endswith(".json"):
+                found.append(at.toString())
     return min(found, default=None)
 
 

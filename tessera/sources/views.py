@@ -18,6 +18,11 @@ def register(spark: SparkSession, sf_dir: str) -> list[str]:
 
 
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """A SQL text over the views; Catalyst plans it with the roles' own plans."""
-    register(spark, sf_dir)
-    return spark.sql(text)
+    """A SQL text over the views; Catalyst plans it with the roles' own plans.
+
+    The views live in a session of their own, so none of the caller's is replaced.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    register(own, sf_dir)
+    return own.sql(text)

@@ -269,3 +269,39 @@ def test_empty_inputs(spark):
     assert recommend.rank_eval(spark.createDataFrame([], "u long, i long, score double"), spark.createDataFrame([], "u long, i long"), empty, spark.createDataFrame([], "i long")).first().users == 0
     assert graph.bipartite_stats(empty).first() == Row(n_users=0, n_business=0, edges=0, density=0.0)
     assert graph.components(spark.createDataFrame([], "src long, dst long"), spark.range(2)).count() == 2
+
+
+def test_coerced_values(spark):
+    import json as J
+
+    cases = {
+        "None": None, "": None, " True ": True, "False": False, "12": 12, "-3": -3, "007": 7, "1.5": "1.5", "u'free'": "u'free'", 'say "hi"': 'say "hi"',
+        "{'a': True, 'b': \"it's\", 'c': {'d': 2, 'e': None}, 'f': '3', 'g': 1.5}": {"a": True, "b": "it's", "c": {"d": 2, "e": None}, "f": 3, "g": "1.5"},
+        "{'broken'": "{'broken'", "{1, 2}": "{1, 2}", "{'x': '{bad}'}": {"x": "{bad}"},
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*cases, None])], "k long, t string")
+    found = {r.k: r.v for r in rows.select("k", cleaning.coerce_value(F.col("t")).alias("v")).collect()}
+    assert [None if found[k] is None else J.loads(found[k]) for k in range(len(cases))] == list(cases.values()) and found[len(cases)] is None
+
+
+def test_more_rows_of_a_sketch(spark):
+    rows = spark.range(2000).select((F.col("id") % 150).alias("k"))
+    assert sketch.width_and_depth(0.01, 1e-4)[1] == 10 and len({sketch.hash_constants(i) for i in range(40)}) == 40
+    found = sketch.against_exact(rows, "k", 0.01, 1e-4)
+    assert found.count() == 150 and found.where("error < 0 or error > 20").isEmpty()
+
+
+def test_late_events_find_their_window(spark, tmp_path):
+    """An event that comes in a later batch than newer ones still counts its whole window."""
+    from tessera.streaming import live
+
+    base = 1_700_000_000
+    batches = [[(1, 0), (2, 1800), (3, 3700)], [(4, 1900), (5, 3800), (6, 3700)]]
+    path = tmp_path / "in"
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame([(i, base + s, "a", 1.0) for i, s in rows], "event_id long, s long, event_type string, value double")
+        frame.select("event_id", F.timestamp_seconds("s").alias("ts"), "event_type", "value").coalesce(1).write.parquet(f"{path}/b{k}")
+    schema = spark.read.parquet(f"{path}/b0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/b*")
+    found = {r.event_id: r.n for r in live.drained(live.trailing(stream, 1), "late", "append").collect()}
+    assert found == {1: 1, 2: 2, 3: 2, 4: 3, 5: 5, 6: 4}
