@@ -20,11 +20,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path or current.get()
 
 
-def cut(frame: DataFrame, label: str = "step") -> DataFrame:
-    """Write the frame to the shared folder and read it again: the plan starts anew there."""
-    spark = frame.sparkSession
+def fresh(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, which goes when the application ends."""
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def cut(frame: DataFrame, label: str = "step") -> DataFrame:
+    """Write the frame to the shared folder and read it again: the plan starts anew there."""
+    path = fresh(frame.sparkSession, label)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return stored(frame, path)
+
+
+def stored(frame: DataFrame, path: str) -> DataFrame:
+    """What was written of the frame to the path, with the frame's schema."""
+    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out.tessera_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete tables that cut() gave and that nothing reads any more; frames of other origin stay."""
+    for frame in frames:
+        path = getattr(frame, "tessera_path", None)
+        if path:
+            spark = frame.sparkSession
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

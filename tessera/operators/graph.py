@@ -8,7 +8,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.checkpoint import cut
+from tessera.checkpoint import cut, drop
+
+
+def build_graphs(reviews: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: the sizes and densities of the review graph and of the friendship graph."""
+    review = bipartite_stats(reviews).withColumnRenamed("edges", "review_edges").withColumnRenamed("density", "review_density")
+    return review.crossJoin(F.broadcast(friendship_metrics(edges, nodes)))
 
 
 def dealt(frame: DataFrame, key: str) -> DataFrame:
@@ -58,7 +64,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         told = held.join(labels, held.src == labels.id).groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))
         nearer = labels.join(told, "id", "left").select("id", F.least("component", "m").alias("component"))
         jump = nearer.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        labels = cut(nearer.join(jump, "component", "left").select("id", F.least("component", "further").alias("component")), "labels")
+        old, labels = labels, cut(nearer.join(jump, "component", "left").select("id", F.least("component", "further").alias("component")), "labels")
+        drop(old)
         # labels only fall, so a round that changes none leaves their digest as it is
         now = labels.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()[0]
         if now == before:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions.text import tokens
 
 
+#: Ratings of a user that meet in one key.
+USER_BLOCK = 1000
+
+
 def temporal_split(reviews: DataFrame, min_reviews: int = 5, test_frac: float = 0.2) -> DataFrame:
     """Reviews with `test`: the last max(1, half-even n*f) of users with enough reviews."""
     mine = Window.partitionBy("user_id")
@@ -33,12 +37,16 @@ def item_similarity(c: DataFrame, min_common: int = 3) -> DataFrame:
     """(j, i, sim) for i <> j: adjusted cosine over common raters, norms over all raters (0 counts as 1).
 
     One self-join by user makes each unordered pair once; the pair sums are
-    combined before the shuffle.
+    combined before the shuffle.  A user with more than USER_BLOCK ratings is
+    dealt into blocks of items, and each two blocks are a key of their own.
     """
     norm = c.groupBy("i").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm")).select("i", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0).alias("norm"))
-    a = c.select("u", F.col("i"), F.col("c").alias("ci"))
-    b = c.select("u", F.col("i").alias("j"), F.col("c").alias("cj"))
-    pairs = a.join(b, "u").where("i < j").groupBy("i", "j").agg(F.sum(F.col("ci") * F.col("cj")).alias("dot"), F.count("*").alias("n")).where(F.col("n") >= min_common)
+    blocks = c.groupBy("u").agg(F.floor(F.count("*") / USER_BLOCK + 1).cast("int").alias("blocks"))
+    dealt = c.join(blocks, "u").withColumn("block", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = dealt.select("u", "i", F.col("c").alias("ci"), F.col("block").alias("x"), each.alias("y"))
+    b = dealt.select("u", F.col("i").alias("j"), F.col("c").alias("cj"), F.col("block").alias("y"), each.alias("x"))
+    pairs = a.join(b, ["u", "x", "y"]).where("i < j").groupBy("i", "j").agg(F.sum(F.col("ci") * F.col("cj")).alias("dot"), F.count("*").alias("n")).where(F.col("n") >= min_common)
     half = pairs.join(norm, "i").join(norm.select(F.col("i").alias("j"), F.col("norm").alias("nj")), "j").select("j", "i", (F.col("dot") / (F.col("norm") * F.col("nj"))).alias("sim"))
     return half.select(F.explode(F.array(F.struct("j", "i", "sim"), F.struct(F.col("i").alias("j"), F.col("j").alias("i"), "sim"))).alias("x")).select("x.*")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.checkpoint import cut
 from tessera.operators import community, graph
 from tessera.plans.profiles import latest, rounded
-from tessera.plans.registry import query
+from tessera.plans.registry import ORACLES, query
 from tessera.sources import roles
 from tessera.sources.roles import sql
 
@@ -92,6 +92,12 @@ def friendship_metrics(spark, sf):
     return rounded(graph.friendship_metrics(cut(edges, "friends"), cut(nodes, "customers")), 9)
 
 
+@query("build_graphs", f"SELECT a.n_users, a.n_business, a.edges AS review_edges, a.density AS review_density, b.* FROM ({ORACLES['bipartite_stats']}) a, ({ORACLES['friendship_metrics']}) b")
+def build_graphs(spark, sf):
+    edges, nodes = roles.friendship(spark, sf)
+    return rounded(graph.build_graphs(latest(spark, sf), cut(edges, "friends"), cut(nodes, "customers")), 9)
+
+
 def _pagerank_ctes(iterations: int) -> str:
     """CTEs up to p{iterations} (id, s), after the friendship roles."""
     text = _COMPONENTS + _LCC.replace("lcc AS (", "lcc AS MATERIALIZED (", 1).replace("inner_edges AS (", "inner_edges AS MATERIALIZED (", 1)
