@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +35,13 @@ def cut(frame: DataFrame, label: str = "step") -> DataFrame:
     return stored(frame, path)
 
 
+def counted(frame: DataFrame, label: str, **sums) -> tuple[DataFrame, dict]:
+    """cut(), and aggregates of the rows taken while they are written."""
+    seen, path = Observation(), fresh(frame.sparkSession, label)
+    frame.observe(seen, *[c.alias(n) for n, c in sums.items()]).write.parquet(path)
+    return stored(frame, path), seen.get
+
+
 def stored(frame: DataFrame, path: str) -> DataFrame:
     """What was written of the frame to the path, with the frame's schema."""
     out = frame.sparkSession.read.schema(frame.schema).parquet(path)

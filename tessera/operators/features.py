@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.checkpoint import cut
+
 CONTINUOUS = ["stars", "log_reviews", "price_range", "n_categories", "n_days_open", "log_checkins", "is_open", "rating_std", "business_age", "avg_rev_len"]
 
 
@@ -21,6 +23,7 @@ def enriched(business: DataFrame, reviews: DataFrame, checkins: DataFrame) -> Da
     counts = checkins.groupBy("business_id").agg(F.sum("n_checkins").alias("n_checkins"))
     rows = business.join(counts, "business_id", "left").join(behaviour(reviews), "business_id", "left")
     rows = rows.fillna(0, ["n_checkins"]).fillna(0.0, ["rating_std", "business_age_years", "avg_review_length"])
+    rows = cut(rows, "enriched")  # read for the median, the scale and the matrix
     median = rows.agg(F.median("price_range").alias("_median"))
     return rows.crossJoin(F.broadcast(median)).withColumn("price_range_imp", F.coalesce(F.col("price_range").cast("double"), "_median")).drop("_median")
 

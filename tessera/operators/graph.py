@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.checkpoint import cut, drop
+from tessera.checkpoint import counted, cut, drop
 
 
 def build_graphs(reviews: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -54,20 +54,24 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable; nodes without edges are their own.
 
-    Rounds alternate between giving each node the least label around it and
-    jumping to the label of that label, so long paths take few rounds.
+    A round gives each node, and the node that its label names, the least label
+    that the labels of its neighbours have, so trees of labels merge at their
+    roots and long paths take few rounds.  Labels only fall; a round that
+    changes none is the last.
     """
     held = dealt(cut(edges.where("src <> dst").select("src", "dst"), "edges"), "src")
     labels = cut(nodes.select("id").distinct().withColumn("component", F.col("id")), "labels")
     before = None
     while True:
-        told = held.join(labels, held.src == labels.id).groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))
-        nearer = labels.join(told, "id", "left").select("id", F.least("component", "m").alias("component"))
-        jump = nearer.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        old, labels = labels, cut(nearer.join(jump, "component", "left").select("id", F.least("component", "further").alias("component")), "labels")
+        further = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        both = labels.join(further, "component").select("id", "component", "further")
+        told = held.join(both.select("id", "further"), held.src == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("further").alias("near"))
+        nearer = both.join(told, "id", "left")
+        roots = nearer.where("near < component").groupBy(F.col("component").alias("id")).agg(F.min("near").alias("root"))
+        moved = nearer.join(roots, "id", "left").select("id", F.least("component", "further", "near", "root").alias("component"))
+        old = labels
+        labels, now = counted(moved, "labels", digest=F.sum(F.xxhash64("id", "component").cast("decimal(38,0)")))
         drop(old)
-        # labels only fall, so a round that changes none leaves their digest as it is
-        now = labels.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()[0]
         if now == before:
             held.unpersist()
             return labels
