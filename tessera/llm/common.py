@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.checkpoint import shared_dir
+from tessera.checkpoint import fresh, stored
 
 #: Bytes of text that one block of a Python operator works on at a time.
 BLOCK_BYTES = 4 << 20
@@ -21,14 +20,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, which goes when the application ends."""
-    path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 #: Rows of one file of a table of narrow rows.
 FILE_ROWS = 100_000
 
@@ -39,9 +30,9 @@ def written(spark: SparkSession, frame: DataFrame, label: str, rows: int | None
     `rows`, a bound of the frame's (narrow) rows, makes as many files and tasks
     as they need instead of one a shuffle partition.
     """
-    path = shared_path(spark, label)
+    path = fresh(spark, label)
     (frame if rows is None else frame.coalesce(rows // FILE_ROWS + 1)).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return stored(frame, path)
 
 
 def placed(frame: DataFrame) -> DataFrame:

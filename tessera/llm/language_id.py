@@ -21,16 +21,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOCK_BYTES, blocks, map_arrow, only, read
+from tessera.llm.common import BLOCK_BYTES, blocks, only, read, text_column
 
 SAMPLE = 300
 SAMPLE_CHARS = 2500
 UNKNOWN = "und"
-#: Documents below this score are rejected by reject_unknown().
-MIN_SCORE = 0.3
+#: reject_unknown() asks for this share of what lies between a chance guess and certainty (0.3 with four languages).
+MARGIN = 1 / 15
+#: Words of one segment of a sequence in forward-backward; the results do not depend on it.
+SEGMENT = 256
 #: Words whose emissions a worker keeps.
 TABLE_ENTRIES = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -69,11 +71,14 @@ class Model:
         return sums[past] - sums[past - counts]
 
 
-def posteriors(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def posteriors(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     """Posterior label sums of each sequence; emissions of all sequences one after the other.
 
-    All sequences run side by side, longest first, so a step costs one small
-    matrix product whatever their number.
+    Sequences are cut into segments of at most so many words, and all segments
+    run side by side, longest first, so a step costs one small matrix product
+    whatever their number, and a long sequence takes no more steps than others.
+    Products of a segment's transfer matrices give what goes in at its ends, so
+    nothing is lost by the cuts.
     """
     n_labels = emissions.shape[1]
     total = np.zeros((len(lengths), n_labels))
@@ -81,19 +86,23 @@ def posteriors(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarr
         return total
     weight = np.exp(emissions - emissions.max(axis=1, keepdims=True))
     step = np.exp(transitions - transitions.max())
-    order = np.argsort(-lengths, kind="stable")
-    sized = lengths[order]
-    start = (np.cumsum(lengths) - lengths)[order]
-    active = np.searchsorted(-sized, -np.arange(sized[0]), side="left").tolist()  # sequences longer than t
+    count = -(-lengths // segment)
+    sequence = np.repeat(np.arange(len(lengths)), count)
+    place = np.arange(len(sequence)) - np.repeat(np.cumsum(count) - count, count)
+    start = (np.cumsum(lengths) - lengths)[sequence] + place * segment
+    size = np.minimum(segment, lengths[sequence] - place * segment)
+    head, tail = _ends(weight, step, count, place, start, size) if (count > 1).any() else (np.full((len(size), n_labels), 1 / n_labels), np.ones((len(size), n_labels)))
+    order = np.argsort(-size, kind="stable")
+    size, start, begins, head, tail = size[order], start[order], (place == 0)[order], head[order], tail[order]
+    active = np.searchsorted(-size, -np.arange(size[0]), side="left").tolist()  # segments longer than t
     forward = np.empty_like(weight)
-    now = np.full((active[0], n_labels), 1 / n_labels)
+    now = np.where(begins[:, None], head, head @ step)
     for t, k in enumerate(active):
         at = start[:k] + t
         now = (now[:k] @ step if t else now) * weight[at]
         now /= now.sum(axis=1, keepdims=True)
         forward[at] = now
-    back = np.ones((len(lengths), n_labels))
-    sums = np.zeros((len(lengths), n_labels))
+    back, sums = tail, np.zeros((len(size), n_labels))
     for t in range(len(active) - 1, -1, -1):
         k = active[t]
         at = start[:k] + t
@@ -102,10 +111,38 @@ def posteriors(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarr
         if t:
             after = (weight[at] * back[:k]) @ step.T
             back[:k] = after / after.sum(axis=1, keepdims=True)
-    total[order] = sums
+    np.add.at(total, sequence[order], sums)
     return total
 
 
+def _ends(weight: np.ndarray, step: np.ndarray, count: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward values before each segment's first word and backward values after its last, up to a factor."""
+    n_labels = len(step)
+    head, tail = np.full((len(size), n_labels), 1 / n_labels), np.ones((len(size), n_labels))
+    held = np.flatnonzero(np.repeat(count, count) > 1)
+    held = held[np.argsort(-size[held], kind="stable")]
+    active = np.searchsorted(-size[held], -np.arange(size[held[0]]), side="left").tolist()
+    product = np.repeat(np.eye(n_labels)[None], len(size), axis=0)
+    now = product[held]
+    for t, k in enumerate(active):
+        moved = now[:k] @ step
+        if not t:
+            moved = np.where((place[held] == 0)[:, None, None], now, moved)  # no transition leads to a sequence's first word
+        moved *= weight[start[held[:k]] + t][:, None]
+        now[:k] = moved / moved.sum(axis=(1, 2), keepdims=True)
+    product[held] = now
+    first = np.cumsum(count) - count
+    for j in range(1, int(count.max())):
+        at = first[count > j] + j
+        went = (head[at - 1][:, None] @ product[at - 1])[:, 0]
+        head[at] = went / went.sum(axis=1, keepdims=True)
+    for j in range(int(count.max()) - 2, -1, -1):
+        at = first[count > j + 1] + j
+        came = (product[at + 1] @ tail[at + 1][:, :, None])[:, :, 0]
+        tail[at] = came / came.sum(axis=1, keepdims=True)
+    return head, tail
+
+
 def _marginals(emissions: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(batch, time, labels) label posteriors and the expected transitions."""
     batch, length, n = emissions.shape
@@ -182,67 +219,73 @@ def held_out(key: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """Up to `sample` labelled rows a language that are not held out, those with the smallest hashes; a bounded list."""
+    """Up to `sample` labelled rows a language that are not held out, those with the smallest hashes of key and text.
+
+    Rows that repeat key and text count once, so neither a repeated key nor
+    copies make the list longer than `sample` a language.
+    """
     rows = only(docs, key, text, lang).toDF("key", "text", "lang")
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("key").isNotNull() & ~held_out(F.col("key")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
-    place = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
+    place = F.pmod(F.xxhash64("key", "text", F.lit(17)), F.lit(1 << 40))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(place, 0.05).alias("n"))  # one row a language
     length = F.length("text")
     first = F.floor(F.when(length > chars, length - chars).otherwise(0) * (F.pmod(F.xxhash64("key", F.lit(19)), F.lit(1000)) / 1000.0)).cast("int") + 1
-    found = rows.join(F.broadcast(counts), "lang").where(place < 1.5 * sample / F.col("n")).select("lang", place.alias("place"), F.col("text").substr(first, F.lit(chars)).alias("text")).collect()
-    out, taken = [], Counter()
-    for r in sorted(found, key=lambda r: (r["place"], r["lang"], r["text"])):
-        taken[r["lang"]] += 1
-        if taken[r["lang"]] <= sample:
-            out.append((r["text"], r["lang"]))
-    return out
+    near = rows.join(F.broadcast(counts), "lang").where(place / float(1 << 40) < 1.5 * sample / F.col("n"))
+    near = near.groupBy("lang", place.alias("place")).agg(F.min(F.col("text").substr(first, F.lit(chars))).alias("text"))
+    found = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("_r") <= sample).collect()
+    return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["place"], r["lang"], r["text"]))]
+
+
+def judge(model: Model | None, texts: list[str | None], of: dict[str, int], table: np.ndarray) -> tuple[list[str], list[float], np.ndarray]:
+    """Languages and scores of texts; `of` and `table` hold the emissions of words met before."""
+    langs, scores = [], []
+    for block in blocks(texts, lambda t: len(t or ""), BLOCK_BYTES // 4):
+        found = [words_of(t) if t else [] for t in block]
+        found = [[w for w in ws if any(map(str.isalpha, w))] if any(map(str.isnumeric, "".join(ws))) else ws for ws in found]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        if model is None or not lengths.sum():
+            langs += [UNKNOWN] * len(block)
+            scores += [0.0] * len(block)
+            continue
+        if len(of) > TABLE_ENTRIES:
+            of.clear()
+        new = list(set().union(*found) - of.keys())
+        made = model.emissions(new)
+        table = np.concatenate((table, made)) if of else made
+        of.update(zip(new, range(len(of), len(of) + len(new)), strict=True))
+        flat = np.fromiter(map(of.__getitem__, (w for ws in found for w in ws)), np.int64, int(lengths.sum()))
+        mean = posteriors(table[flat], model.transitions, lengths) / np.maximum(lengths, 1)[:, None]
+        best = mean.argmax(axis=1)  # of equal ones the first label
+        for n, k, row in zip(lengths.tolist(), best.tolist(), mean, strict=True):
+            langs.append(model.labels[k] if n else UNKNOWN)
+            scores.append(min(1.0, round(float(row[k]), 6)) if n else 0.0)
+    return langs, scores, table
+
+
+def predicted(spark: SparkSession, model: Model | None):
+    """A Column function: struct(lang_pred, score) of a text column."""
+    shipped = spark.sparkContext.broadcast(model)  # bounded by the training sample
+
+    def run(batches):
+        of: dict[str, int] = {}
+        table = np.zeros((0, 1))
+        for batch in batches:
+            langs, scores, table = judge(shipped.value, batch.to_pylist(), of, table)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
+    return text_column(spark, run, "lang_pred string, score double")
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """All columns of docs with lang_pred and score (0 to 1), in one narrow pass.
 
-    `text` names the text's column, or `column.field` in a struct column.
+def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """All columns of docs with lang_pred and score (0 to 1), in one narrow pass; columns of those names are replaced.
 
     A null text, and one without a letter, is `und` with score 0; so is every
-    text without a model.
+    text without a model.  Of languages with equal posteriors the first in
+    order is taken.  Rows that repeat get equal values.
     """
-    names = docs.columns
-    column, _, field = text.partition(".")
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
-
-    def run(batches):
-        of: dict[str, int] = {}
-        table = np.zeros((0, 1))
-        model = shipped.value
-        for batch in batches:
-            langs, scores = [], []
-            held = batch.column(names.index(column))
-            texts = (held.field(field) if field else held).to_pylist()
-            for block in blocks(texts, lambda t: len(t or ""), BLOCK_BYTES // 4):
-                found = [words_of(t) if t else [] for t in block]
-                found = [[w for w in ws if any(map(str.isalpha, w))] if any(map(str.isnumeric, "".join(ws))) else ws for ws in found]
-                lengths = np.fromiter(map(len, found), np.int64, len(found))
-                if model is None or not lengths.sum():
-                    langs += [UNKNOWN] * len(block)
-                    scores += [0.0] * len(block)
-                    continue
-                if len(of) > TABLE_ENTRIES:
-                    of = {}
-                new = list(set().union(*found) - of.keys())
-                made = model.emissions(new)
-                table = np.concatenate((table, made)) if of else made
-                of.update(zip(new, range(len(of), len(of) + len(new)), strict=True))
-                flat = np.fromiter(map(of.__getitem__, (w for ws in found for w in ws)), np.int64, int(lengths.sum()))
-                sums = posteriors(table[flat], model.transitions, lengths)
-                mean = sums / np.maximum(lengths, 1)[:, None]
-                best = mean.argmax(axis=1)
-                for n, k, row in zip(lengths.tolist(), best.tolist(), mean, strict=True):
-                    langs.append(model.labels[k] if n else UNKNOWN)
-                    scores.append(min(1.0, round(float(row[k]), 6)) if n else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string, score double"])
-    return map_arrow(docs, run, schema)
+    found = docs.withColumn("_found", predicted(docs.sparkSession, model)(F.col(f"`{text}`")))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    return found.select(*kept, F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"))
 
 
 def learn(docs: DataFrame) -> Model | None:
@@ -250,11 +293,29 @@ def learn(docs: DataFrame) -> Model | None:
     return train(training_sample(docs))
 
 
-def reject_unknown(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents, all columns, whose language is known with at least `min_score`."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = predict(packed, model, "row.text")
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
+def least_score(model: Model | None, margin: float = MARGIN) -> float:
+    """The score a text of a known language has at least: a chance guess, 1 / languages, plus a share of the rest."""
+    chance = 1 / len(model.labels) if model else 1.0
+    return chance + margin * (1 - chance)
+
+
+def reject_unknown(docs: DataFrame, model: Model | None, min_score: float | None = None, text: str = "text") -> DataFrame:
+    """The documents, all columns, whose language is known with at least `min_score` (least_score(), if None).
+
+    Null texts and texts without a letter go.  Rows that repeat stay or go
+    together; columns of any other names take no part.
+    """
+    spark, least = docs.sparkSession, least_score(model) if min_score is None else min_score
+    shipped = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        of: dict[str, int] = {}
+        table = np.zeros((0, 1))
+        for batch in batches:
+            langs, scores, table = judge(shipped.value, batch.to_pylist(), of, table)
+            yield pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_())
+
+    return docs.where(text_column(spark, run, "boolean")(F.col(f"`{text}`")))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, map_arrow, only, read, shared_path, text_bytes, written
+from tessera.checkpoint import fresh
+from tessera.llm.common import blocks, map_arrow, only, read, text_bytes, written
 
 #: Bytes of one image row: 64 samples of red, green and blue.
 ROW = 192
@@ -216,7 +217,7 @@ def store_media(spark: SparkSession, docs: DataFrame, text: str = "text", key: s
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in block], batch.schema.field(0).type), pa.array(digests), pa.array(media, pa.binary())], names=[key, "digest", "media"])
 
     frame = map_arrow(only(docs, key, text).select(key, text_bytes(text).alias("raw")), run, f"`{key}` {kind}, digest string, media binary")
-    path = shared_path(spark, "media")
+    path = fresh(spark, "media")
     frame.write.option("compression", "none").parquet(path)  # images are compressed already
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.checkpoint import drop
 from tessera.llm.common import blocks, map_arrow, read, text_bytes, text_column, written
 
 SEED = 42
@@ -220,18 +221,21 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     neither lineage nor any one group grows, and so are the least neighbours,
     so the join with them may split a hot node.
     """
-    edges = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
-    n = edges.count()
-    edges = written(spark, edges.distinct(), "edges", n)
+    found = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+    n = found.count()
+    edges = written(spark, found.distinct(), "edges", n)
+    drop(found)
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(spark, both.groupBy("a").agg(F.min("b").alias("m")), "least", n)
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = written(spark, large.distinct(), "large", n)
+        drop(edges, least)
         least = written(spark, large.groupBy("a").agg(F.min("b").alias("m")), "least", n)
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = written(spark, small.distinct(), "small", n)
+        drop(large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -248,6 +252,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     rooted = written(spark, distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted", n)
     least = written(spark, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least", n)  # a shuffle of its own, so a large component can be split
     named = written(spark, rooted.join(least, "root").select("fp", "component_id"), "named", n)
+    drop(distinct, rooted, least)
     return found.join(named, "fp")
 
 
