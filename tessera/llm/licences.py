@@ -52,8 +52,8 @@ TEMPLATES: dict[str, list[str]] = {
     "public-domain": ["This work is in the public domain.", "Dedicated to the public domain under CC0 1.0.", "No rights reserved, public domain.",
         "This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense"],
 }
-#: Documents whose paragraphs train the unknown class, and characters of each.
-SAMPLE, SAMPLE_CHARS = 400, 2000
+#: Documents whose paragraphs train the unknown class, paragraphs of each, characters of a paragraph.
+SAMPLE, PARAGRAPHS, PARAGRAPH_CHARS = 400, 20, 2000
 #: Share of a template's words and pairs that a paragraph must contain.
 CONTAINED = 0.7
 #: Words of a wrapped notice that some window holds whole; windows start at every WINDOW-th word and are twice as long.
@@ -118,10 +118,26 @@ def anchors_of(templates: list[list[str]], often: dict[str, int], share: float =
 
 
 def sample_of(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Column t: SAMPLE_CHARS characters of about SAMPLE documents, chosen by hash over all."""
-    n = max(1, docs.count())
-    place = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1 << 40)) / float(1 << 40)
-    return docs.where(place < SAMPLE / n).select(F.substring(F.coalesce(F.col(f"`{text}`"), F.lit("")), 1, SAMPLE_CHARS).alias("t"))
+    """Column t: up to PARAGRAPHS paragraphs (by hash, of the whole text) of each of SAMPLE documents, those with the smallest hashes.
+
+    The hash is of key and text; rows that repeat both count once, so neither
+    null nor repeated keys make the sample larger.  Of a paragraph of more than
+    PARAGRAPH_CHARS characters a stretch at a place by hash is taken.
+    """
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    place = F.pmod(F.xxhash64(F.col(f"`{key}`"), raw), F.lit(1 << 40))
+    rows = docs.select(place.alias("place"), raw.alias("t"))
+    n = rows.agg(F.approx_count_distinct("place", 0.05)).first()[0] or 1
+
+    def stretch(p: Column) -> Column:
+        past = F.greatest(F.length(p) - PARAGRAPH_CHARS, F.lit(0))
+        return F.substring(p, F.floor(past * (F.pmod(F.xxhash64(p), F.lit(1000)) / 1000.0)).cast("int") + 1, F.lit(PARAGRAPH_CHARS))
+
+    every = F.filter(F.split("t", "\n"), lambda p: F.trim(p) != "")
+    some = F.slice(F.array_sort(F.transform(every, lambda p: F.struct(F.xxhash64(p).alias("h"), stretch(p).alias("p")))), 1, PARAGRAPHS)
+    near = rows.where(F.col("place") / float(1 << 40) < 2 * SAMPLE / n)
+    chosen = near.select("place", F.transform(some, lambda x: x["p"]).alias("ps")).groupBy("place").agg(F.first("ps").alias("ps"))
+    return chosen.orderBy("place").limit(SAMPLE).select(F.array_join("ps", "\n").alias("t"))
 
 
 def training_rows(sampled: DataFrame) -> DataFrame:
