@@ -389,7 +389,7 @@ def format_chat(conversations: DataFrame, template: str = TEMPLATE, part_chars:
     `loss` has the code-point spans of the part that lie under generation
     markers.  Rows go by turn (null first), then role and text; repeated rows
     are turns of their own; null roles and texts count as empty; rows of a null
-    conv_id are one conversation.
+    conv_id are one conversation.  Columns of other names take no part.
     """
     compile_template(template)  # a wrong template fails here
     schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))])

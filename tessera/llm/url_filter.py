@@ -40,6 +40,8 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 ORDER = 4
+#: Characters of an URL whose strings stand in one row at a time.
+STRETCH = 1000
 #: Rows of the largest weight table that is broadcast, some 60 bytes each.
 BROADCAST_ROWS = 1_500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,13 +64,15 @@ def best_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fitting)) if fitting else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
-def _characters(url: Column, order: int) -> Column:
-    """The URL's characters after `order` start marks, with an end mark."""
-    return F.concat(F.array_repeat(F.lit("\x02"), order), F.filter(F.split(F.coalesce(url, F.lit("")), ""), lambda c: c != ""), F.array(F.lit("\x03")))
+def _stretches(url: Column, order: int, size: int = STRETCH) -> Column:
+    """The URL between `order` start marks and an end mark, in stretches of `size` characters after `order` characters of context."""
+    marked = F.concat(F.lit("\x02" * order), F.coalesce(url, F.lit("")), F.lit("\x03"))
+    starts = F.sequence(F.lit(0), F.length(marked) - order - 1, F.lit(size))
+    return F.transform(starts, lambda at: F.filter(F.split(F.substring(marked, at + 1, F.lit(size + order)), ""), lambda c: c != ""))
 
 
 def _strings(order: int, least: int, shift: int) -> Column:
-    """Of column `chars`: for every position the strings of least..order characters that end `shift` before its end."""
+    """Of column `chars`, a stretch: for every position after its context the strings of least..order characters that end `shift` before its end."""
     return F.flatten(
         F.transform(
             F.sequence(F.lit(order + 1), F.size("chars")),
@@ -83,7 +87,7 @@ def fit(urls: DataFrame, order: int = ORDER) -> DataFrame:
     The row with the empty key has the weight that each character adds.
     """
     spark = urls.sparkSession
-    chars = urls.select("sign", _characters(F.col("url"), order).alias("chars"))
+    chars = urls.select("sign", F.explode(_stretches(F.col("url"), order)).alias("chars"))
     longest = chars.select("sign", F.explode(_strings(order, order, 0)).alias("gram")).groupBy("sign", "gram").agg(F.count("*").alias("n"))
     ends = F.explode(F.transform(F.sequence(F.lit(0), F.lit(order)), lambda k: F.struct(k.alias("k"), F.substring("gram", order + 1 - k, k + 1).alias("gram"))))
     grams = longest.select("sign", ends.alias("x"), "n").groupBy("sign", F.col("x.k").alias("k"), F.col("x.gram").alias("gram")).agg(F.sum("n").alias("n"))
@@ -111,12 +115,13 @@ def score(urls: DataFrame, weights: DataFrame, keep: list[str], order: int = ORD
     weights = weights.select(F.col("key").alias("_key"), F.col("weight").alias("_weight"))
     if weights.count() <= broadcast_rows:
         weights = F.broadcast(weights)
-    rows = urls.withColumn("_row", F.monotonically_increasing_id()).withColumn("chars", _characters(F.col("url"), order))
+    rows = urls.withColumn("_row", F.monotonically_increasing_id()).withColumn("chars", F.explode(_stretches(F.col("url"), order)))
     plus = F.transform(_strings(order, 0, 0), lambda g: F.concat(F.lit("+"), g))
     minus = F.transform(_strings(order, 1, 1), lambda g: F.concat(F.lit("-"), g))
     each = F.transform(F.sequence(F.lit(order + 1), F.size("chars")), lambda i: F.lit(""))
-    found = rows.select("_row", *keep, (F.size("chars") - order).alias("_n"), F.explode(F.concat(plus, minus, each)).alias("_key"))
-    summed = found.join(weights, "_key", "left").groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.first("_n").alias("_n"), F.sum("_weight").alias("_sum"))
+    found = rows.select("_row", *keep, F.explode(F.concat(plus, minus, each)).alias("_key"))
+    one = F.count_if(F.col("_key") == "")  # each character adds the empty key once
+    summed = found.join(weights, "_key", "left").groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], one.alias("_n"), F.sum("_weight").alias("_sum"))
     return summed.select(*keep, (F.coalesce("_sum", F.lit(0.0)) / F.col("_n")).alias("score"))
 
 
