@@ -10,38 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, language_id, sentencepiece_bpe, simhash, substrings
-from tessera.llm.common import only, read, written
+from tessera.llm.common import read, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no known language go: no letters at all, or a score below language_id.MIN_SCORE."""
+    """Documents of no known language go: null, no letters at all, or a score below language_id.least_score().
+
+    Rows are judged by their text alone, so rows that repeat stay or go together.
+    """
     return language_id.reject_unknown(docs, language_id.learn(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest doc_id stays.
+    """Of each near-duplicate component the rows of the smallest doc_id stay, each judged by its own text.
 
-    Rows that repeat a doc_id are one document and stay or go together; a null
-    doc_id is never a duplicate.
+    Rows that repeat doc_id and text stay or go together; of a doc_id with two
+    texts each row belongs to its text's component.  A null doc_id stays.
     """
-    found = simhash.near_duplicates(only(docs, "doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return simhash.without_duplicates(docs)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document with a smaller doc_id has are cut; a document that loses all its words goes."""
+    """Passages that a document with a smaller doc_id has are cut; a document that loses all its words goes.
+
+    Rows of one doc_id take nothing from each other; a null doc_id loses nothing and stays, a null text stays.
+    """
     kept = substrings.without_repeats(docs)
     return kept.where(~F.coalesce(F.trim("text") == "", F.lit(False)) | F.col("doc_id").isNull())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go; a null text is clean, rows that repeat stay or go together."""
     return decontamination.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, encoded with the pieces model and decoded again."""
+    """What is left, encoded with the pieces model and decoded again; a null text is empty, each row gives one row."""
     import public_tokenizers
 
     model = sentencepiece_bpe.load_model(public_tokenizers.path("piece_bpe_32k.model"))
