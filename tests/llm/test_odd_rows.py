@@ -84,7 +84,7 @@ def test_sentencepiece_random_texts():
 @pytest.mark.parametrize("clash", [False, True])
 @pytest.mark.parametrize("block_bytes, hot", [(1 << 20, 20_000), (300, 1), (60, 20_000)])
 def test_repeats(spark, clash, block_bytes, hot):
-    out = substrings.remove_repeats(H.odd(spark, clash), block_bytes=block_bytes, hot=hot)
+    out = substrings.remove_repeats(H.odd(spark, clash), share_bytes=3 * block_bytes, block_bytes=block_bytes, hot=hot, group=hot)
     found = [(r.row.doc_id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in out.collect()]
     assert sorted(found, key=repr) == sorted(H.repeats([(k, t) for k, t, *_ in H.ODD]), key=repr)
 
@@ -93,7 +93,7 @@ def test_repeats(spark, clash, block_bytes, hot):
 def test_repeats_random(spark, window, hot):
     rng = random.Random(window)
     rows = [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 14)))) for k in range(60)]
-    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window, block_bytes=400, hot=hot)
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window, share_bytes=400, block_bytes=150, hot=hot, group=3 * hot)
     found = [(r.row.doc_id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in out.collect()]
     assert sorted(found) == sorted(H.repeats(rows, window))
 
@@ -303,7 +303,7 @@ def test_url_likelihoods(spark):
         return sum(log(p(t[i - order : i], t[i])) for i in range(order, len(t))) / (len(t) - order)
 
     weights = url_filter.fit(spark.createDataFrame(fit, "url string, sign int"), order)
-    urls = ["http://x.org/de/1", "", "http://a.com/\u00e9"]
+    urls = ["http://x.org/de/1", "", "http://a.com/\u00e9", "http://b.com/" + "fr/\U0001f600" * 1500]
     for limit in (10**6, 0):
         got = {r.url: r.score for r in url_filter.score(spark.createDataFrame([(u,) for u in urls], "url string"), weights, ["url"], order, broadcast_rows=limit).collect()}
         for u in urls:
