@@ -11,7 +11,7 @@ from tessera.llm.sentencepiece_bpe import op10_sentencepiece
 from tessera.llm.simhash import op3_simhash
 from tessera.llm.substrings import OP4_SQL, op4_substrings
 from tessera.llm.token_counts import op7_token_counts
-from tessera.llm.url_filter import op5_url_filter
+from tessera.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_media": op1_media,
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_substrings": OP4_SQL,
+    "op5_url_filter": OP5_SQL,
     "op8_chat": OP8_SQL,
     "op9_decontamination": OP9_SQL,
 }

@@ -141,7 +141,7 @@ def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", key: str = "pag
     rows = rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)).select("key", "url", "host", "path", "best.rule", "best.verdict")
     labelled = rows.where(F.col("verdict").isNotNull()).select("url", F.when(F.col("verdict") == "allow", 1).otherwise(-1).alias("sign")).distinct()
     labelled = written(spark, labelled, "urls", pages.count())
-    held = F.pmod(F.xxhash64("url", F.lit(11)), F.lit(5)) == 0
+    held = F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0
     weights = written(spark, fit(labelled.where(~held), order), "weights")
     sides = score(labelled.where(held), weights, ["sign"], order).groupBy("sign").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("dev")).collect()
     found = {r["sign"]: (r["mean"], r["dev"] + 1e-9) for r in sides}  # two rows
@@ -154,5 +154,48 @@ def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", key: str = "pag
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A verdict on every page's url."""
-    return filter_urls(read(spark, sf_dir, "pages"))
+    """A verdict on every page's url; scores to 6 places."""
+    return filter_urls(read(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
+
+
+def _op5_sql(order: int = ORDER) -> str:
+    """The same by plain recursion over the orders at each character."""
+    fits = " UNION ALL ".join(f"SELECT {len(h) + len(p)} AS size, '{h + p}' AS rule, '{v}' AS verdict, '{h}' AS h, '{p}' AS p" for h, p, v in RULES)
+    text = f"""WITH parts AS (
+  SELECT row_number() OVER () AS id, page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), hosts AS (
+  SELECT id, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), ruled AS MATERIALIZED (
+  SELECT t.*, b.rule, b.verdict FROM hosts t LEFT JOIN (
+    SELECT id, r.rule, r.verdict, row_number() OVER (PARTITION BY id ORDER BY size DESC, r.rule DESC, r.verdict DESC) AS place FROM hosts JOIN ({fits}) r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)
+  ) b ON b.id = t.id AND b.place = 1
+), urls AS MATERIALIZED (
+  SELECT url, CASE verdict WHEN 'allow' THEN 1 ELSE -1 END AS sign, CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % 5 = 0 AS held FROM (SELECT DISTINCT url, verdict FROM ruled WHERE verdict IS NOT NULL)
+), marked AS (
+  SELECT url, sign, held, repeat(chr(2), {order}) || url || chr(3) AS m FROM urls
+), grams AS MATERIALIZED (
+  SELECT sign, k, substr(m, p - k, k + 1) AS g, substr(m, p - k, k) AS h, count(*) AS n FROM (SELECT sign, m, unnest(range({order + 1}, length(m) + 1)) AS p FROM marked WHERE NOT held) t, range({order + 1}) o(k) GROUP BY 1, 2, 3, 4
+), contexts AS MATERIALIZED (
+  SELECT sign, k, h, sum(n) AS total, count(*) AS kinds FROM grams GROUP BY 1, 2, 3
+), judged AS (
+  SELECT url, sign AS side, 'held' AS what FROM urls WHERE held UNION SELECT DISTINCT url, 0, 'other' FROM ruled WHERE rule IS NULL
+), places AS (
+  SELECT url, side, what, m, s.sign, unnest(range({order + 1}, length(m) + 1)) AS p FROM (SELECT *, repeat(chr(2), {order}) || url || chr(3) AS m FROM judged) j, (VALUES (1), (-1)) s(sign)
+), q0 AS (SELECT *, CAST(1.0 / 256 AS DOUBLE) AS pr FROM places)"""
+    for k in range(order + 1):
+        text += f""", q{k + 1} AS (
+  SELECT q.url, q.side, q.what, q.m, q.sign, q.p, CASE WHEN c.total IS NULL THEN q.pr ELSE (coalesce(g.n, 0) + c.kinds * q.pr) / (c.total + c.kinds) END AS pr
+  FROM q{k} q LEFT JOIN contexts c ON c.sign = q.sign AND c.k = {k} AND c.h = substr(q.m, q.p - {k}, {k}) LEFT JOIN grams g ON g.sign = q.sign AND g.k = {k} AND g.g = substr(q.m, q.p - {k}, {k + 1}))"""
+    return text + f""", scored AS MATERIALIZED (
+  SELECT url, side, what, sum(sign * ln(pr)) / count(DISTINCT p) AS score FROM q{order + 1} GROUP BY 1, 2, 3
+), sides AS (
+  SELECT side, avg(score) AS m, stddev_pop(score) + 1e-9 AS d FROM scored WHERE what = 'held' GROUP BY 1
+), cut AS (
+  SELECT coalesce((a.m * b.d + b.m * a.d) / (a.d + b.d), -CAST('inf' AS DOUBLE)) AS threshold FROM (SELECT 1) LEFT JOIN sides a ON a.side = 1 LEFT JOIN sides b ON b.side = -1
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN s.score > threshold THEN 'allow' ELSE 'block' END AS verdict, CASE WHEN rule IS NULL THEN round(s.score, 6) END AS score
+FROM ruled r LEFT JOIN scored s ON s.url = r.url AND s.what = 'other' AND r.rule IS NULL, cut
+"""
+
+
+OP5_SQL = _op5_sql()
