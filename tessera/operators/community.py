@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.checkpoint import cut
+from tessera.checkpoint import counted, cut
 from tessera.operators.audit import running
 from tessera.operators.graph import modularity
 
@@ -160,8 +160,8 @@ def bfs_sample(edges: DataFrame, partition: DataFrame, scores: DataFrame, n_comm
     seen = frontier
     for depth in itertools.count(1):
         step = inner.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"), "community").distinct()
-        frontier = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
+        frontier, found = counted(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier", n=F.count("*"))
+        if not found["n"]:
             break
         seen = cut(seen.unionByName(frontier), "seen")
         if seen.groupBy("community").count().where(F.col("count") < per_community).isEmpty():

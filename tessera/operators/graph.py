@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -84,22 +84,39 @@ def largest_component(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(biggest), "component", "left_semi").select("id")
 
 
+#: Hops of one pass of a search whose frontier is small, and nodes of a small frontier.
+HOPS, SMALL_FRONTIER = 8, 10_000
+
+
 def distances(edges: DataFrame, source, max_depth: int | None = None) -> DataFrame:
-    """(id, depth) of all nodes reachable from a source (in max_depth steps, if given), one frontier a round."""
+    """(id, depth) of all nodes reachable from a source (in max_depth steps, if given).
+
+    A pass takes one hop from a large frontier and several from a small one; a
+    pass of several hops may meet nodes again, which keep their least depth.
+    """
     kind = edges.schema["src"].dataType
     held = dealt(edges.select("src", "dst"), "src")
     frontier = cut(edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("id"), F.lit(0).alias("depth")), "frontier")
-    seen = frontier
-    for depth in itertools.count(1):
-        if max_depth is not None and depth > max_depth:
-            break
-        step = held.join(frontier, held.src == frontier.id).select(F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier), "seen") if depth % 10 == 0 else seen.unionByName(frontier)
+    seen, depth, size = [frontier], 0, 1
+    while size and (max_depth is None or depth < max_depth):
+        hops = HOPS if size <= SMALL_FRONTIER else 1
+        if max_depth is not None:
+            hops = min(hops, max_depth - depth)
+        at, met = frontier.select("id"), None
+        for h in range(1, hops + 1):
+            at = held.join(at, held.src == at.id).select(F.col("dst").alias("id")).distinct()
+            here = at.withColumn("depth", F.lit(depth + h))
+            met = here if met is None else met.unionByName(here)
+        known = reduce(DataFrame.unionByName, seen).select("id")
+        fresh = met.groupBy("id").agg(F.min("depth").alias("depth")).join(known, "id", "left_anti")
+        depth += hops
+        fresh, found = counted(fresh, "frontier", last=F.count_if(F.col("depth") == depth))
+        seen.append(fresh)
+        if len(seen) > 10:
+            seen = [cut(reduce(DataFrame.unionByName, seen), "seen")]
+        frontier, size = fresh.where(F.col("depth") == depth), found["last"]
     held.unpersist()
-    return seen
+    return reduce(DataFrame.unionByName, seen)
 
 
 def farthest(edges: DataFrame, source) -> tuple[object, int]:

@@ -66,6 +66,12 @@ def topk_prune(spark, sf):
     return rounded(recommend.topk_prune(sim).groupBy("i").agg(F.count("*").alias("n"), F.sum("sim").alias("total")), 5)
 
 
+@query("pruned_pairs", sql("pruned", tail=" SELECT j, i, round(round(sim, 9), 6) AS sim FROM pruned"))
+def pruned_pairs(spark, sf):
+    sim = recommend.item_similarity(recommend.centred(recommend.ratings(split(spark, sf)[0]))).withColumn("sim", F.round("sim", 9))
+    return rounded(recommend.topk_prune(sim).select("j", "i", "sim"))
+
+
 @query("predict_cf", sql("pruned", tail=_CF + " SELECT u, i, round(score, 4) AS score FROM scored WHERE u IN (SELECT user_id FROM split WHERE test)"))
 def predict_cf(spark, sf):
     e = evaluated(spark, sf)
@@ -89,6 +95,11 @@ def token_list(spark, sf):
     return roles.read(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.get(F.sort_array(found), F.lit(0)).alias("first"))
 
 
+@query("token_rows", f"SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS tokens FROM documents")
+def token_rows(spark, sf):
+    return roles.read(spark, sf, "documents").select("doc_id", F.array_join(tokens(F.col("text")), " ").alias("tokens"))
+
+
 def _tfidf_sql(normalised: bool, limit: int) -> str:
     text = f"""WITH d AS (SELECT concat_ws('/', source, lang) AS item, unnest({tokens_sql('text')}) AS term FROM documents), w AS (SELECT item, term, count(*) AS c FROM d GROUP BY 1, 2), t AS (SELECT item, sum(c) AS total FROM w GROUP BY 1),
     v AS (SELECT term, count(*) AS df FROM w GROUP BY 1 ORDER BY df DESC, term LIMIT {limit}), raw AS (SELECT item, term, c / total * ln((SELECT count(DISTINCT concat_ws('/', source, lang)) FROM documents) / (1 + df)) AS w FROM w JOIN v USING (term) JOIN t USING (item))"""
