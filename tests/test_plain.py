@@ -108,7 +108,9 @@ def test_tiles_of_many_blocks(spark, monkeypatch):
             label[i] = label[core & near[i]].min()
     number = {c: n for n, c in enumerate(sorted({label[i] for i in np.flatnonzero(core)}))}
     wanted = [number[label[i]] if core[i] else min((number[label[j]] for j in np.flatnonzero(core & near[i])), default=-1) for i in range(len(x))]
-    assert [r.cluster for r in cluster.dbscan(rows, eps, need).orderBy("id").collect()] == wanted
+    for few in (200_000, 0):  # joined up in one task, and in rounds
+        monkeypatch.setattr(cluster, "FEW_LINKS", few)
+        assert [r.cluster for r in cluster.dbscan(rows, eps, need).orderBy("id").collect()] == wanted
     assert cluster.silhouette_score(rows).first()[0] == pytest.approx(plain_silhouette(x, np.arange(len(x)) % 4))
     assert {r.id: r.d for r in cluster.k_distance(rows, 3).collect()} == {f"p{i:02}": pytest.approx(np.sort(d[i][np.arange(len(x)) != i])[2]) for i in range(len(x))}
     stats = {r.a: (r.mean_d, r.max_d) for r in cluster.distance_stats(rows).collect()}
