@@ -305,3 +305,25 @@ def test_late_events_find_their_window(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/b*")
     found = {r.event_id: r.n for r in live.drained(live.trailing(stream, 1), "late", "append").collect()}
     assert found == {1: 1, 2: 2, 3: 2, 4: 3, 5: 5, 6: 4}
+
+
+def test_more_empty_inputs(spark):
+    edges, nodes = spark.createDataFrame([], "src long, dst long"), spark.createDataFrame([], "id long")
+    assert graph.components(edges, nodes).isEmpty() and graph.pagerank(edges, nodes)[0].isEmpty()
+    assert [(r.id, r.depth) for r in graph.distances(edges, 5).collect()] == [(5, 0)]
+    assert sorted(r.score for r in graph.pagerank(edges, spark.range(3))[0].collect()) == pytest.approx([1 / 3] * 3)
+    none = spark.createDataFrame([], "id long, features array<double>, cluster int")
+    assert cluster.silhouette_score(none).first()[0] == 0
+    assert all(f.isEmpty() for f in (cluster.dbscan(none, 1.0, 2), cluster.k_distance(none, 2), cluster.pairs_within(none, 1.0), cluster.distance_stats(none)))
+    assert windows.trailing(spark.createDataFrame([], "event_id long, ts timestamp, value double"), 1).isEmpty()
+    counts = audit.concentration(spark.createDataFrame([], "user_id long, business_id long"), spark.createDataFrame([], "user_id long, is_elite boolean"), spark.createDataFrame([], "business_id long"))
+    assert {r.metric: r.value for r in counts.collect()}["gini_users"] == 0
+
+
+def test_depths_of_a_path(spark):
+    """Passes of several hops and of one hop give the same depths."""
+    rows = [(k, k + 1) for k in range(30)] + [(5, 20)]
+    edges = spark.createDataFrame(rows + [(b, a) for a, b in rows], "src long, dst long")
+    whole = {r.id: r.depth for r in graph.distances(edges, 0).collect()}
+    assert whole == {k: min(k, 6 + abs(k - 20)) for k in range(31)}
+    assert {r.id: r.depth for r in graph.distances(edges, 0, 7).collect()} == {k: d for k, d in whole.items() if d <= 7}
