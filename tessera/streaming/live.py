@@ -75,13 +75,15 @@ def sketched(spark: SparkSession, events: DataFrame, key: str, eps: float = 0.00
     return spark.read.schema("row int, col int, n long").parquet(f"{base}/out/*").groupBy("row", "col").agg(F.sum("n").alias("n"))
 
 
-def trailing(events: DataFrame, hours: float, late: float = 1.0) -> DataFrame:
+def trailing(events: DataFrame, hours: float, late: float = 1.0, peers: bool = False) -> DataFrame:
     """(event_type, event_id, n, total) over (t - hours, t] of each event type, as events arrive.
 
-    Events of a batch go by time and id.  State is the events of the last
+    Events of a batch go by time and id; with `peers`, events of equal time that
+    have arrived all count each other.  State is the events of the last
     hours + late before the newest event, so one that comes up to `late` hours
     after newer ones still finds its whole window; what it changes in the counts
-    of those newer ones is not told again (append mode).
+    of those newer ones is not told again (append mode).  An event without a
+    value counts and adds nothing; the total of no value is null.
     """
     size, kept = int(hours * 3_600_000_000), int((hours + late) * 3_600_000_000)
 
@@ -94,12 +96,14 @@ def trailing(events: DataFrame, hours: float, late: float = 1.0) -> DataFrame:
         fresh = np.arange(len(times)) >= len(old)
         order = np.lexsort((ids, times))
         times, values, ids, fresh = times[order], values[order], ids[order], fresh[order]
-        sums = np.concatenate(([0.0], np.cumsum(values)))
+        valued = np.concatenate(([0], np.cumsum(~np.isnan(values))))
+        sums = np.concatenate(([0.0], np.cumsum(np.nan_to_num(values).astype(np.longdouble))))  # long doubles: what is left of a long sum is small
         first = np.searchsorted(times, times - size, side="right")
-        place = np.arange(len(times)) + 1
+        place = np.searchsorted(times, times, side="right") if peers else np.arange(len(times)) + 1
         state_from = np.searchsorted(times, times[-1] - kept, side="right") if len(times) else 0
         state.update((times[state_from:].tolist(), values[state_from:].tolist()))
-        yield pd.DataFrame({"event_type": key[0], "event_id": ids[fresh], "n": (place - first)[fresh], "total": (sums[place] - sums[first])[fresh]})
+        total = pd.Series((sums[place] - sums[first]).astype(float)).where(valued[place] > valued[first])
+        yield pd.DataFrame({"event_type": key[0], "event_id": ids[fresh], "n": (place - first)[fresh], "total": total[fresh].to_numpy()})
 
     rows = events.select("event_type", "event_id", F.unix_micros("ts").alias("us"), "value")
     return rows.groupBy("event_type").applyInPandasWithState(step, "event_type string, event_id long, n long, total double", "times array<long>, values array<double>", "append", GroupStateTimeout.NoTimeout)
