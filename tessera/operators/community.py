@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import warnings
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from tessera.operators.graph import modularity
 
 #: Directed edges of the largest graph that one task may hold.
 EXACT_EDGES = 2_000_000
+#: Directed edges of a level from which on synchronous rounds run in one task, with the same result.
+FEW_EDGES = 2_000_000
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -66,11 +69,23 @@ def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, max_lev
     return found.join(numbered.select("community", "number"), "community").select("id", (F.col("number") - 1).alias("community"))
 
 
+def _warn(limit: int, what: str) -> None:
+    warnings.warn(f"communities may still improve: {limit} {what} are over", stacklevel=4)
+
+
 def _parallel(edges: DataFrame, nodes: DataFrame, resolution: float, max_levels: int, max_rounds: int) -> DataFrame:
     two_m = edges.agg(F.sum("w")).first()[0]
     whole = nodes.select("id", F.col("id").alias("community"))
-    level, best = edges, -1.0
+    level, best, size = edges, -1.0, edges.count()
     for deeper in reversed(range(max_levels)):
+        if size <= FEW_EDGES:
+            step, over = counted(_few(level, two_m, resolution, best, deeper + 1, max_rounds), "merged", rounds=F.max("rounds"), levels=F.max("levels"))
+            if over["rounds"]:
+                _warn(max_rounds, "rounds of a level")
+            if over["levels"]:
+                _warn(max_levels, "levels")
+            step = step.select(F.col("id").alias("community"), F.col("community").alias("next"))
+            return whole.join(step, "community", "left").select("id", F.coalesce("next", "community").alias("community"))
         labels = cut(level.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")), "labels")
         quality = modularity(level, labels).first()[0]
         for r in range(max_rounds):
@@ -81,7 +96,7 @@ def _parallel(edges: DataFrame, nodes: DataFrame, resolution: float, max_levels:
             elif r % 2:
                 break
         else:
-            warnings.warn(f"communities may still improve: {max_rounds} rounds of a level are over", stacklevel=3)
+            _warn(max_rounds, "rounds of a level")
         if quality <= best + 1e-9:
             break
         best = quality
@@ -89,11 +104,98 @@ def _parallel(edges: DataFrame, nodes: DataFrame, resolution: float, max_levels:
         whole = cut(whole.join(step, "community", "left").select("id", F.coalesce("next", "community").alias("community")), "whole")
         a, b = labels.select(F.col("id").alias("src"), F.col("community").alias("s")), labels.select(F.col("id").alias("dst"), F.col("community").alias("d"))
         if not deeper:
-            warnings.warn(f"communities may still improve: {max_levels} levels are over", stacklevel=3)
-        level = cut(level.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")), "level")
+            _warn(max_levels, "levels")
+        level, found = counted(level.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")), "level", n=F.count("*"))
+        size = found["n"]
     return whole
 
 
+def _few(level: DataFrame, two_m: float, resolution: float, best: float, max_levels: int, max_rounds: int) -> DataFrame:
+    """(id, community, rounds, levels) of a small level's nodes: all its rounds and levels in one task; the last two are 1 where a limit ended them."""
+    kind = level.schema["src"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, ids = pd.factorize(pdf["src"])
+        to = pd.Index(ids).get_indexer(pdf["dst"])
+        hashes = np.zeros(len(ids), np.int64)
+        hashes[codes] = pdf["hash"].to_numpy()
+        found, rounds, levels = synchronous_levels(codes, to, pdf["w"].to_numpy(float), hashes, two_m, resolution, best, max_levels, max_rounds)
+        return pd.DataFrame({"id": ids, "community": ids[found], "rounds": int(rounds), "levels": int(levels)})
+
+    rows = level.select("src", "dst", "w", F.xxhash64("src").alias("hash"))
+    return rows.groupBy(F.lit(1).alias("one")).applyInPandas(run, f"id {kind}, community {kind}, rounds int, levels int")
+
+
+def _hash_int(value: int, seeds: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of an int after columns whose hashes are the seeds."""
+    u = np.uint64
+    p1, p2, p3, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x27D4EB2F165667C5)
+    with np.errstate(over="ignore"):
+        h = (seeds.view(u) + p5 + u(4)) ^ (u(value) * p1)
+        h = ((h << u(23)) | (h >> u(41))) * p2 + p3
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+        return h ^ (h >> u(32))
+
+
+def _summed(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers below n and the sums of their weights."""
+    keys, place = np.unique(a.astype(np.int64) * n + b, return_inverse=True)
+    return keys // n, keys % n, np.bincount(place, w, len(keys))
+
+
+def synchronous_levels(src, dst, w, hashes, two_m: float, resolution: float, best: float, max_levels: int, max_rounds: int) -> tuple[np.ndarray, bool, bool]:
+    """The rounds and levels of _parallel over arrays; (a node of the community each node ends in, whether rounds, whether levels were over).
+
+    Nodes are numbers, communities are named by a node; -1 in dst is no node.
+    """
+    whole, rounds_over, nodes = np.arange(len(hashes)), False, np.unique(src)
+    n = len(hashes)
+    for deeper in reversed(range(max_levels)):
+        known = dst >= 0
+        strength = np.bincount(src, w, n)
+        a, b, inner = src[known], dst[known], w[known]
+        apart = a != b
+
+        def quality(labels, a=a, b=b, inner=inner):
+            total = np.bincount(labels[a], inner, n)
+            inside = np.bincount(labels[a], np.where(labels[a] == labels[b], inner, 0.0), n)
+            m = total.sum()
+            return float((inside / m - (total / m) ** 2).sum()) if m > 0 else 0.0
+
+        labels = np.arange(n)
+        here = quality(labels)
+        for r in range(max_rounds):
+            moving = apart & ((_hash_int(r // 2, hashes) & np.uint64(1)) == r % 2)[a]
+            total, size = np.bincount(labels[nodes], strength[nodes], n), np.bincount(labels[nodes], minlength=n)
+            node, to, into = _summed(a[moving], labels[b[moving]], inner[moving], n)
+            own = labels[node]
+            gain = into - resolution * np.where(to == own, total[to] - strength[node], total[to]) * strength[node] / two_m
+            stay = np.zeros(n)
+            stay[node[to == own]] = gain[to == own]
+            order = np.lexsort((-hashes[to], gain, node))
+            last = order[np.flatnonzero(np.diff(node[order], append=-1))]
+            node, to, own, gain = node[last], to[last], own[last], gain[last]
+            swap = (size[own] == 1) & (size[to] == 1) & (hashes[to] > hashes[own])
+            go = (gain > stay[node] + 1e-12) & (to != own) & ~swap
+            moved = labels.copy()
+            moved[node[go]] = to[go]
+            now = quality(moved)
+            if now > here + 1e-9:
+                labels, here = moved, now
+            elif r % 2:
+                break
+        else:
+            rounds_over = True
+        if here <= best + 1e-9:
+            return whole, rounds_over, False
+        best = here
+        whole = labels[whole]
+        src, dst, w = _summed(labels[a], labels[b], inner, n)
+        nodes = np.unique(src)
+    return whole, rounds_over, True
+
+
 def _sequential(edges: DataFrame, nodes: DataFrame, resolution: float, max_levels: int) -> DataFrame:
     kind = edges.schema["src"].dataType.simpleString()
 
